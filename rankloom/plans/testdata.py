@@ -295,3 +295,16 @@ share(
     "returns_m",
 )
 FEATURES_M = ("f_ret", "f_rng", "f_mom")
+
+share(
+    "windows",
+    """WITH b AS (SELECT min(dt) AS lo, max(dt) AS hi FROM bars_m),
+    s AS (SELECT lo, hi, i, CAST(lo + INTERVAL (12 * i) MONTH AS DATE) AS train_start FROM b, range(0, 40) r(i)),
+    t AS (SELECT *, CAST(train_start + INTERVAL 24 MONTH AS DATE) AS train_end FROM s),
+    v AS (SELECT *, train_end + 4 AS val_start, CAST(train_end + 4 + INTERVAL 6 MONTH AS DATE) AS val_end FROM t WHERE train_end < hi),
+    x AS (SELECT *, val_end + 4 AS test_start FROM v),
+    y AS (SELECT *, least(CAST(test_start + INTERVAL 6 MONTH AS DATE), hi) AS test_end FROM x)
+    SELECT row_number() OVER (ORDER BY i) AS window_id, train_start, train_end, val_start, val_end, test_start, test_end
+    FROM y WHERE test_end > test_start""",
+    "bars_m",
+)

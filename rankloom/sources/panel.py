@@ -70,7 +70,7 @@ def reshape_wide(wide: DataFrame, sep: str = "|") -> DataFrame:
     The unpivot and the pivot back are one scan and one aggregation by (kdcode, dt).
     """
     values = [c for c in wide.columns if c != "dt"]
-    long = wide.unpivot(["dt"], values, "name", "value")
+    long = wide.unpivot(["dt"], [f"`{c}`" for c in values], "name", "value")
     part = F.split("name", f"[{sep}]")
     long = long.select(part[0].alias("kdcode"), "dt", part[1].alias("field"), "value")
 
