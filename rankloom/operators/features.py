@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.frames import by_entity, gated, last_rows, rows_so_far
+from rankloom.functions.frames import by_entity, gated, last_rows
 from rankloom.operators.clean import asof_dates, join_series
 from rankloom.schema import safe_div
 from rankloom.sources.macro import date_order
@@ -62,26 +62,19 @@ def add_volume_features(df: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
-def add_volatility_features(df: DataFrame, short: int = 5, long: int = 21, fill: str = "sample") -> DataFrame:
+def add_volatility_features(df: DataFrame, short: int = 5, long: int = 21) -> DataFrame:
     """F15. Realised volatility and its ratio.
 
-    Gaps take the entity's median: of the whole sample (as published, looks ahead) or, with
-    ``fill='expanding'``, of the rows so far. 0.2 when there is none.
+    Gaps take the entity's median over the whole sample (which looks ahead, as published), 0.2 when
+    there is none.
     """
-    if fill not in ("sample", "expanding"):
-        raise ValueError("fill must be sample or expanding")
     w = by_entity()
     out = df.withColumn("_ret", daily_return())
     cols = {f"volatility_{n}d": n for n in (short, long)}
     for c, n in cols.items():
         out = out.withColumn(c, gated(F.stddev_samp("_ret"), F.col("_ret"), last_rows(w, n), n) * YEAR_ROOT)
     for c in cols:
-        med = (
-            F.median(c).over(Window.partitionBy("kdcode"))
-            if fill == "sample"
-            else F.percentile(c, 0.5).over(rows_so_far(w))
-        )
-        out = out.withColumn(c, F.coalesce(F.col(c), med, F.lit(0.2)))
+        out = out.withColumn(c, F.coalesce(F.col(c), F.median(c).over(Window.partitionBy("kdcode")), F.lit(0.2)))
     s, l = (F.col(c) for c in cols)
     return out.withColumn("vol_ratio", clip(s / (l + EPS), 0.1, 10.0)).drop("_ret")
 
