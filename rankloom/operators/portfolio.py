@@ -17,6 +17,7 @@ from rankloom.functions.frames import by_entity
 from rankloom.functions.groups import calendar
 from rankloom.functions.ranking import row_numbers, top_k
 from rankloom.schema import safe_div
+from rankloom.session import stable
 
 STYLES = ("daily", "staggered", "block")
 BEST_FIRST = (F.desc, "score"), (F.asc, "kdcode")
@@ -344,21 +345,24 @@ class Backtest:
 
 
 def backtest(scores: DataFrame, bars: DataFrame, strategies: DataFrame, max_k: int, ranked: DataFrame | None = None) -> Backtest:
-    """B4, B7, B8, B15 without a gate: all styles of the strategy table in one plan."""
-    returns = open_to_open(bars)
-    days = prediction_days(scores, strategies, entry_dates(bars))
+    """B4, B7, B8, B15 without a gate: all styles of the strategy table in one plan.
+
+    The panel and the scores are read once each: the realised returns and the best names are written
+    to the shared folder, and every later step starts from those.
+    """
+    returns = stable(open_to_open(bars))
+    best = stable(best_scores(scores, max_k)) if ranked is None else ranked
+    days = stable(prediction_days(scores if ranked is None else ranked, strategies, entry_dates(returns)))
     rebal = rebalances(days)
-    targets = top_targets(rebal, best_scores(scores, max_k) if ranked is None else ranked)
-    return _book(days, rebal, targets, returns)
+    return _book(days, rebal, top_targets(rebal, best), returns)
 
 
 def gated_backtest(ranked: DataFrame, bars: DataFrame, strategies: DataFrame) -> Backtest:
     """B10. The same tables when held names leave only after a rank drop."""
-    returns = open_to_open(bars)
-    days = prediction_days(ranked, strategies, entry_dates(bars))
+    returns = stable(open_to_open(bars))
+    days = stable(prediction_days(ranked, strategies, entry_dates(returns)))
     rebal = rebalances(days)
-    targets = gate_targets(ranked, rebal, returns).where("kdcode IS NOT NULL")
-    return _book(days, rebal, targets.select("strategy_id", "tranche_id", "seq", "kdcode"), returns)
+    return _book(days, rebal, stable(gate_targets(ranked, rebal, returns)), returns)
 
 
 def _book(days: DataFrame, rebal: DataFrame, targets: DataFrame, returns: DataFrame) -> Backtest:
@@ -625,4 +629,6 @@ def gate_targets(ranked: DataFrame, rebal: DataFrame, returns: DataFrame, with_e
         .groupBy("strategy_id", "tranche_id")
         .applyInPandas(fold_gate, TARGET_SCHEMA)
     )
-    return folded if with_exits else folded.where("status <> 'exit'")
+    if with_exits:
+        return folded
+    return folded.where("status <> 'exit'").select("strategy_id", "tranche_id", "seq", "kdcode")

@@ -69,3 +69,17 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
         else:
             out.append(F.col(c))
     return df.select(*out)
+
+
+def sig(expr: str) -> str:
+    """SQL for a double kept to 7 significant digits (for values of any size)."""
+    return f"(CASE WHEN ({expr}) = 0 THEN 0::DOUBLE ELSE printf('%.6e', ({expr})::DOUBLE)::DOUBLE END)"
+
+
+def significant(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(
+        *[
+            F.when(F.col(c) == 0, 0.0).otherwise(F.format_string("%.6e", F.col(c)).cast("double")).alias(c) if c in cols else F.col(c)
+            for c in df.columns
+        ]
+    )
