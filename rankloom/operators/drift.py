@@ -81,21 +81,29 @@ def status(psi: Column, ks: Column) -> Column:
     )
 
 
-def drift_rows(
-    observed: DataFrame, reference: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
-) -> DataFrame:
-    """M3. (keys, feature, psi, ks, status, observed_count) per feature.
-
-    Works on one row of counts per feature: shares, their log ratio and the running gap are array
-    expressions.
-    """
+def observed_counts(observed: DataFrame, reference: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, feature, observed, observed_count): bin counts inside the edges and all values seen."""
     values = feature_values(observed, features, keys)
     seen = values.groupBy(*keys, "feature").agg(F.count("*").alias("observed_count"))
     got = counts_array(histogram(values, reference, keys), keys).withColumnRenamed("counts", "observed")
+    return seen.join(got, [*keys, "feature"], "left")
+
+
+def drift_rows(observed: DataFrame, reference: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """M3. (keys, feature, psi, ks, status, observed_count) per feature asked for."""
     wanted = observed.select(*keys).distinct() if keys else observed.sparkSession.range(1).select()
     wanted = wanted.select(*keys, F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
-    on = [*keys, "feature"]
-    d = wanted.join(seen, on, "left").join(got, on, "left").join(reference, "feature", "left")
+    counts = observed_counts(observed, reference, features, keys)
+    return drift_of_counts(wanted.join(counts, [*keys, "feature"], "left"), reference, keys)
+
+
+def drift_of_counts(counts: DataFrame, reference: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """M3 from bin counts.
+
+    Works on one row of counts per feature: shares, their log ratio and the running gap are array
+    expressions.
+    """
+    d = counts.join(reference, "feature", "left")
 
     def share(c: str) -> Column:
         total = F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)

@@ -229,7 +229,7 @@ _p15 = ("ARR", "AVol", "MDD", "ASR", "CR", "IR", "Total_Return")
         "curve",
         """WITH m AS (SELECT strategy_id, power(product(1 + net_return), 252.0::DOUBLE / count(*)) - 1 AS "ARR", stddev_pop(net_return) * sqrt(252) AS "AVol", min(drawdown) AS "MDD",
       avg(net_return) / nullif(stddev_pop(net_return), 0) * sqrt(252) AS "IR", product(1 + net_return) - 1 AS "Total_Return", count(*) AS "Num_Days" FROM curve GROUP BY 1),
-    x AS (SELECT *, "ARR" / "AVol" AS "ASR", "ARR" / abs("MDD") AS "CR" FROM m) SELECT strategy_id, "Num_Days", """ + ", ".join(f'{sig(chr(34) + c + chr(34))} AS "{c}"' for c in _p15) + " FROM x",
+    x AS (SELECT *, coalesce("ARR" / nullif("AVol", 0), 0) AS "ASR", coalesce("ARR" / nullif(abs("MDD"), 0), 0) AS "CR" FROM m) SELECT strategy_id, "Num_Days", """ + ", ".join(f'{sig(chr(34) + c + chr(34))} AS "{c}"' for c in _p15) + " FROM x",
     ),
 )
 def p15(spark, sf):
