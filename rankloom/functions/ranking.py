@@ -20,11 +20,12 @@ GROUP_LIMIT = 1000
 
 
 def running_total(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], measure: Column, out: str
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], measure: Column, out: str, total: str | None = None
 ) -> DataFrame:
     """``df`` with ``out`` = sum of ``measure`` over the rows of the group up to this row.
 
-    (by, order) must identify a row.
+    (by, order) must identify a row. ``total`` names a column for the sum of the whole group, which
+    the slice totals give for free.
     """
     keys = [F.col(c) for c in by]
     sliced = stable(
@@ -36,7 +37,12 @@ def running_total(
     offsets = (
         sliced.groupBy(*by, "_slice")
         .agg(F.sum("_m").alias("_t"))
-        .select(*by, "_slice", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"))
+        .select(
+            *by,
+            "_slice",
+            F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"),
+            *([F.sum("_t").over(Window.partitionBy(*by)).alias(total)] if total else []),
+        )
     )
     local = (
         Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -53,12 +59,14 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column], out:
     return running_total(df, by, order, F.lit(1).cast("bigint"), out)
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str], written: bool = False) -> DataFrame:
     """Add ``<c>_rank`` (ties share their mean rank) and ``<c>_n`` for each column; NULLs get NULL.
 
     Equal values are counted before anything is shuffled, so a value that fills a large part of a
-    group costs one row per task.
+    group costs one row per task. The rows are read twice, for the counts and for the result, so
+    they are written first unless they are a ``written`` table already.
     """
+    df = df if written else stable(df)
     values = (
         df.select(
             *by,
@@ -74,11 +82,10 @@ def average_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> D
         .agg(F.count("*").alias("ties"))
     )
     key = [*by, "measure"]
-    upto = running_total(values, key, [F.col("value")], F.col("ties"), "upto")
-    totals = upto.groupBy(*key).agg(F.sum("ties").alias("n"))
-    ranks = upto.join(totals, key).select(
-        *key, "value", (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank"), "n"
-    )
+    upto = running_total(values, key, [F.col("value")], F.col("ties"), "upto", total="n")
+    ranks = upto.select(*key, "value", (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank"), "n")
+    if len(columns) > 1:
+        ranks = stable(ranks)  # one join per column reads it
     out = df
     for c in columns:
         one = ranks.where(F.col("measure") == c).select(
@@ -95,9 +102,9 @@ def average_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> D
     return out
 
 
-def percent_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def percent_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str], written: bool = False) -> DataFrame:
     """Add ``<c>_pct``: mean rank of ties divided by the group's count."""
-    out = average_ranks(df, by, columns)
+    out = average_ranks(df, by, columns, written)
     for c in columns:
         out = out.withColumn(f"{c}_pct", F.col(f"{c}_rank") / F.col(f"{c}_n"))
     return out.drop(*[f"{c}_{s}" for c in columns for s in ("rank", "n")])
@@ -121,12 +128,15 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Linear-interpolation quantiles of a group as (by, q_index, q), q_index 0-based in ``probs``."""
+def value_totals(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value, ties, upto, n): each distinct value with its count, the count up to it and the group's."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    upto = running_total(counts, by, [F.col(value)], F.col("ties"), "upto")
-    totals = upto.groupBy(*by).agg(F.sum("ties").alias("n"))
-    wanted = totals.select(
+    return stable(running_total(counts, by, [F.col(value)], F.col("ties"), "upto", total="n"))
+
+
+def exact_quantiles(upto: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Linear-interpolation quantiles from ``value_totals`` as (by, q_index, q), q_index 0-based in ``probs``."""
+    wanted = upto.groupBy(*by).agg(F.max("n").alias("n")).select(
         *by,
         F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("q_index", "p"),
         "n",
@@ -137,7 +147,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     )
     wanted = wanted.withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
     # A distinct value covers the 0-based positions upto-ties .. upto-1.
-    hits = upto.join(wanted, by).where(
+    hits = upto.drop("n").join(wanted, by).where(
         ((F.col("upto") - F.col("ties") <= F.col("lo")) & (F.col("lo") < F.col("upto")))
         | ((F.col("upto") - F.col("ties") <= F.col("hi")) & (F.col("hi") < F.col("upto")))
     )

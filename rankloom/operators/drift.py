@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import exact_quantiles
+from rankloom.functions.ranking import exact_quantiles, value_totals
+from rankloom.session import stable
 
 # Limits of the drift status.
 PSI_WARN, PSI_ALERT = 0.10, 0.25
@@ -53,23 +54,26 @@ def histogram(values: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
     return binned.where(F.col("bin").isNotNull()).groupBy(*keys, "feature", "bin").agg(F.count("*").alias("n"))
 
 
-def counts_array(hist: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One array of BINS counts per (keys, feature), zeros included."""
-    per_bin = [F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).cast("bigint") for i in range(BINS)]
-    return hist.groupBy(*keys, "feature").agg(F.array(*per_bin).alias("counts"))
+def bin_counts(bin_: Column, weight: Column | None = None) -> Column:
+    """Aggregate: one array of BINS counts, zeros included."""
+    w = F.lit(1) if weight is None else weight
+    return F.array(*[F.coalesce(F.sum(F.when(bin_ == i, w)), F.lit(0)).cast("bigint") for i in range(BINS)])
 
 
 def feature_reference(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """M1. (feature, bins, counts): decile edges and counts of the training rows.
 
     Exact quantiles come from value counts and a range-partitioned running total, so a feature's
-    values are never gathered in one task.
+    values are never gathered in one task; the counts reuse the same table, so the training rows are
+    read once. The reference is small and is written, as it outlives the training job.
     """
-    values = feature_values(train, features)
-    q = exact_quantiles(values, ["feature"], "value", [i / BINS for i in range(BINS + 1)])
+    totals = value_totals(feature_values(train, features), ["feature"], "value")
+    q = exact_quantiles(totals, ["feature"], "value", [i / BINS for i in range(BINS + 1)])
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("q_index", "q"))), lambda s: s["q"])
     edges = q.groupBy("feature").agg(strict_edges(ordered).alias("bins"))
-    return edges.join(counts_array(histogram(values, edges)), "feature")
+    binned = totals.join(edges, "feature").withColumn("bin", bin_of(F.col("value"), F.col("bins")))
+    counts = binned.groupBy("feature").agg(bin_counts(F.col("bin"), F.col("ties")).alias("counts"))
+    return stable(edges.join(counts, "feature"))
 
 
 def status(psi: Column, ks: Column) -> Column:
@@ -82,11 +86,12 @@ def status(psi: Column, ks: Column) -> Column:
 
 
 def observed_counts(observed: DataFrame, reference: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, feature, observed, observed_count): bin counts inside the edges and all values seen."""
-    values = feature_values(observed, features, keys)
-    seen = values.groupBy(*keys, "feature").agg(F.count("*").alias("observed_count"))
-    got = counts_array(histogram(values, reference, keys), keys).withColumnRenamed("counts", "observed")
-    return seen.join(got, [*keys, "feature"], "left")
+    """(keys, feature, observed, observed_count): bin counts inside the edges and all values, in one pass."""
+    values = feature_values(observed, features, keys).join(reference.select("feature", "bins"), "feature", "left")
+    binned = values.withColumn("bin", bin_of(F.col("value"), F.col("bins")))
+    return binned.groupBy(*keys, "feature").agg(
+        bin_counts(F.col("bin")).alias("observed"), F.count("*").alias("observed_count")
+    )
 
 
 def drift_rows(observed: DataFrame, reference: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import average_ranks, row_numbers, top_k
+from rankloom.functions.ranking import average_ranks, row_numbers
 from rankloom.operators.portfolio import best_scores
-from rankloom.schema import safe_div
+from rankloom.session import stable
 
 YEAR = 252
 EPS = 1e-8
@@ -181,7 +181,7 @@ def quantile_returns(pairs: DataFrame, quantiles: int = 5) -> DataFrame:
     """V11. (model_id, quantile 1..q, mean_return): bucket = rank // (n // q), the last takes the rest."""
     keys = ["model_id", "dt"]
     ranked = row_numbers(pairs, keys, [F.col("score").asc(), F.col("kdcode").asc()], "rank")
-    counts = pairs.groupBy(*keys).agg(F.count("*").alias("n"))
+    counts = ranked.groupBy(*keys).agg(F.max("rank").alias("n"))
     size = F.floor(F.col("n") / quantiles)
     bucket = F.when(size > 0, F.least(F.floor((F.col("rank") - 1) / size), F.lit(quantiles - 1))).otherwise(quantiles - 1)
     per_day = (
@@ -202,6 +202,7 @@ def long_short(quantile: DataFrame, quantiles: int = 5) -> DataFrame:
 def evaluation_row(pairs: DataFrame, ks: Sequence[int], label_t: int = 1, quantiles: int = 5, nw_lags: int | None = None) -> DataFrame:
     """V12. One wide row per model with the metrics of V2 to V11."""
     lags = max(0, label_t - 1) if nw_lags is None else nw_lags
+    pairs = stable(pairs)  # read by every metric below
     daily = top_k_daily(pairs, ks)
     per_k = portfolio_metrics(daily).join(newey_west(daily, lags), ["model_id", "k"])
     per_k = per_k.withColumn("sharpe", F.col("sharpe_newey_west") if label_t > 1 else F.col("sharpe_naive"))

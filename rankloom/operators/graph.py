@@ -19,6 +19,7 @@ from rankloom.functions.groups import calendar, day_numbers
 from rankloom.functions.ranking import top_k
 from rankloom.operators.clean import asof_dates
 from rankloom.schema import safe_div
+from rankloom.session import stable
 
 BLOCK = 512  # entities per block: a task multiplies two BLOCK x lookback matrices
 
@@ -165,8 +166,8 @@ def correlate(rows: DataFrame, sel: Selection | None, fill: str = "zero", block:
     what the selection keeps (``sel=None`` keeps the whole matrix). A block is sent to each of its
     partners once: N/block copies of small vectors, never all rows in one task.
     """
-    vectors = entity_vectors(rows)
-    n_entities = rows.select("kdcode").distinct().count()
+    vectors = stable(entity_vectors(rows))
+    n_entities = vectors.select("kdcode").distinct().count()
     n_blocks = max(1, math.ceil(n_entities / block))
     placed = vectors.withColumn("b", F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks)).cast("int"))
     as_left = F.transform(F.sequence("b", F.lit(n_blocks - 1)), lambda j: F.struct(F.col("b").alias("bi"), j.alias("bj"), F.lit(0).alias("side")))

@@ -12,6 +12,7 @@ from rankloom.functions.groups import attach
 from rankloom.functions.ranking import percent_ranks
 from rankloom.operators.features import EPS, clip, daily_return
 from rankloom.schema import safe_div
+from rankloom.session import stable
 
 STATES = ("Bu", "Co", "Be", "Re")
 TINY = 1e-12
@@ -185,7 +186,7 @@ def add_momentum_continuous(df: DataFrame, m: Momentum = Momentum()) -> DataFram
 
     The weekly position is taken after the gaps were filled, so it is never 0.
     """
-    out = _prepared(df, m)
+    out = stable(_prepared(df, m))  # read for the statistics and for the rows
     names = ("slow", "fast", "weekly")
     stats = {f"_{k}_{n}": f(f"{n}_momentum") for n in names for k, f in (("mu", F.avg), ("sd", F.stddev_samp))}
     out = attach(out, ["dt"], **stats)
@@ -202,8 +203,10 @@ def add_momentum_continuous(df: DataFrame, m: Momentum = Momentum()) -> DataFram
 def add_momentum_buffered(df: DataFrame, m: Momentum = Momentum()) -> DataFrame:
     """F14. Signals are scaled rank percentiles of the date with a dead zone at both ends."""
     names = ("slow", "fast", "weekly")
-    out = percent_ranks(_prepared(df, m), ["dt"], [f"{n}_momentum" for n in names])
-    out = attach(out, ["dt"], **{f"_any_{n}": F.max(F.col(f"{n}_momentum") != 0) for n in names})
+    base = stable(_prepared(df, m))
+    # A date without any non-zero value gives no signal at all.
+    some = base.groupBy("dt").agg(*[F.max(F.col(f"{n}_momentum") != 0).alias(f"_any_{n}") for n in names])
+    out = percent_ranks(base, ["dt"], [f"{n}_momentum" for n in names], written=True).join(some, "dt")
 
     def signal(n: str) -> Column:
         p = F.col(f"{n}_momentum_pct")

@@ -11,6 +11,7 @@ from rankloom.functions.groups import attach, one_row
 from rankloom.functions.normal import norm_ppf
 from rankloom.functions.ranking import percent_ranks, running_total
 from rankloom.schema import safe_div
+from rankloom.session import stable
 
 
 def train_stats(df: DataFrame, features: Sequence[str], train_end: str, train_start: str | None = None) -> DataFrame:
@@ -75,6 +76,7 @@ def rank_positions(df: DataFrame, features: Sequence[str], train_end: str) -> Da
     Distinct values are counted first and a range-partitioned running total gives the ranks, so no
     task ever holds all training values of a feature.
     """
+    df = stable(df)  # read for the counts and for the rows
     train = F.col("dt") <= F.lit(train_end).cast("date")
     values = (
         df.select(
@@ -88,9 +90,8 @@ def rank_positions(df: DataFrame, features: Sequence[str], train_end: str) -> Da
         .groupBy("feature", "value")
         .agg(F.count_if("train").alias("hits"))
     )
-    upto = running_total(values, ["feature"], [F.col("value")], F.col("hits"), "r")
-    totals = upto.groupBy("feature").agg(F.sum("hits").alias("n"))
-    ranks = upto.join(totals, "feature").select("feature", "value", "r", "n")
+    upto = running_total(values, ["feature"], [F.col("value")], F.col("hits"), "r", total="n")
+    ranks = stable(upto.select("feature", "value", "r", "n"))  # one join per feature reads it
     out = df
     for c in features:
         one = ranks.where(F.col("feature") == c).select(

@@ -297,7 +297,16 @@ def p17_flag(spark, sf):
     return significant(pf.is_consistent(rows, ["strategy_id"]), "arr_cv", "asr_cv")
 
 
-@query("s15_backtest_outputs")
+@query(
+    "s15_backtest_outputs",
+    check_sql(
+        "bt_daily holdings journal",
+        """SELECT 'daily_returns' AS table_name, count(*) AS n_rows FROM bt_daily UNION ALL SELECT 'cumulative_performance', count(*) FROM bt_daily
+    UNION ALL SELECT 'monthly_performance', count(DISTINCT (strategy_id, date_trunc('month', entry_date))) FROM bt_daily UNION ALL SELECT 'daily_holdings', count(*) FROM holdings
+    UNION ALL SELECT 'return_attribution', count(*) FROM holdings UNION ALL SELECT 'portfolio_composition', count(*) FROM holdings
+    UNION ALL SELECT 'holdings_summary', count(DISTINCT (strategy_id, kdcode)) FROM holdings UNION ALL SELECT 'trade_journal', count(*) FROM journal""",
+    ),
+)
 def s15(spark, sf):
     """All tables of a back-test written and read back: rows per table."""
     bt, ranked = ranked_run(spark, sf)

@@ -8,6 +8,7 @@ from rankloom.operators import evaluate as ev
 from rankloom.operators import portfolio as po
 from rankloom.plans import testdata as td
 from rankloom.plans.registry import check_sql, query, r, rounded, share
+from rankloom.session import stable
 
 MAX_K = max(s.top_k for s in td.STRATEGIES)
 CUR, PREV = "2000-06-01", "2000-05-01"
@@ -111,12 +112,14 @@ def plain(spark, style: str = "%"):
 
 
 def run(spark, sf, style: str = "%", ranked=None) -> po.Backtest:
-    return po.backtest(td.scores(spark, sf), td.bars_m(spark, sf), plain(spark, style), MAX_K, ranked)
+    bars = stable(td.bars_m(spark, sf))
+    return po.backtest(td.scores(spark, sf, bars), bars, plain(spark, style), MAX_K, ranked)
 
 
 def ranked_run(spark, sf, style: str = "%"):
-    ranked = po.rank_scores(td.scores(spark, sf))
-    return run(spark, sf, style, ranked), ranked
+    bars = stable(td.bars_m(spark, sf))
+    ranked = stable(po.rank_scores(td.scores(spark, sf, bars)))
+    return po.backtest(ranked, bars, plain(spark, style), MAX_K, ranked), ranked
 
 
 @query(
@@ -198,7 +201,7 @@ def b8(spark, sf):
 def gate_inputs(spark, sf):
     """Ranks of two dates, the earlier top-K as holdings, and the gated strategies."""
     s = td.scores(spark, sf).where(F.col("dt").isin(F.lit(CUR).cast("date"), F.lit(PREV).cast("date")))
-    ranked = po.rank_scores(s)
+    ranked = stable(po.rank_scores(s))
     cur = ranked.where(F.col("dt") == F.lit(CUR).cast("date"))
     prev = ranked.where(F.col("dt") == F.lit(PREV).cast("date")).withColumnRenamed("rank", "prev_rank")
     gated = td.strategies(spark).where("min_rank_drop > 0")
@@ -231,9 +234,10 @@ def b9(spark, sf):
 
 @query("b10_gated_strategies")
 def b10(spark, sf):
-    ranked = po.rank_scores(td.scores(spark, sf))
+    bars = stable(td.bars_m(spark, sf))
+    ranked = stable(po.rank_scores(td.scores(spark, sf, bars)))
     gated = td.strategies(spark).where("min_rank_drop > 0")
-    return rounded(po.gated_backtest(ranked, td.bars_m(spark, sf), gated).daily, *DAILY_COLS)
+    return rounded(po.gated_backtest(ranked, bars, gated).daily, *DAILY_COLS)
 
 
 share(
@@ -327,8 +331,8 @@ def b16(spark, sf):
 
 def flagship(spark, sf, top: int):
     """Bars, momentum, rank, the ``top`` best names, next-period entry, return against the benchmark."""
-    bars = td.bars_m(spark, sf)
-    s = td.scores(spark, sf).where("model_id = 2")
+    bars = stable(td.bars_m(spark, sf))
+    s = td.scores(spark, sf, bars).where("model_id = 2")
     one = po.strategies_frame(spark, [po.Strategy(1, 2, top, 1, "daily", 0.001, 0.0005, 0)])
     return rounded(po.backtest(s, bars, one, top).daily, *DAILY_COLS)
 

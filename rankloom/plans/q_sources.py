@@ -334,7 +334,7 @@ def s13(spark, sf):
     return rounded(panel.load_scores(spark, path), "score", digits=5)
 
 
-@query("s14_score_tables")
+@query("s14_score_tables", check_sql("scores", "SELECT model_id, dt AS date, count(*) AS n_rows FROM scores GROUP BY 1, 2"))
 def s14(spark, sf):
     path = sinks.write_scores(td.scores(spark, sf), new_path(spark, "scores"), fmt="parquet")
     return spark.read.parquet(path).groupBy("model_id", "date").agg(F.count("*").alias("n_rows"))

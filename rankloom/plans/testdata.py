@@ -170,9 +170,9 @@ share(
 )
 
 
-def returns_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns_m(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     w = by_entity()
-    return bars_m(spark, sf_dir).withColumn(
+    return (bars_m(spark, sf_dir) if bars is None else bars).withColumn(
         "ret", safe_div(F.col("close"), F.lag("close").over(w)) - 1
     )
 
@@ -184,11 +184,11 @@ share(
 )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     """Three models: rolling return sums of 1, 3 and 6 months."""
     w = by_entity()
     models = ((1, 1), (2, 3), (3, 6))
-    wide = returns_m(spark, sf_dir).select(
+    wide = returns_m(spark, sf_dir, bars).select(
         "kdcode", "dt", *[gated(F.sum("ret"), F.col("ret"), last_rows(w, n), n).alias(f"m{m}") for m, n in models]
     )
     by_model = F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(f"m{m}").alias("score")) for m, _ in models])
@@ -212,11 +212,11 @@ share(
 )
 
 
-def forward_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forward_m(bars: DataFrame) -> DataFrame:
     """(dt, kdcode, ret): the return of the following month, without its last row per entity."""
     w = by_entity()
     return (
-        bars_m(spark, sf_dir)
+        bars
         .select("kdcode", "dt", (safe_div(F.lead("close").over(w), F.col("close")) - 1).alias("ret"))
         .where(F.col("ret").isNotNull())
     )
@@ -224,7 +224,8 @@ def forward_m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with the following month's return, per model."""
-    return scores(spark, sf_dir).join(forward_m(spark, sf_dir), ["dt", "kdcode"])
+    bars = bars_m(spark, sf_dir)
+    return scores(spark, sf_dir, bars).join(forward_m(bars), ["dt", "kdcode"])
 
 
 share(

@@ -53,7 +53,9 @@ def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there from now on.
 
     Used where two later branches must see the very same rows (slice numbers after a range
-    partitioning) and where a retry must not recompute a long lineage.
+    partitioning), and where several branches or a retry would recompute a long lineage. A written
+    table is columnar, so later reads are pruned, and its true size decides how it is joined.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

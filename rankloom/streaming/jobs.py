@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.groups import keep_last
 from rankloom.operators.clean import point_in_time
-from rankloom.operators.drift import BINS, bin_of, drift_of_counts, feature_values
+from rankloom.operators.drift import bin_counts as count_bins
+from rankloom.operators.drift import bin_of, drift_of_counts, feature_values
 from rankloom.operators.ledger import performance_ledger
 from rankloom.operators.normalize import normalise
 from rankloom.operators.portfolio import decide, rank_scores
@@ -109,8 +110,9 @@ def bin_counts(stream: DataFrame, reference: DataFrame, features: Sequence[str],
 
 def drift_by_day(counts: DataFrame, reference: DataFrame) -> DataFrame:
     """T4. Drift of every day in a table of bin counts."""
-    per_bin = [F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).cast("bigint") for i in range(BINS)]
-    rows = counts.groupBy("dt", "feature").agg(F.array(*per_bin).alias("observed"), F.sum("n").alias("observed_count"))
+    rows = counts.groupBy("dt", "feature").agg(
+        count_bins(F.col("bin"), F.col("n")).alias("observed"), F.sum("n").alias("observed_count")
+    )
     return drift_of_counts(rows, reference, ["dt"])
 
 
