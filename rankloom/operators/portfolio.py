@@ -52,7 +52,8 @@ STRATEGY_SCHEMA = (
 
 
 def strategies_frame(spark: SparkSession, items: Iterable[Strategy]) -> DataFrame:
-    return spark.createDataFrame([tuple(asdict(s).values()) for s in items], STRATEGY_SCHEMA)
+    rows = [{**asdict(s), "spread": float(s.spread), "slippage": float(s.slippage)} for s in items]
+    return spark.createDataFrame([tuple(r.values()) for r in rows], STRATEGY_SCHEMA)
 
 
 def best_first() -> list[Column]:
@@ -367,7 +368,7 @@ def gated_backtest(ranked: DataFrame, bars: DataFrame, strategies: DataFrame) ->
 
 def _book(days: DataFrame, rebal: DataFrame, targets: DataFrame, returns: DataFrame) -> Backtest:
     held = held_days(rebal, days)
-    pos = positions(targets, held, returns)
+    pos = stable(positions(targets, held, returns))  # K names per tranche and day from here on
     return Backtest(days, rebal, targets, held, pos, portfolio_days(targets, rebal, held, pos, benchmark(returns)))
 
 

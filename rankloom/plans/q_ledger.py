@@ -11,6 +11,7 @@ from rankloom.plans import testdata as td
 from rankloom.plans.q_performance import metrics
 from rankloom.plans.q_portfolio import CUR, PREV, gate_inputs, run
 from rankloom.plans.registry import check_sql, query, r, rounded, share, sig, significant
+from rankloom.session import stable
 from rankloom.sources.panel import index_series
 
 FILL, NEXT = "2000-07-01", "2000-08-01"
@@ -105,9 +106,11 @@ def te(spark, sf):
 
 def ledger_input(spark, sf):
     """Booked days of all strategies, with a stale first version of every third month."""
-    d = run(spark, sf).daily.select(
-        "strategy_id", F.col("entry_date").alias("dt"), F.col("gross_return").alias("portfolio_return"), "benchmark_return",
-        "turnover", "num_trades", F.col("n_held").alias("num_holdings"),
+    d = stable(
+        run(spark, sf).daily.select(
+            "strategy_id", F.col("entry_date").alias("dt"), F.col("gross_return").alias("portfolio_return"), "benchmark_return",
+            "turnover", "num_trades", F.col("n_held").alias("num_holdings"),
+        )
     )
     stale = d.where(F.month("dt") % 3 == 0).withColumn("portfolio_return", F.lit(0.5)).withColumn("seq", F.lit(0))
     return d.withColumn("seq", F.lit(1)).unionByName(stale)

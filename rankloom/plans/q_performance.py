@@ -11,7 +11,7 @@ from rankloom.plans import q_evaluate  # noqa: F401  (shared fragments)
 from rankloom.plans import testdata as td
 from rankloom.plans.q_portfolio import ranked_run, run
 from rankloom.plans.registry import check_sql, query, r, rounded, share, sig, significant
-from rankloom.session import new_path
+from rankloom.session import new_path, stable
 from rankloom.sources import sinks
 
 YEAR = 12
@@ -108,7 +108,7 @@ share(
     ),
 )
 def p6(spark, sf):
-    daily = sweep(spark, sf)
+    daily = stable(sweep(spark, sf))
     e = ev.error_metrics(td.pairs(spark, sf)).drop("n_pairs")
     errors = td.strategies(spark).select("strategy_id", "model_id").join(e, "model_id").drop("model_id")
     df = pf.summary(daily, aligned(spark, sf, daily), errors, YEAR)
