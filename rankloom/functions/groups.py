@@ -11,11 +11,30 @@ from pyspark.sql import functions as F
 def attach(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     """Add group aggregates as columns: aggregate (partial sums per task) and join back.
 
-    Unlike a window over the group this never sends a whole cross-section to one task. The result
-    has one row per group; Spark broadcasts it when it is small and joins by shuffle otherwise.
+    Unlike a window over the group this never sends a whole cross-section to one task.
     """
     stats = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(stats, list(by), "left")
+    return join_dates(df, stats) if list(by) == ["dt"] else df.join(stats, list(by), "left")
+
+
+def join_dates(df: DataFrame, per_date: DataFrame) -> DataFrame:
+    """Left join of a table with one row per date.
+
+    Its size is bounded by the calendar (366 rows a year) whatever the number of entities, so it is
+    broadcast and the panel is not shuffled by date.
+    """
+    return df.join(F.broadcast(per_date), "dt", "left")
+
+
+def lookup(small: DataFrame, large: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of a small table to a large one without shuffling the large one.
+
+    The large side is first reduced to the keys asked for by a semi join. Spark broadcasts those keys
+    when their size allows it and shuffles otherwise; give a written table as ``small`` so that the
+    size is known.
+    """
+    keys = small.select(*on).distinct()
+    return small.join(large.join(keys, list(on), "left_semi"), list(on), "left")
 
 
 def one_row(stats: DataFrame) -> Column:

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.groups import attach, calendar, keep_last, one_row
+from rankloom.functions.groups import attach, calendar, join_dates, keep_last, one_row
 from rankloom.schema import OHLCV, clean_double, require_columns
 
 
@@ -153,8 +153,8 @@ def impute(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def join_series(df: DataFrame, series: DataFrame) -> DataFrame:
-    """C11. Market-wide columns by exact date."""
-    return df.join(series, "dt", "left")
+    """C11. Market-wide columns by exact date; ``series`` has one row per date."""
+    return join_dates(df, series)
 
 
 def asof_dates(df: DataFrame, series: DataFrame) -> DataFrame:
@@ -166,11 +166,14 @@ def asof_dates(df: DataFrame, series: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     both = calendar(df).join(series.withColumn("_v", F.struct(*cols)).select("dt", "_v"), "dt", "full_outer")
     matched = both.select("dt", F.last("_v", ignorenulls=True).over(w).alias("_v"))
-    return df.join(matched, "dt", "left").select(*df.columns, *[F.col(f"_v.{c}").alias(c) for c in cols])
+    return join_dates(df, matched).select(*df.columns, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
 def asof_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("kdcode",)) -> DataFrame:
-    """C12. Per-key backward as-of join of two large tables: one shuffle by key, no range join."""
+    """C12. Per-key backward as-of join of two large tables: one shuffle by key, no range join.
+
+    Both sides have at most one row per key and date, which bounds the window's partitions.
+    """
     cols = [c for c in right.columns if c not in (*keys, "dt")]
     kind = F.struct(*[F.col(c) for c in cols])
     rest = [c for c in left.columns if c not in (*keys, "dt")]

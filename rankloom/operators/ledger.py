@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.frames import by_entity
-from rankloom.functions.groups import calendar, keep_last
+from rankloom.functions.groups import calendar, keep_last, lookup
 from rankloom.schema import safe_div
 
 
@@ -15,10 +15,9 @@ def target_portfolio(decision: DataFrame, ranked: DataFrame, strategies: DataFra
     target = decision.where("status IN ('survivor', 'entry')").select("strategy_id", "kdcode")
     n = target.groupBy("strategy_id").agg(F.count("*").alias("n"))
     today = F.lit(dt).cast("date")
+    names = target.join(n, "strategy_id").join(strategies.select("strategy_id", "model_id"), "strategy_id")
     return (
-        target.join(n, "strategy_id")
-        .join(strategies.select("strategy_id", "model_id"), "strategy_id")
-        .join(ranked.select("model_id", "kdcode", "rank", "score"), ["model_id", "kdcode"], "left")
+        lookup(names, ranked.select("model_id", "kdcode", "rank", "score"), ["model_id", "kdcode"])
         .join(holdings.select("strategy_id", "kdcode", "entry_date"), ["strategy_id", "kdcode"], "left")
         .select(
             "strategy_id", "kdcode", today.alias("dt"), F.round(1.0 / F.col("n"), 6).alias("weight"), "rank",
@@ -49,7 +48,7 @@ def fills(order_rows: DataFrame, bars: DataFrame, fill_date: str) -> DataFrame:
     """T-c. Orders filled at the open of the fill date."""
     day = F.lit(fill_date).cast("date")
     prices = bars.where(F.col("dt") == day).select("kdcode", F.round("open", 4).alias("fill_price"))
-    return order_rows.drop("dt").join(prices, "kdcode", "left").select(
+    return lookup(order_rows.drop("dt"), prices, ["kdcode"]).select(
         "strategy_id", "kdcode", day.alias("dt"), "side", "fill_price", "reason"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.frames import by_entity, gated, last_rows, rows_before
-from rankloom.functions.groups import attach
+from rankloom.functions.groups import attach, join_dates
 from rankloom.functions.ranking import percent_ranks
 from rankloom.operators.features import EPS, clip, daily_return
 from rankloom.schema import safe_div
@@ -206,7 +206,8 @@ def add_momentum_buffered(df: DataFrame, m: Momentum = Momentum()) -> DataFrame:
     base = stable(_prepared(df, m))
     # A date without any non-zero value gives no signal at all.
     some = base.groupBy("dt").agg(*[F.max(F.col(f"{n}_momentum") != 0).alias(f"_any_{n}") for n in names])
-    out = percent_ranks(base, ["dt"], [f"{n}_momentum" for n in names], written=True).join(some, "dt")
+    out = percent_ranks(base, ["dt"], [f"{n}_momentum" for n in names], written=True)
+    out = join_dates(out, some)
 
     def signal(n: str) -> Column:
         p = F.col(f"{n}_momentum_pct")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.frames import by_entity
-from rankloom.functions.groups import calendar
+from rankloom.functions.groups import calendar, lookup
 from rankloom.functions.ranking import row_numbers, top_k
 from rankloom.schema import safe_div
 from rankloom.session import stable
@@ -198,11 +198,14 @@ def held_days(rebal: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def positions(targets: DataFrame, held: DataFrame, returns: DataFrame) -> DataFrame:
-    """Held names per strategy, tranche and day with the return realised on the entry date."""
+    """Held names per strategy, tranche and day with the return realised on the entry date.
+
+    The K names per tranche and day are written first; the panel's returns are then looked up by
+    those keys instead of being shuffled.
+    """
     r = returns.select("kdcode", F.col("dt").alias("entry_date"), "stock_return")
-    return targets.join(held, ["strategy_id", "tranche_id", "seq"]).join(
-        r, ["kdcode", "entry_date"], "left"
-    )
+    names = stable(targets.join(held, ["strategy_id", "tranche_id", "seq"]))
+    return lookup(names, r, ["kdcode", "entry_date"])
 
 
 def tranche_days(pos: DataFrame) -> DataFrame:
@@ -388,23 +391,22 @@ def holdings_records(bt: Backtest, ranked: DataFrame) -> DataFrame:
     )
     # A short day under block rebalancing has scores but no ranking.
     rank = F.when(F.col("n_preds") >= F.col("top_k"), F.col("rank"))
-    return (
+    held = (
         bt.pos.where(F.col("stock_return").isNotNull())
         .join(tr, ["strategy_id", "tranche_id", "day_no"])
         .join(active, ["strategy_id", "day_no"])
-        .join(r, ["model_id", "pred_date", "kdcode"], "left")
-        .select(
-            "strategy_id",
-            "tranche_id",
-            "pred_date",
-            "entry_date",
-            "kdcode",
-            rank.alias("rank"),
-            "score",
-            weight.alias("weight"),
-            "stock_return",
-            (F.col("stock_return") * weight).alias("contribution"),
-        )
+    )
+    return lookup(held, r, ["model_id", "pred_date", "kdcode"]).select(
+        "strategy_id",
+        "tranche_id",
+        "pred_date",
+        "entry_date",
+        "kdcode",
+        rank.alias("rank"),
+        "score",
+        weight.alias("weight"),
+        "stock_return",
+        (F.col("stock_return") * weight).alias("contribution"),
     )
 
 
@@ -439,11 +441,9 @@ def trade_journal(bt: Backtest, ranked: DataFrame) -> DataFrame:
     ).select(*keys, "kdcode", "e.action", "e.set_no")
     model = bt.rebal.select("strategy_id", "model_id").distinct()
     r = ranked.select("model_id", F.col("dt").alias("pred_date"), "kdcode", "rank", "score")
-    return (
-        events.join(dates, [*keys, "set_no"])
-        .join(model, "strategy_id")
-        .join(r, ["model_id", "pred_date", "kdcode"], "left")
-        .select(*keys, F.coalesce("entry_date", "pred_date").alias("date"), "pred_date", "kdcode", "action", "rank", "score")
+    trades = stable(events.join(dates, [*keys, "set_no"]).join(model, "strategy_id"))
+    return lookup(trades, r, ["model_id", "pred_date", "kdcode"]).select(
+        *keys, F.coalesce("entry_date", "pred_date").alias("date"), "pred_date", "kdcode", "action", "rank", "score"
     )
 
 
@@ -461,9 +461,8 @@ def calendar_returns(daily: DataFrame, bm: DataFrame) -> DataFrame:
         F.min("entry_date").alias("first_day"), F.max("entry_date").alias("last_day")
     )
     dates = bm.select("dt", F.coalesce("benchmark_return", F.lit(0.0)).alias("benchmark_return"))
-    grid = span.join(dates, F.col("dt").between(F.col("first_day"), F.col("last_day"))).select(
-        "strategy_id", "dt", "benchmark_return"
-    )
+    days = span.select("strategy_id", F.explode(F.sequence("first_day", "last_day")).alias("dt"))
+    grid = days.join(dates, "dt").select("strategy_id", "dt", "benchmark_return")
     booked = daily.select("strategy_id", F.col("entry_date").alias("dt"), "net_return")
     return grid.join(booked, ["strategy_id", "dt"], "left").select(
         "strategy_id",
@@ -483,10 +482,11 @@ def rank_drop_step(ranked: DataFrame, holdings: DataFrame, prev_ranks: DataFrame
     prev_ranks(model_id, kdcode, prev_rank). Only the K best can enter: at most ``survivors`` of
     them are held already, which leaves enough of them for the open slots.
     """
+    now = ranked.select("model_id", "kdcode", F.col("rank").alias("curr_rank"))
+    before = prev_ranks.select("model_id", "kdcode", "prev_rank")
+    on = ["model_id", "kdcode"]
     held = (
-        holdings.join(strategies, "strategy_id")
-        .join(ranked.select("model_id", "kdcode", F.col("rank").alias("curr_rank")), ["model_id", "kdcode"], "left")
-        .join(prev_ranks.select("model_id", "kdcode", "prev_rank"), ["model_id", "kdcode"], "left")
+        lookup(lookup(holdings.join(strategies, "strategy_id"), now, on), before, on)
         .withColumn("rank_drop", F.col("curr_rank") - F.col("prev_rank"))
         .withColumn(
             "status",

@@ -45,8 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder of the shared folder for one written table."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder for one written table, below one folder per application that can be removed with it."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/rankloom-{run}/{label}-{uuid.uuid4().hex}"
 
 
 def stable(df: DataFrame) -> DataFrame:
