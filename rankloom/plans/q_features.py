@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.functions.frames import by_entity
+from rankloom.functions.frames import by_entity, last_rows
 from rankloom.operators import features as fe
 from rankloom.operators import momentum as mo
+from rankloom.operators.feature_sets import FeatureConfig, add_features
 from rankloom.plans import testdata as td
-from rankloom.plans.registry import check_sql, query, r, rounded, share
+from rankloom.plans import q_regime  # noqa: F401  (its check SQL is reused)
+from rankloom.plans.registry import ORACLES, SHARED, check_sql, query, r, rounded, share
 
 W = "(PARTITION BY kdcode ORDER BY dt)"
 
@@ -302,8 +304,6 @@ def f16(spark, sf):
 def f17(spark, sf):
     # Up to row 50 both averages see the same rows and differ by float noise only; compare at 7 digits.
     w = by_entity()
-    from rankloom.functions.frames import last_rows
-
     s, l = (F.round(F.avg("close").over(last_rows(w, n)), 7) for n in (50, 200))
     df = fe.add_moving_average_features(bars(spark, sf)).withColumn("ma_cross", (s > l).cast("double"))
     return rounded(df.select("kdcode", "dt", "dist_ma50", "dist_ma200", "ma_cross"), "dist_ma50", "dist_ma200")
@@ -355,12 +355,37 @@ def f19(spark, sf):
     return rounded(rounded(df, *ratios, digits=5), *[c for c in fe.CREDIT_FEATURES if c not in ratios], digits=8)
 
 
-@query("f20_feature_set")
-def f20(spark, sf):
-    from rankloom.operators.feature_sets import FeatureConfig, add_features
+def _dense(name: str) -> str:
+    """The check SQL of a market-wide family on the full series."""
+    return ORACLES[name].replace(SHARED["sparse_macro"][1], "SELECT * FROM macro_d")
+
 
+_families = ("f2_price_features", "f3_volume_features", "f12_momentum_binary", "f15_volatility", "f16_rsi", "f17_moving_averages", "g6_panel_regime")
+
+
+@query(
+    "f20_feature_set",
+    check_sql(
+        "bars_d",
+        "SELECT b.kdcode, b.dt, "
+        + ", ".join(f"{r(f'b.{c}', 7)} AS {c}" for c in ("open", "high", "low", "close", "volume"))
+        + f", {r('b.close * b.volume', 7)} AS turnover, "
+        + ", ".join(f"x{i}.* EXCLUDE (kdcode, dt)" for i in range(len(_families) + 2))
+        + " FROM bars_d b "
+        + " ".join(
+            f"JOIN ({q}) x{i} ON x{i}.kdcode = b.kdcode AND x{i}.dt = b.dt"
+            for i, q in enumerate([*[ORACLES[n] for n in _families], _dense("f18_vix"), _dense("f19_credit")])
+        ),
+    ),
+)
+def f20(spark, sf):
     c = FeatureConfig(
         price=True, volume=True, volatility=True, vix=True, credit=True, regime=True, rsi=True, moving_averages=True, momentum_settings=DYN
     )
     m = td.macro_d(spark, sf)
-    return add_features(bars(spark, sf), c, m.select("dt", "vix"), m.select("dt", "ig_spread", "hy_spread"), td.regime_d(spark, sf))
+    df = add_features(bars(spark, sf), c, m.select("dt", "vix"), m.select("dt", "ig_spread", "hy_spread"), td.regime_d(spark, sf))
+    seven = ("open", "high", "low", "close", "volume", "turnover", "dollar_volume")
+    eight = ("ig_spread", "hy_spread", "credit_spread_diff")
+    five = ("momentum_blend", "rsi_14", "ig_spread_change", "hy_spread_change", "ig_spread_zscore", "hy_spread_zscore")
+    six = [x for x in df.columns if x not in ("kdcode", "dt", *seven, *eight, *five)]
+    return rounded(rounded(rounded(rounded(df, *seven, digits=7), *eight, digits=8), *five, digits=5), *six)
