@@ -106,7 +106,8 @@ def return_rows(
     rets = entity_returns(df).where(F.col("ret").isNotNull())
     if members is not None:
         rets = rets.join(members.select("kdcode"), "kdcode", "left_semi")
-    rows = rets.join(window_days.select("valid_from", "dt"), "dt")
+    # Read for the dates that occur and for the rows.
+    rows = stable(rets.join(window_days.select("valid_from", "dt"), "dt"))
     w = Window.partitionBy("valid_from").orderBy("dt")  # one row per snapshot and date
     seen = rows.select("valid_from", "dt").distinct()
     seen = seen.withColumn("pos", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("valid_from")))
@@ -236,7 +237,7 @@ def add_lead_lag(edges: DataFrame, rows: DataFrame, lags: Sequence[int] = (1, 2,
     """E6. ``lag_norm`` and ``lag_corr``: the lag (0 first) with the strongest correlation of src
     with the later dst; 0 when none can be computed.
     """
-    v = entity_vectors(rows)
+    v = stable(entity_vectors(rows))  # joined once per end of an edge
     both = edges.join(
         v.select("valid_from", F.col("kdcode").alias("src"), "n", F.col("idx").alias("idx_a"), F.col("val").alias("val_a")),
         ["valid_from", "src"],

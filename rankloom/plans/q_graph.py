@@ -154,14 +154,15 @@ def e10(spark, sf):
 
 @query(
     "e11_sector_edges",
-    """WITH s AS (SELECT s_suppkey AS kdcode, CASE WHEN s_nationkey % 5 = 0 THEN 'UNKNOWN' ELSE s_nationkey::VARCHAR END AS sector FROM supplier),
+    """WITH s AS (SELECT s_suppkey AS kdcode, CASE WHEN s_acctbal <= 0 THEN 'UNKNOWN' ELSE s_nationkey::VARCHAR END AS sector FROM supplier),
     p AS (SELECT a.kdcode AS src, b.kdcode AS dst, row_number() OVER (PARTITION BY a.kdcode ORDER BY b.kdcode) AS k FROM s a JOIN s b ON a.sector = b.sector AND a.kdcode <> b.kdcode)
     SELECT src, dst, 1::DOUBLE AS weight FROM p WHERE k <= 3""",
 )
 def e11(spark, sf):
-    s = td.sector_map(spark, sf)
-    known = s.where(F.col("sector").cast("int") % 5 != 0)
-    return gr.sector_edges(s.select("kdcode"), known, 3)
+    """Suppliers with no positive balance have no known sector."""
+    s = td.table(spark, sf, "supplier")
+    known = s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("kdcode"), F.col("s_nationkey").cast("string").alias("sector"))
+    return gr.sector_edges(s.select(F.col("s_suppkey").alias("kdcode")), known, 3)
 
 
 @query(

@@ -150,12 +150,6 @@ share(
 )
 
 
-def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("kdcode"), F.col("s_nationkey").cast("string").alias("sector")
-    )
-
-
 def pit_universe(bars: DataFrame) -> DataFrame:
     return bars.groupBy("kdcode").agg(
         F.date_add(F.min("dt"), 30).alias("valid_from"), F.date_sub(F.max("dt"), 30).alias("valid_to")
