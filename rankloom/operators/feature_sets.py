@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.groups import calendar, join_dates
 from rankloom.operators import features as fe
 from rankloom.operators import momentum as mo
 from rankloom.operators.regime import Regime, add_regime_features, regime_columns
+from rankloom.session import stable
 
 # Column names of each feature family.
 BASE = ("close", "open", "high", "low", "volume", "turnover")
@@ -87,6 +89,21 @@ def _missing(df: DataFrame, name: str, columns: Sequence[str], strict: bool) ->
     return df.select("*", *[F.lit(0.0).alias(c) for c in columns])
 
 
+def market_features(
+    df: DataFrame, c: FeatureConfig, vix: DataFrame | None, credit: DataFrame | None, regime: DataFrame | None
+) -> DataFrame:
+    """The configured market-wide families on the panel's dates: one row per date."""
+    out = stable(calendar(df))
+    if c.vix:
+        out = _missing(out, "vix", fe.VIX_FEATURES, c.strict) if vix is None else fe.add_vix_features(out, vix)
+    if c.credit:
+        out = _missing(out, "credit", fe.CREDIT_FEATURES, c.strict) if credit is None else fe.add_credit_features(out, credit)
+    if c.regime:
+        cols = regime_columns(c.regime_settings.subsequent, c.regime_settings.horizons)
+        out = _missing(out, "regime", cols, c.strict) if regime is None else add_regime_features(out, regime, c.regime_settings)
+    return stable(out)
+
+
 def add_features(
     df: DataFrame,
     c: FeatureConfig,
@@ -96,7 +113,8 @@ def add_features(
 ) -> DataFrame:
     """Add every configured family; a missing series gives zero columns, or raises when strict.
 
-    Per-entity families come first: their windows share one shuffle by entity.
+    Per-entity families share one shuffle by entity. The market-wide ones are computed on the dates
+    alone and joined once.
     """
     out = fe.add_turnover(df)
     if c.price:
@@ -113,11 +131,6 @@ def add_features(
         out = ENCODINGS[c.encoding](out, c.momentum_settings)
         if not c.weekly:
             out = out.drop(*WEEKLY)
-    if c.vix:
-        out = _missing(out, "vix", fe.VIX_FEATURES, c.strict) if vix is None else fe.add_vix_features(out, vix)
-    if c.credit:
-        out = _missing(out, "credit", fe.CREDIT_FEATURES, c.strict) if credit is None else fe.add_credit_features(out, credit)
-    if c.regime:
-        cols = regime_columns(c.regime_settings.subsequent, c.regime_settings.horizons)
-        out = _missing(out, "regime", cols, c.strict) if regime is None else add_regime_features(out, regime, c.regime_settings)
+    if c.vix or c.credit or c.regime:
+        out = join_dates(out, market_features(df, c, vix, credit, regime))
     return out.select("kdcode", "dt", *feature_columns(c))

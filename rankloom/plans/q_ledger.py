@@ -32,20 +32,26 @@ share(
 )
 
 
-def decided(spark, sf):
-    """Decision, ranks, earlier holdings and strategies."""
-    cur, holdings, prev, gated = gate_inputs(spark, sf)
-    return po.rank_drop_step(cur, holdings, prev, gated), cur, holdings, gated
+class Decision:
+    """One decision of the gated strategies with everything it was made from."""
+
+    def __init__(self, spark, sf):
+        self.ranked, self.holdings, prev, self.strategies = gate_inputs(spark, sf)
+        self.rows = stable(po.rank_drop_step(self.ranked, self.holdings, prev, self.strategies))
+
+    def target(self):
+        return le.target_portfolio(self.rows, self.ranked, self.strategies, self.holdings, CUR)
+
+    def orders(self):
+        return le.orders(self.rows, self.holdings, CUR)
 
 
 def target(spark, sf):
-    d, cur, holdings, gated = decided(spark, sf)
-    return le.target_portfolio(d, cur, gated, holdings, CUR)
+    return Decision(spark, sf).target()
 
 
 def order_rows(spark, sf):
-    d, _, holdings, _ = decided(spark, sf)
-    return le.orders(d, holdings, CUR)
+    return Decision(spark, sf).orders()
 
 
 @query("ta_target_portfolio", check_sql("target", "SELECT * FROM target"))
@@ -149,7 +155,7 @@ def tf(spark, sf):
     ),
 )
 def tg(spark, sf):
-    o = order_rows(spark, sf)
+    o = stable(order_rows(spark, sf))
     new = le.fills(o, td.bars_m(spark, sf), FILL).select("strategy_id", "kdcode", "dt", "side", "fill_price")
     old = o.select("strategy_id", "kdcode", "dt", "side", F.lit(1.0).alias("fill_price"))
     wrong = new.withColumn("fill_price", F.lit(-1.0))
@@ -164,8 +170,8 @@ def tg(spark, sf):
     ),
 )
 def th(spark, sf):
-    fill_rows = le.fills(order_rows(spark, sf), td.bars_m(spark, sf), FILL)
-    return rounded(le.active_positions(target(spark, sf), fill_rows), "weight")
+    d = Decision(spark, sf)
+    return rounded(le.active_positions(d.target(), le.fills(d.orders(), td.bars_m(spark, sf), FILL)), "weight")
 
 
 @query("ti_pending_dates", check_sql("ticks", "SELECT DISTINCT dt FROM ticks WHERE dt > (SELECT max(dt) FROM ticks WHERE dt <= DATE '2001-08-15')"))
@@ -192,5 +198,6 @@ def tj(spark, sf):
 
 @query("tk_daily_report")
 def tk(spark, sf):
-    ledger = le.performance_ledger(ledger_input(spark, sf))
-    return le.daily_report(ledger, pf.recent_stats(ledger), target(spark, sf), order_rows(spark, sf), FILL)
+    ledger = stable(le.performance_ledger(ledger_input(spark, sf)))
+    d = Decision(spark, sf)
+    return le.daily_report(ledger, pf.recent_stats(ledger), d.target(), d.orders(), FILL)
