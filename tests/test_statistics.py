@@ -238,3 +238,34 @@ def test_point_in_time_overlap(spark):
     u = spark.createDataFrame([(1, D[0], D[10]), (1, D[4], D[9])], "kdcode bigint, valid_from date, valid_to date")
     assert clean.point_in_time(df, u).count() == 1
     assert clean.point_in_time(df, u, dedupe=False).count() == 2
+
+
+def test_fingerprint_ignores_order_and_sees_changes(spark):
+    from rankloom.sources.panel import fingerprint
+
+    df = spark.createDataFrame([(k, D[k % 7], float(k)) for k in range(50)], "kdcode bigint, dt date, close double")
+    a = fingerprint(df).first()
+    assert fingerprint(df.orderBy(F.rand(2)).repartition(5)).first() == a and (a.n_rows, a.first_dt, a.last_dt) == (50, D[0], D[6])
+    assert fingerprint(df.withColumn("close", F.when(F.col("kdcode") == 3, 0.5).otherwise(F.col("close")))).first().row_hash != a.row_hash
+
+
+def test_daily_report_holds_the_date(spark):
+    import json
+
+    rows = [(1, D[0], 0.1, 0.0, 1.0, 2, 2, 0), (1, D[1], -0.5, 0.1, 0.0, 0, 2, 0)]
+    daily = spark.createDataFrame(rows, "strategy_id int, dt date, portfolio_return double, benchmark_return double, turnover double, num_trades int, num_holdings int, seq int")
+    ledger = le.performance_ledger(daily)
+    target = spark.createDataFrame([(1, 20, 0.5), (1, 10, 0.5)], "strategy_id int, kdcode bigint, weight double")
+    orders = spark.createDataFrame([(1, 30, "SELL")], "strategy_id int, kdcode bigint, side string")
+    doc = json.loads(le.daily_report(ledger, pf.recent_stats(ledger), target, orders, str(D[1])).first().report)
+    assert doc["performance"]["portfolio_return"] == -0.5 and doc["rolling"]["num_days"] == 2
+    assert [h["kdcode"] for h in doc["holdings"]] == [10, 20] and doc["orders"][0]["side"] == "SELL"
+
+
+def test_p_value_and_back(spark):
+    df = spark.createDataFrame([(1, 0.5, 4.0), (2, -1.0, 1.0), (3, 0.0, 4.0), (4, 1.0, 0.0)], "s int, sharpe double, years double")
+    got = {r.s: r for r in pf.add_significance(df, "sharpe", "years").withColumn("back", pf.t_of_p(F.col("p_value"))).collect()}
+    nd = NormalDist()
+    for i, t in ((1, 1.0), (2, -1.0), (3, 0.0), (4, 0.0)):
+        assert got[i].t_stat == pytest.approx(t) and got[i].p_value == pytest.approx(2 * (1 - nd.cdf(abs(t))))
+        assert got[i].back == pytest.approx(abs(t), abs=1e-9)
