@@ -10,6 +10,7 @@ from public_tokenizers import path as tokenizer_path
 
 from rankloom.llm import chat, counting, decontaminate, languages, licenses, neighbours, packing, simhash, suffixes, toxicity
 
+TOXIC = 0.3  # score from which a document counts as toxic
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -83,7 +84,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.scores(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 @query

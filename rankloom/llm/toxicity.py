@@ -261,6 +261,12 @@ def _landmarks(words: tuple[bytes, ...]) -> Landmarks:
     return _HELD[words]
 
 
+def keep_clean(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The documents that score less than ``least``, with all their columns."""
+    row = docs.select(F.struct("*").alias("row"), "text")
+    return scores(row, model, key="row").filter(F.col("score") < least).select("row.*")
+
+
 def scores(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
     """key, score: one row per document row."""
     kind = docs.schema[key].dataType.simpleString()
