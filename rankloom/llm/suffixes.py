@@ -12,13 +12,15 @@ place and at the place k further on, and places whose name is unique are dropped
 2. Spark sorts the anchors by (32-byte name, name of all bytes that strings of this anchor cover, place). Anchors with a
    unique 32-byte name are dropped. Where the longer name was met earlier, all strings of the anchor repeat: their bytes
    go. The first of each longer name goes on if the shorter one has several.
-3. For these, Spark sorts the strings one by one by their 100-byte name, the pair of the 64-byte names at a place and 36
-   further on. All but the first of each name repeat.
-4. The places found are brought to their documents, and joined to spans there.
+3. Spark sorts these again in runs of up to eight strings, which begin at fixed distances from the anchor, by the names of
+   all their bytes; what repeats goes, what does not differ anywhere is dropped.
+4. Of the runs left, Spark sorts the strings one by one by their 100-byte name, the pair of the 64-byte names at a place
+   and 36 further on. All but the first of each name repeat.
+5. The places found are brought to their documents, and joined to spans there.
 
 Copies met in one task are marked before the shuffle, so a passage that a third of all rows share sends one row per
 task; the scan over sorted rows holds one batch. Names that decide have 128 bits, and are taken as the strings themselves.
-A document is read in overlapping parts of about a quarter MB. Documents are shuffled once by doc_id, for 3. and 4.
+A document is read in overlapping parts of about a quarter MB. Documents are shuffled once by doc_id, for 3. to 5.
 
 A null text is empty. Rows without doc_id have no place in the order: they are returned whole and make no other string a
 repeat. Rows that repeat a doc_id and its text are one document and answered each; other texts with the same doc_id follow
@@ -94,6 +96,13 @@ def _parts(text: bytes, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, np.frombuffer(text, np.uint8, min(PART + threshold - 1, len(text) - at), at)
 
 
+def _whole(long: np.ndarray, first: np.ndarray, count: np.ndarray, distance: np.ndarray, threshold: int) -> np.ndarray:
+    """The name of all bytes of runs of strings, with where their anchor lies."""
+    last = first + count - 1 + threshold - LONG  # where the last 64 bytes start
+    name = _pair(long[first], long[np.minimum(first + LONG - 12, last)], 101)
+    return _pair(_pair(name, long[last], 102), (count * 256 + distance).astype(np.uint64), 103)
+
+
 def _runs(text: bytes, threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By part: where it starts, and for each run of strings with one anchor the first string, how many there are, the
     name of the anchor and that of all their bytes."""
@@ -102,11 +111,7 @@ def _runs(text: bytes, threshold: int) -> Iterator[tuple[int, np.ndarray, np.nda
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.append(first, len(anchor)))
         place = anchor[first]
-        last = first + count - 1 + threshold - LONG  # where the last 64 bytes start
-        whole = _pair(long[first], long[np.minimum(first + LONG - 12, last)], 101)
-        whole = _pair(whole, long[last], 102)
-        whole = _pair(whole, (count * 256 + place - first).astype(np.uint64), 103)
-        yield at, first, count, short[place], whole
+        yield at, first, count, short[place], _whole(long, first, count, place - first, threshold)
 
 
 def _text_hash(text: bytes) -> int:
@@ -143,6 +148,9 @@ class _Sender:
             place = np.where(several, place | _SEVERAL, place)
         place = np.where(same, place | _COVERED, place)
         a = np.where(same, _mix(place.view(np.uint64)).view(np.int64), a)  # marked rows go anywhere
+        b = np.where(same, 0, b)
+        back = np.argsort(order)  # neighbours in a text stay neighbours, which packs better
+        a, b, doc, place, again = a[back], b[back], doc[back], place[back], again[back]
         none = np.zeros_like(extra)
         columns = [pa.array(np.concatenate([x[~again], y])) for x, y in ((a, extra), (b, none), (doc, none), (place, none))]
         return pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc", "place"])
@@ -165,30 +173,43 @@ def _send_anchors(threshold: int):
     return run
 
 
-def _send_strings(threshold: int):
-    """Documents with their anchors in question: the 100-byte names of all strings of these."""
+def _open_strings(text: bytes, places: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By part: where it starts, its bytes, and the starts in it of the strings at the places."""
+    places = np.sort(places[places >> _HASH == _text_hash(text)])
+    start, count = _start_of(places), places & 127
+    for at, data in _parts(text, threshold):
+        here = slice(*np.searchsorted(start, [at, at + PART]))
+        if here.start < here.stop:
+            n = count[here]
+            yield at, data, np.repeat(start[here] - at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _send_open(threshold: int, single: bool):
+    """Documents with the places of their strings in question: runs of up to eight, or single ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender()
         for batch in batches:
             for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(batch.num_columns - 1), strict=True):
-                text, places = text.as_py() or b"", places.values.to_numpy()
-                places = np.sort(places[places >> _HASH == _text_hash(text)])
+                text = text.as_py() or b""
                 top = np.int64(_text_hash(text)) << _HASH
-                start, count = _start_of(places), places & 127
-                for at, data in _parts(text, threshold):
-                    here = slice(*np.searchsorted(start, [at, at + PART]))
-                    if here.start == here.stop:
-                        continue
-                    n = count[here]
-                    string = np.repeat(start[here] - at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    (_, one), (_, two) = _names(data, 0), _names(data, 1000)
-                    further = string + threshold - LONG
-                    sender.add(_pair(one[string], one[further], 104), _pair(two[string], two[further], 105), doc, top | ((at + string) << _START) | 1)
+                for at, data, string in _open_strings(text, places.values.to_numpy(), threshold):
+                    if single:
+                        (_, one), (_, two) = _names(data, 0), _names(data, 1000)
+                        further, count = string + threshold - LONG, np.ones(len(string), np.int64)
+                        a, b = _pair(one[string], one[further], 104), _pair(two[string], two[further], 105)
+                    else:
+                        anchor, short, long = _anchors(data, threshold)
+                        place = anchor[string]
+                        step = (place - string) >> 3
+                        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (step[1:] != step[:-1]) | (np.diff(string) != 1)]))
+                        count, string, place, step = np.diff(np.append(first, len(string))), string[first], place[first], step[first]
+                        a, b = _pair(short[place], step.astype(np.uint64), 107), _whole(long, string, count, place - string, threshold)
+                    sender.add(a, b, doc, top | ((at + string) << _START) | count)
                     if sender.held >= HELD:
-                        yield sender.batch(False)
+                        yield sender.batch(not single)
         if sender.held:
-            yield sender.batch(False)
+            yield sender.batch(not single)
 
     return run
 
@@ -272,28 +293,29 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [F.struct(*carry).alias("rest")] if carry else []
     texts = docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *rest)
-    order = ["a", "b", "doc", "place"]
-    judged = (
-        texts.select("doc", "text").filter("doc IS NOT NULL")
-        .mapInArrow(_send_anchors(threshold), "a long, b long, doc long, place long")
-        .repartition("a").sortWithinPartitions(*order)
-        .mapInArrow(_scan(True), "doc long, place long, repeats boolean")
-        .groupBy("doc")
-        .agg(F.collect_list(F.when(F.col("repeats"), F.col("place"))).alias("found"), F.collect_list(F.when(~F.col("repeats"), F.col("place"))).alias("open"))
-    )
-    judged = stable(judged)
-    # both uses read the same columns, so that Spark shuffles the texts once
+    def judged(sent: DataFrame, single: bool = False) -> DataFrame:
+        """doc, found (places that repeat), open (places that go on)."""
+        rows = sent.repartition("a").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(_scan(not single), "doc long, place long, repeats boolean")
+        return rows.groupBy("doc").agg(F.collect_list(F.when(F.col("repeats"), F.col("place"))).alias("found"), F.collect_list(F.when(~F.col("repeats"), F.col("place"))).alias("open"))
+
+    names = "a long, b long, doc long, place long"
+    anchors = stable(judged(texts.select("doc", "text").filter("doc IS NOT NULL").mapInArrow(_send_anchors(threshold), names)))
+    # all uses read the same columns, so that Spark shuffles the texts once
     placed = texts.repartition(parts, "doc")
-    strings = (
-        placed.join(judged.filter("size(open) > 0").select("doc", "open"), "doc")
-        .select(*placed.columns, "open")
-        .mapInArrow(_send_strings(threshold), "a long, b long, doc long, place long")
-        .repartition("a").sortWithinPartitions(*order)
-        .mapInArrow(_scan(False), "doc long, place long, repeats boolean")
-        .groupBy("doc").agg(F.collect_list("place").alias("more"))
-    )
+
+    def send_open(found: DataFrame, single: bool) -> DataFrame:
+        going_on = placed.join(found.filter("size(open) > 0").select("doc", "open"), "doc").select(*placed.columns, "open")
+        return judged(going_on.mapInArrow(_send_open(threshold, single), names), single)
+
+    runs = stable(send_open(anchors, False))
+    strings = send_open(runs, True)
     none = F.expr("CAST(array() AS array<long>)")
-    found = judged.select("doc", "found").join(strings, "doc", "left").select("doc", F.concat("found", F.coalesce("more", none)).alias("places"))
+    found = (
+        anchors.select("doc", "found")
+        .join(runs.select("doc", F.col("found").alias("more")), "doc", "left")
+        .join(strings.select("doc", F.col("found").alias("most")), "doc", "left")
+        .select("doc", F.concat("found", F.coalesce("more", none), F.coalesce("most", none)).alias("places"))
+    )
     kind = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in placed.schema if f.name != "text")
     return (
         placed.join(found, "doc", "left")
