@@ -4,24 +4,28 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 # Letters, numbers and white space below U+0100, as Unicode has them (fixed values).
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
-WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+# a blank after white space that no word follows belongs to the white space before it
+_JOINED = re.compile(rf"[{_S}] (?:[{_S}]|\Z)")
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit numbers.
+    """Ids of a byte-level BPE file of the tokenizers library, as unsigned 32-bit numbers, little-endian.
+
+    The library cuts a text into words before it merges, and a word never goes on over a blank, so what stands between
+    two blanks has the same ids in any text. Only such pieces as were not met lately are encoded; the two generations of
+    remembered ones are bounded. This is so for texts of characters below U+0100, without special tokens and without
+    blanks that belong to other white space; other texts go to the library as they are.
 
-    The library cuts a text into words before it merges, so the ids of a word are the same in any text: texts of
-    characters below U+0100 are cut here, and only words not met lately are encoded. Other texts, and texts that hold a
-    special token, go to the library as they are.
+    Where the merges of the file rank as their ids, pieces are encoded by tiktoken, which then gives the same ids faster.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), remembered
@@ -32,29 +36,54 @@ class ByteBpe:
         step = spec["pre_tokenizer"] or {}
         self.cuts = spec["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.words: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.fast = self._ranked(spec["model"]) if self.cuts else None
+
+    def _ranked(self, model: dict):
+        """The same merges for tiktoken, if each merge's token has the next id after the 256 bytes."""
+        vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = sorted(set(range(256)) - set(own))
+        byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+        if any(vocab[a + b] != 256 + n for n, (a, b) in enumerate(merges)) or model.get("ignore_merges"):
+            return None
+        import tiktoken
+
+        ranks = {bytes(byte[c] for c in token): n for token, n in vocab.items() if n < 256 + len(merges)}
+        return tiktoken.Encoding("file", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bool:
+        return bool(self.cuts) and (text.isascii() or max(text) < "Ā") and not any(s in text for s in self.special) and not _JOINED.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if self.cuts and (text.isascii() or max(text) < "Ā") and not any(s in text for s in self.special):
-                cut[i] = WORD.findall(text)
+        cut = {i: text.split(" ") for i, text in enumerate(texts) if text and self._plain(text)}
         rest = [i for i in range(len(texts)) if i not in cut]
-        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
             out[i] = ids
-        known = self.words
-        if new := list({w for words in cut.values() for w in words if w not in known}):
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list({w for words in cut.values() for w in words})
-            known.update(zip(new, self._ids(new), strict=True))
-        for i, words in cut.items():
-            out[i] = b"".join(map(known.__getitem__, words))
+        young, old = self.young, self.old
+        missing = set().union(*[words[1:] for words in cut.values()]).difference(young)
+        if len(young) + len(missing) > self.limit:
+            self.old, self.young = young, {}
+            missing = set().union(*[words[1:] for words in cut.values()])
+            young, old = self.young, self.old
+        young.update((w, old[w]) for w in missing if w in old)
+        new = [w for w in missing if w not in young]
+        young.update(zip(new, self._pieces([" " + w for w in new]), strict=True))
+        first = self._pieces([words[0] for words in cut.values()])
+        for start, (i, words) in zip(first, cut.items(), strict=True):
+            out[i] = start + b"".join(map(young.__getitem__, words[1:]))
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        if self.fast is None:
+            return self._library(texts)
+        encode = self.fast._core_bpe.encode_ordinary if hasattr(self.fast, "_core_bpe") else self.fast.encode_ordinary
+        return [array("I", encode(t)).tobytes() for t in texts]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
