@@ -26,6 +26,13 @@ def join_dates(df: DataFrame, per_date: DataFrame) -> DataFrame:
     return df.join(F.broadcast(per_date), "dt", "left")
 
 
+def join_series_dates(df: DataFrame, series: DataFrame) -> DataFrame:
+    """Left join of a caller's table by date, which must have one row per date; Spark chooses by its size how."""
+    once = F.expr("IF(count(*) = 1, true, raise_error('more than one row for a date'))").alias("_once")
+    checked = series.groupBy("dt").agg(*[F.first(c).alias(c) for c in series.columns if c != "dt"], once)
+    return df.join(checked.where("_once").drop("_once"), "dt", "left")
+
+
 def lookup(small: DataFrame, large: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join of a small table to a large one without shuffling the large one.
 

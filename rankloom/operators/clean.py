@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.groups import attach, calendar, join_dates, keep_last, one_row
+from rankloom.functions.groups import attach, calendar, join_dates, join_series_dates, keep_last, one_row
 from rankloom.schema import OHLCV, clean_double, require_columns
 
 
@@ -153,8 +153,8 @@ def impute(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def join_series(df: DataFrame, series: DataFrame) -> DataFrame:
-    """C11. Market-wide columns by exact date; ``series`` has one row per date."""
-    return join_dates(df, series)
+    """C11. Market-wide columns by exact date; more than one row for a date is an error."""
+    return join_series_dates(df, series)
 
 
 def asof_dates(df: DataFrame, series: DataFrame) -> DataFrame:

@@ -45,14 +45,15 @@ class Selection:
 def snapshot_dates(spark: SparkSession, start: str, end: str, months: int) -> DataFrame:
     """E7. Snapshot dates every ``months`` months; 0 gives the start only.
 
-    Starts after day 28 should use ``snapshot_list``: a month sequence keeps the day of the start.
+    Each date is the one before moved on, so a start after day 28 keeps the day that its first short month left it.
     """
     one = spark.range(1)
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     if months == 0:
         return one.select(lo.alias("valid_from"))
-    step = F.expr(f"interval {int(months)} months")
-    return one.select(F.explode(F.sequence(lo, hi, step)).alias("valid_from"))
+    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.months_between(hi, lo) / int(months)).cast("int") + 1))
+    moved = F.aggregate(turns, F.array(lo), lambda a, _: F.concat(a, F.array(F.add_months(F.element_at(a, -1), int(months)))))
+    return one.select(F.explode(F.filter(moved, lambda d: d <= hi)).alias("valid_from"))
 
 
 def snapshot_list(spark: SparkSession, dates: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.groups import attach
 from rankloom.functions.normal import norm_cdf, norm_ppf
+from rankloom.functions.ranking import running_total
 from rankloom.schema import safe_div
 
 YEAR = 252
@@ -109,10 +110,11 @@ def t_of_p(p: Column) -> Column:
 def adjust_p_values(df: DataFrame, p: str, key: str) -> DataFrame:
     """P8. Bonferroni, Holm and BHY adjusted values; rank 1 is the smallest p.
 
-    One row per tested strategy: the table is as small as the list of strategies.
+    Ranks come from a range partitioning, so the number of strategies may be large.
     """
-    w = Window.partitionBy(F.lit(0))
-    d = df.withColumn("p_rank", F.row_number().over(w.orderBy(p, key))).withColumn("num_tests", F.count("*").over(w))
+    names = df.columns
+    d = running_total(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(p), F.col(key)], F.lit(1), "p_rank", total="num_tests")
+    d = d.select(*names, F.col("p_rank").cast("int").alias("p_rank"), F.col("num_tests").cast("bigint").alias("num_tests"))
     m, k, x = F.col("num_tests"), F.col("p_rank"), F.col(p)
     c_m = F.aggregate(F.sequence(F.lit(1).cast("bigint"), m), F.lit(0.0), lambda a, i: a + 1.0 / i)
     one = F.lit(1.0)

@@ -348,14 +348,15 @@ class Backtest:
     daily: DataFrame
 
 
-def backtest(scores: DataFrame, bars: DataFrame, strategies: DataFrame, max_k: int, ranked: DataFrame | None = None) -> Backtest:
-    """B4, B7, B8, B15 without a gate: all styles of the strategy table in one plan.
+def backtest(scores: DataFrame, bars: DataFrame, strategies: DataFrame, ranked: DataFrame | None = None) -> Backtest:
+    """B4, B7, B8, B15 without a gate: all styles of the strategy table in one plan. K is the largest ``top_k`` there.
 
     The panel and the scores are read once each: the realised returns and the best names are written
     to the shared folder, and every later step starts from those.
     """
     returns = stable(open_to_open(bars))
-    best = stable(best_scores(scores, max_k)) if ranked is None else ranked
+    largest = strategies.agg(F.max("top_k").alias("k")).first().k or 1
+    best = stable(best_scores(scores, largest)) if ranked is None else ranked
     days = stable(prediction_days(scores if ranked is None else ranked, strategies, entry_dates(returns)))
     rebal = rebalances(days)
     return _book(days, rebal, top_targets(rebal, best), returns)

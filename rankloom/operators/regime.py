@@ -30,8 +30,8 @@ class Regime:
     horizons: tuple[int, ...] = (1, 3)
 
     def __post_init__(self) -> None:
-        if min(self.change, self.window, self.min_history) < 1 or not 0 < self.quantile <= 1:
-            raise ValueError("windows must be positive and quantile in (0, 1]")
+        if min(self.change, self.window, self.min_history) < 1 or not 0 < self.quantile < 0.5:
+            raise ValueError("windows must be positive and quantile in (0, 0.5)")
         if self.subsequent and self.exclusion < 1:
             raise ValueError("subsequent returns need exclusion >= 1")
         object.__setattr__(self, "horizons", normal_horizons(self.horizons))

@@ -84,12 +84,17 @@ class Walkforward:
             raise ValueError("walk-forward parameters must be positive")
 
 
-def walkforward_windows(df: DataFrame, wf: Walkforward) -> DataFrame:
-    """L6. Train, validation and test dates of every window that fits the panel's date range.
+def walkforward_windows(df: DataFrame, wf: Walkforward, start: str | None = None, end: str | None = None) -> DataFrame:
+    """L6. Train, validation and test dates of every window that fits the configured range, or else the panel's.
 
-    A gap of ``label_t + 1`` days separates the periods; the test period is clamped to the end.
+    With a configured range it is an error if no window fits. A gap of ``label_t + 1`` days separates the periods; the test period is clamped to the end.
     """
-    span = df.agg(F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
+    if (start is None) != (end is None):
+        raise ValueError("give both ends of the range or none")
+    if start is None:
+        span = df.agg(F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
+    else:
+        span = df.sparkSession.range(1).select(F.lit(start).cast("date").alias("first_dt"), F.lit(end).cast("date").alias("last_dt"))
     step = F.expr(f"interval {wf.step_months} months")
     years = 12 * wf.train_years
     starts = span.where(F.add_months("first_dt", years) < F.col("last_dt")).select(
@@ -112,7 +117,10 @@ def walkforward_windows(df: DataFrame, wf: Walkforward) -> DataFrame:
     out = d.withColumn("window_id", F.row_number().over(w))
     if wf.max_windows is not None:
         out = out.where(F.col("window_id") <= wf.max_windows)
-    return out.select("window_id", "train_start", "train_end", "val_start", "val_end", "test_start", "test_end")
+    out = out.select("window_id", "train_start", "train_end", "val_start", "val_end", "test_start", "test_end")
+    if start is not None and out.isEmpty():
+        raise ValueError("no walk-forward window fits the range")
+    return out
 
 
 def panel_by_window(df: DataFrame, windows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.normal import ppf_sql
 from rankloom.operators import normalize as no
 from rankloom.plans import testdata as td
 from rankloom.plans.registry import check_sql, query, r, rounded, share
@@ -68,9 +69,16 @@ def n3(spark, sf):
     return rounded(df.select("kdcode", "dt", *[f"{c}_r" for c in FEATS], *us), *[f"{c}_u" for c in FEATS])
 
 
-@query("n3_rank_gaussian")
+@query(
+    "n3_rank_gaussian",
+    check_sql(
+        "train_d",
+        _r + ", u AS (SELECT f.kdcode, f.dt, " + ", ".join(f"CASE WHEN d_{c}.r IS NOT NULL THEN least(greatest((d_{c}.r + 0.5) / (n_{c}.n + 1), 1e-6), 1 - 1e-6)::DOUBLE END AS {c}" for c in FEATS)
+        + f" FROM features_d f {_rj}) SELECT kdcode, dt, " + ", ".join(f"{r(ppf_sql(c))} AS {c}" for c in FEATS) + " FROM u",
+    ),
+)
 def n3_gauss(spark, sf):
-    return no.rank_gaussian(td.features_d(spark, sf), FEATS, END).select("kdcode", "dt", *FEATS)
+    return rounded(no.rank_gaussian(td.features_d(spark, sf), FEATS, END).select("kdcode", "dt", *FEATS), *FEATS)
 
 
 def _by_date(std: str, final: str) -> str:

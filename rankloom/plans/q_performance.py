@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.normal import cdf_sql, ppf_sql
 from rankloom.operators import evaluate as ev
 from rankloom.operators import performance as pf
 from rankloom.operators import portfolio as po
@@ -115,37 +116,67 @@ def p6(spark, sf):
     return rounded(significant(df, *_p6_big), *_p6_small)
 
 
-@query("p7_significance")
+share(
+    "significance",
+    f"""SELECT *, 2 * (1 - {cdf_sql('abs(t_stat)')}) AS p_value FROM
+    (SELECT *, CASE WHEN years > 0 THEN "ASR" * sqrt(years) ELSE 0 END AS t_stat FROM (SELECT *, num_days / {YEAR}.0::DOUBLE AS years FROM metrics))""",
+    "metrics",
+)
+
+
+def t_sql(p: str) -> str:
+    return f"(CASE WHEN {p} >= 1 THEN 0 WHEN {p} <= 0 THEN 'inf'::DOUBLE ELSE {ppf_sql(f'(1 - {p} / 2)')} END)"
+
+
+@query(
+    "p7_significance",
+    check_sql("significance", f"SELECT strategy_id, {r('t_stat')} AS t_stat, {r('p_value')} AS p_value, {r(t_sql('round(p_value, 6)'), 5)} AS t_back FROM significance"),
+)
 def p7(spark, sf):
     m = metrics(spark, sf).withColumn("years", F.col("num_days") / float(YEAR))
-    return pf.add_significance(m, "ASR", "years").select("strategy_id", "t_stat", "p_value", pf.t_of_p(F.col("p_value")).alias("t_back"))
+    out = rounded(pf.add_significance(m, "ASR", "years").select("strategy_id", "t_stat", "p_value"), "t_stat", "p_value")
+    return rounded(out.withColumn("t_back", pf.t_of_p(F.col("p_value"))), "t_back", digits=5)
 
 
-_p = "1 - avg((net_return > 0)::INTEGER)"
+share(
+    "adjusted",
+    f"""SELECT *, CASE WHEN num_tests <= 1 THEN p_value ELSE least(p_value * num_tests, 1) END AS p_bonferroni,
+    CASE WHEN num_tests <= 1 THEN p_value ELSE least(p_value * (num_tests + 1 - p_rank), 1) END AS p_holm,
+    CASE WHEN num_tests <= 1 THEN p_value ELSE least(p_value * num_tests * (SELECT sum(1.0::DOUBLE / i) FROM range(1, (SELECT count(*) + 1 FROM significance)) x(i)) / p_rank, 1) END AS p_bhy
+    FROM (SELECT *, row_number() OVER (ORDER BY p_value, strategy_id) AS p_rank, count(*) OVER () AS num_tests FROM significance)""",
+    "significance",
+)
 
 
 @query(
     "p8_adjusted_p_values",
     check_sql(
-        "bt_daily",
-        f"""WITH p AS (SELECT strategy_id, ({_p}) / 20 AS p FROM bt_daily GROUP BY 1),
-    k AS (SELECT *, row_number() OVER (ORDER BY p, strategy_id) AS p_rank, count(*) OVER () AS num_tests FROM p), c AS (SELECT sum(1.0::DOUBLE / i) AS c FROM range(1, (SELECT count(*) + 1 FROM p)) r(i))
-    SELECT strategy_id, p_rank, num_tests, {r('p')} AS p, {r('least(p * num_tests, 1)')} AS p_bonferroni, {r('least(p * (num_tests + 1 - p_rank), 1)')} AS p_holm,
-    {r('least(p * num_tests * c / p_rank, 1)')} AS p_bhy FROM k, c""",
+        "adjusted",
+        "SELECT strategy_id, p_rank, num_tests, " + ", ".join(f"{r(c)} AS {c}" for c in ("p_value", "p_bonferroni", "p_holm", "p_bhy")) + " FROM adjusted",
     ),
 )
 def p8(spark, sf):
-    """The share of losing days stands in for a p-value; the adjustment is what is checked."""
-    p = sweep(spark, sf).groupBy("strategy_id").agg(((1 - F.avg((F.col("net_return") > 0).cast("double"))) / 20).alias("p"))
-    return rounded(pf.adjust_p_values(p, "p", "strategy_id"), "p", "p_bonferroni", "p_holm", "p_bhy")
+    m = metrics(spark, sf).withColumn("years", F.col("num_days") / float(YEAR))
+    p = pf.add_significance(m, "ASR", "years").select("strategy_id", "p_value")
+    return rounded(pf.adjust_p_values(p, "p_value", "strategy_id"), "p_value", "p_bonferroni", "p_holm", "p_bhy")
 
 
-@query("p9_haircut_sharpe")
+@query(
+    "p9_haircut_sharpe",
+    check_sql(
+        "adjusted",
+        f"""WITH b AS (SELECT *, CASE WHEN years > 0 THEN {t_sql('p_bhy')} / sqrt(years) ELSE 0 END AS back FROM adjusted),
+    h AS (SELECT *, CASE WHEN "ASR" < 0 THEN -greatest(0, least(back, abs("ASR"))) ELSE greatest(0, least(back, abs("ASR"))) END AS haircut FROM b)
+    SELECT strategy_id, {r('t_stat')} AS t_stat, {r('p_value')} AS p_value, {r('p_bhy')} AS p_bhy, {r('haircut', 5)} AS haircut_sharpe,
+    {r('coalesce((abs("ASR") - abs(haircut)) * 100 / nullif(abs("ASR"), 0), 0)', 3)} AS haircut_pct, p_bhy < 0.05 AS is_significant FROM h""",
+    ),
+)
 def p9(spark, sf):
     m = metrics(spark, sf).withColumn("years", F.col("num_days") / float(YEAR))
-    return pf.haircut_sharpe(m, "ASR", "years", "strategy_id").select(
+    out = pf.haircut_sharpe(m, "ASR", "years", "strategy_id").select(
         "strategy_id", "t_stat", "p_value", "p_bhy", "haircut_sharpe", "haircut_pct", "is_significant"
     )
+    return rounded(rounded(rounded(out, "t_stat", "p_value", "p_bhy"), "haircut_sharpe", digits=5), "haircut_pct", digits=3)
 
 
 @query(

@@ -10,7 +10,6 @@ from rankloom.plans import testdata as td
 from rankloom.plans.registry import check_sql, query, r, rounded, share
 from rankloom.session import stable
 
-MAX_K = max(s.top_k for s in td.STRATEGIES)
 CUR, PREV = "2000-06-01", "2000-05-01"
 
 share("o2o", "SELECT kdcode, dt, lead(open) OVER (PARTITION BY kdcode ORDER BY dt) / open - 1 AS stock_return FROM bars_m", "bars_m")
@@ -113,13 +112,13 @@ def plain(spark, style: str = "%"):
 
 def run(spark, sf, style: str = "%", ranked=None) -> po.Backtest:
     bars = stable(td.bars_m(spark, sf))
-    return po.backtest(td.scores(spark, sf, bars), bars, plain(spark, style), MAX_K, ranked)
+    return po.backtest(td.scores(spark, sf, bars), bars, plain(spark, style), ranked)
 
 
 def ranked_run(spark, sf, style: str = "%"):
     bars = stable(td.bars_m(spark, sf))
     ranked = stable(po.rank_scores(td.scores(spark, sf, bars)))
-    return po.backtest(ranked, bars, plain(spark, style), MAX_K, ranked), ranked
+    return po.backtest(ranked, bars, plain(spark, style), ranked), ranked
 
 
 @query(
@@ -334,7 +333,7 @@ def flagship(spark, sf, top: int):
     bars = stable(td.bars_m(spark, sf))
     s = td.scores(spark, sf, bars).where("model_id = 2")
     one = po.strategies_frame(spark, [po.Strategy(1, 2, top, 1, "daily", 0.001, 0.0005, 0)])
-    return rounded(po.backtest(s, bars, one, top).daily, *DAILY_COLS)
+    return rounded(po.backtest(s, bars, one).daily, *DAILY_COLS)
 
 
 @query("flagship_momentum_portfolio", check_sql(

@@ -242,7 +242,12 @@ def wide_vendor_frame(spark, sf):
         "VOLUME": F.count(F.lit(1)).cast("double"),
     }
     wide = o.groupBy("dt").pivot("o_orderpriority", list(_inst)).agg(*[a.alias(n) for n, a in aggs.items()])
-    return wide.withColumnsRenamed({f"{p}_{n}": f"{i}|{n}" for p, i in _inst.items() for n in aggs})
+    wide = wide.withColumnsRenamed({f"{p}_{n}": f"{i}|{n}" for p, i in _inst.items() for n in aggs})
+    # every date comes three times: without closes, as it is, and with other values that must lose
+    prices = [c for c in wide.columns if c != "dt"]
+    empty = wide.select("dt", F.lit(0).alias("seq"), *[(F.lit(None).cast("double") if c.endswith(("CLOSE", "TRDPRC_1")) else F.col(f"`{c}`") * 3).alias(c) for c in prices])
+    late = wide.select("dt", F.lit(2).alias("seq"), *[(F.col(f"`{c}`") * 2).alias(c) for c in prices])
+    return empty.unionByName(wide.withColumn("seq", F.lit(1))).unionByName(late)
 
 
 _wide_case = " ".join(f"WHEN '{p}' THEN '{i}'" for p, i in _inst.items())
@@ -334,15 +339,30 @@ def s13(spark, sf):
     return rounded(panel.load_scores(spark, path), "score", digits=5)
 
 
-@query("s14_score_tables", check_sql("scores", "SELECT model_id, dt AS date, count(*) AS n_rows FROM scores GROUP BY 1, 2"))
+@query("s14_score_tables", check_sql("scores", f"SELECT model_id, dt AS date, count(*) AS n_rows, min(kdcode::VARCHAR) AS first_code, {r('sum(round(score, 5))', 3)} AS total FROM scores GROUP BY 1, 2"))
 def s14(spark, sf):
     path = sinks.write_scores(td.scores(spark, sf), new_path(spark, "scores"), fmt="parquet")
-    return spark.read.parquet(path).groupBy("model_id", "date").agg(F.count("*").alias("n_rows"))
+    out = spark.read.parquet(path).groupBy("model_id", "date").agg(
+        F.count("*").alias("n_rows"), F.min(F.col("kdcode").cast("string")).alias("first_code"), F.sum("score").alias("total")
+    )
+    return rounded(out, "total", digits=3)
+
+
+_cell = " || ".join(f"'{c}=' || coalesce('''' || {e}, 'NULL') || ';'" for c, e in (("kdcode", "c_custkey::VARCHAR"), ("name", "c_name"), ("dt", "(CASE WHEN c_custkey % 7 > 0 THEN DATE '2024-01-01' + (c_custkey % 30)::INTEGER END)::VARCHAR")))
 
 
-@query("s16_fingerprint")
+@query(
+    "s16_fingerprint",
+    f"""WITH c AS (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 3 = 0),
+    h AS (SELECT md5({_cell}) AS d, CASE WHEN c_custkey % 7 > 0 THEN DATE '2024-01-01' + (c_custkey % 30)::INTEGER END AS dt FROM c)
+    SELECT sum(('0x' || substr(d, 1, 12))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(d, 13, 12))::BIGINT)::VARCHAR AS row_hash, count(*) AS n_rows, min(dt) AS first_dt, max(dt) AS last_dt FROM h""",
+)
 def s16(spark, sf):
-    return panel.fingerprint(td.bars_d(spark, sf))
+    """Rows with NULL dates, a third of them twice."""
+    c = td.table(spark, sf, "customer")
+    day = F.when(F.col("c_custkey") % 7 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 30).cast("int")))
+    rows = c.unionByName(c.where("c_custkey % 3 = 0")).select(F.col("c_custkey").alias("kdcode"), F.col("c_name").alias("name"), day.alias("dt"))
+    return panel.fingerprint(rows)
 
 
 @query(

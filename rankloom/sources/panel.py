@@ -64,21 +64,31 @@ def index_series(df: DataFrame, seq: str, start: str, end: str) -> DataFrame:
     return keep_last(filled, ["kdcode", "dt"], seq).drop(seq)
 
 
-def reshape_wide(wide: DataFrame, sep: str = "|") -> DataFrame:
+def reshape_wide(wide: DataFrame, sep: str = "|", seq: str = "seq") -> DataFrame:
     """S9. ``instrument|FIELD`` columns over dates to the long panel with turnover.
 
-    The unpivot and the pivot back are one scan and one aggregation by (kdcode, dt).
+    Of several rows of one date, the first by the ingest column ``seq`` that has a close gives the whole bar. Every
+    instrument's bar is one struct of the wide row, so rows are never mixed; one aggregation by (kdcode, dt) keeps the
+    first. An instrument without any close column, or a frame without one of the price fields, is an error.
     """
-    values = [c for c in wide.columns if c != "dt"]
-    long = wide.unpivot(["dt"], [f"`{c}`" for c in values], "name", "value")
-    part = F.split("name", f"[{sep}]")
-    long = long.select(part[0].alias("kdcode"), "dt", part[1].alias("field"), "value")
-
-    def pick(names: Sequence[str]) -> Column:
-        return F.coalesce(*[F.max(F.when(F.col("field") == n, F.col("value"))) for n in names])
-
-    bars = long.groupBy("kdcode", "dt").agg(*[pick(n).alias(c) for c, n in FIELD_NAMES.items()])
-    return bars.where(F.col("close").isNotNull()).withColumn("turnover", F.col("volume") * F.col("close"))
+    fields: dict[str, dict[str, str]] = {}
+    for c in wide.columns:
+        if c not in ("dt", seq):
+            name, _, field = c.partition(sep)
+            fields.setdefault(name, {})[field] = c
+    seen = {field for of in fields.values() for field in of}
+    missing = [c for c in OHLCV if not seen & set(FIELD_NAMES[c])]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}")
+
+    def bar(name: str, of: dict[str, str]) -> Column:
+        pick = {c: [F.col(f"`{of[n]}`").cast("double") for n in names if n in of] for c, names in FIELD_NAMES.items()}
+        values = [(F.coalesce(*v) if v else F.lit(None).cast("double")).alias(c) for c, v in pick.items()]
+        return F.struct(F.lit(name).alias("kdcode"), *values)
+
+    bars = wide.select("dt", seq, F.explode(F.array(*[bar(n, of) for n, of in fields.items()])).alias("bar"))
+    first = bars.where(F.col("bar.close").isNotNull()).groupBy(F.col("bar.kdcode").alias("kdcode"), "dt").agg(F.min_by("bar", seq).alias("bar"))
+    return first.select("kdcode", "dt", *[f"bar.{c}" for c in FIELD_NAMES]).withColumn("turnover", F.col("volume") * F.col("close"))
 
 
 def reshape_flat(df: DataFrame, instrument: str, seq: str) -> DataFrame:
@@ -126,7 +136,7 @@ def append_report(base: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def load_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """S13. Every per-date score file below a folder of model folders."""
+    """S13. Every per-date score file below a folder of model folders; model_id is NULL outside of one."""
     df = (
         spark.read.schema(SCORES)
         .option("header", True)
@@ -134,14 +144,20 @@ def load_scores(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "*.csv")
         .csv(folder)
     )
-    model = F.regexp_extract(F.input_file_name(), r"model_id=([0-9]+)", 1).cast("int")
+    model = F.regexp_extract(F.input_file_name(), r"model_id=([0-9]+)", 1).try_cast("int")
     return df.withColumn("model_id", model)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """S16. Order-free fingerprint of a row set: combined row hash, count and date range."""
+    """S16. Order-free fingerprint of a row set: sums of two parts of the rows' MD5, count and date range.
+
+    A row is hashed as text with its columns marked, so that a NULL, its place and repeated rows all count.
+    """
+    cell = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.lit("'"), F.col(f"`{c}`").cast("string")), F.lit("NULL")), F.lit(";"))
+    digest = F.md5(F.concat(*[cell(c) for c in df.columns]))
+    part = lambda k: F.sum(F.conv(F.substring(digest, k, 12), 16, 10).cast("decimal(20,0)"))
     return df.agg(
-        F.expr(f"bit_xor(xxhash64({', '.join(df.columns)}))").alias("row_hash"),
+        F.concat_ws(":", part(1).cast("string"), part(13).cast("string")).alias("row_hash"),
         F.count("*").alias("n_rows"),
         F.min("dt").alias("first_dt"),
         F.max("dt").alias("last_dt"),

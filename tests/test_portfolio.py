@@ -28,7 +28,7 @@ def test_known_gaps_give_known_open_to_open(spark):
         F.lit(1).alias("model_id"), "dt", "kdcode", F.when(F.col("kdcode") < 2, 0.02).otherwise(-0.01).alias("score")
     )
     s = po.strategies_frame(spark, [po.Strategy(1, 1, 2, 1, "daily", 0.001, 0.0005, 0)])
-    days = po.backtest(scores, bars, s, 2).daily.orderBy("pred_date").collect()
+    days = po.backtest(scores, bars, s).daily.orderBy("pred_date").collect()
     # The entry day's return needs one more open, so the last prediction books nothing.
     assert [r.entry_date for r in days] == DAYS[1:-1]
     for r in days:
@@ -145,7 +145,7 @@ def test_all_styles_equal_the_day_loop(spark, seed):
     b = spark.createDataFrame(bars, "kdcode bigint, dt date, open double, high double, low double, close double, volume double")
     sc = spark.createDataFrame(scores, "model_id int, dt date, kdcode bigint, score double")
     table = po.strategies_frame(spark, strategies)
-    plain = po.backtest(sc, b, table.where("min_rank_drop = 0"), 4).daily
+    plain = po.backtest(sc, b, table.where("min_rank_drop = 0")).daily
     gated = po.gated_backtest(po.rank_scores(sc), b, table.where("min_rank_drop > 0")).daily
     rows = plain.unionByName(gated).collect()
     for s in strategies:
