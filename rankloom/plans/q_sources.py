@@ -339,13 +339,13 @@ def s13(spark, sf):
     return rounded(panel.load_scores(spark, path), "score", digits=5)
 
 
-@query("s14_score_tables", check_sql("scores", f"SELECT model_id, dt AS date, count(*) AS n_rows, min(kdcode::VARCHAR) AS first_code, {r('sum(round(score, 5))', 3)} AS total FROM scores GROUP BY 1, 2"))
+@query("s14_score_tables", check_sql("scores", f"SELECT model_id, dt AS date, count(*) AS n_rows, min(kdcode::VARCHAR) AS first_code, arg_max(kdcode::VARCHAR, score) AS best_code FROM scores GROUP BY 1, 2"))
 def s14(spark, sf):
     path = sinks.write_scores(td.scores(spark, sf), new_path(spark, "scores"), fmt="parquet")
     out = spark.read.parquet(path).groupBy("model_id", "date").agg(
-        F.count("*").alias("n_rows"), F.min(F.col("kdcode").cast("string")).alias("first_code"), F.sum("score").alias("total")
+        F.count("*").alias("n_rows"), F.min(F.col("kdcode").cast("string")).alias("first_code"), F.max_by(F.col("kdcode").cast("string"), "score").alias("best_code")
     )
-    return rounded(out, "total", digits=3)
+    return out
 
 
 _cell = " || ".join(f"'{c}=' || coalesce('''' || {e}, 'NULL') || ';'" for c, e in (("kdcode", "c_custkey::VARCHAR"), ("name", "c_name"), ("dt", "(CASE WHEN c_custkey % 7 > 0 THEN DATE '2024-01-01' + (c_custkey % 30)::INTEGER END)::VARCHAR")))
