@@ -12,8 +12,8 @@ place and at the place k further on, and places whose name is unique are dropped
 2. Spark sorts the anchors by (32-byte name, name of all bytes that strings of this anchor cover, place). Anchors with a
    unique 32-byte name are dropped. Where the longer name was met earlier, all strings of the anchor repeat: their bytes
    go. The first of each longer name goes on if the shorter one has several.
-3. Spark sorts these again in runs of up to eight strings, which begin at fixed distances from the anchor, by the names of
-   all their bytes; what repeats goes, what does not differ anywhere is dropped.
+3. Spark sorts these again in runs of up to eight strings, which begin at fixed distances from the anchor, by the name of
+   the 93 bytes that they share and that of all their bytes; what repeats goes, and a unique name of 93 bytes ends here.
 4. Of the runs left, Spark sorts the strings one by one by their 100-byte name, the pair of the 64-byte names at a place
    and 36 further on. All but the first of each name repeat.
 5. The places found are brought to their documents, and joined to spans there.
@@ -199,12 +199,14 @@ def _send_open(threshold: int, single: bool):
                         further, count = string + threshold - LONG, np.ones(len(string), np.int64)
                         a, b = _pair(one[string], one[further], 104), _pair(two[string], two[further], 105)
                     else:
-                        anchor, short, long = _anchors(data, threshold)
+                        anchor, _, long = _anchors(data, threshold)
                         place = anchor[string]
                         step = (place - string) >> 3
                         first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (step[1:] != step[:-1]) | (np.diff(string) != 1)]))
                         count, string, place, step = np.diff(np.append(first, len(string))), string[first], place[first], step[first]
-                        a, b = _pair(short[place], step.astype(np.uint64), 107), _whole(long, string, count, place - string, threshold)
+                        shared = place - 8 * step  # all strings of a step hold the bytes from here, seven fewer than their own
+                        a = _pair(_pair(long[shared], long[shared + threshold - 7 - LONG], 107), step.astype(np.uint64), 108)
+                        b = _whole(long, string, count, place - string, threshold)
                     sender.add(a, b, doc, top | ((at + string) << _START) | count)
                     if sender.held >= HELD:
                         yield sender.batch(not single)
@@ -288,8 +290,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     """doc, n_bytes, n_removed, n_spans and kept: the SHA-256 of the bytes left, or with ``with_text`` the text left (of a
     character cut in two nothing is left). One row per document row. The columns named in ``carry`` come as a struct
     ``rest``."""
-    if not LONG <= threshold <= 106:
-        raise ValueError(f"the threshold must be from {LONG} to 106 bytes")
+    if not LONG + 8 <= threshold <= 106:
+        raise ValueError(f"the threshold must be from {LONG + 8} to 106 bytes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [F.struct(*carry).alias("rest")] if carry else []
     texts = docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *rest)
