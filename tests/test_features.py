@@ -23,16 +23,25 @@ def walk(spark, names=6, days=90, seed=0):
     return spark.createDataFrame(rows, BARS)
 
 
-def test_four_market_states(spark):
-    paths = {"Bu": (.10, .10), "Co": (.40, -.10), "Be": (-.10, -.10), "Re": (-.40, .10)}
+def test_market_states_follow_the_signs_of_both_horizons(spark):
+    """Every (slow, fast) pair of signs, zeros among them, on seeded paths with flat stretches."""
+    rng = np.random.default_rng(77)
+    steps = rng.choice([-0.03, 0.0, 0.02, 0.05], size=(12, 30))
     rows = []
-    for i, (a, b) in enumerate(paths.values()):
-        for j, c in enumerate((100.0, 100 * (1 + a), 100 * (1 + a) * (1 + b))):
-            rows.append((i, dt.date(2024, 1, 1 + j), c, c, c, c, 1.0))
-    m = mo.Momentum(fast=1, slow=2, weekly=1)
-    df = mo.add_momentum_binary(spark.createDataFrame(rows, BARS), m).where(F.col("dt") == F.lit("2024-01-03").cast("date"))
-    got = {r.kdcode: (r.slow_signal, r.fast_signal, r.momentum_blend) for r in df.collect()}
-    assert got == {0: (1, 1, 1), 1: (1, -1, 0), 2: (-1, -1, -1), 3: (-1, 1, 0)}
+    for k, path in enumerate(np.cumprod(1 + steps, axis=1) * 40):
+        rows += [(k, dt.date(2022, 5, 1) + dt.timedelta(days=i), float(c), float(c), float(c), float(c), 1.0) for i, c in enumerate(path)]
+    m = mo.Momentum(fast=2, slow=5, weekly=1)
+    seen = set()
+    for r in mo.add_momentum_binary(spark.createDataFrame(rows, BARS), m).collect():
+        i = (r.dt - dt.date(2022, 5, 1)).days
+        if i >= 6:
+            slow, fast = (round(float(np.sum(steps[r.kdcode, i - n + 1 : i + 1])), 9) for n in (5, 2))
+            if slow and fast:  # a sum of returns at zero is decided by rounding
+                signs = (1 if slow > 0 else -1, 1 if fast > 0 else -1)
+                assert (r.slow_signal, r.fast_signal) == signs
+                assert r.momentum_blend == sum(signs) / 2
+                seen.add(signs)
+    assert len(seen) == 4
 
 
 def dynamic_by_loop(close, m):

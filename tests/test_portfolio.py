@@ -7,60 +7,106 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import portfolio as po
 
-DAYS = [d.date() for d in pd.bdate_range("2025-01-01", periods=8)]
-
-
-def gap_bars(spark):
-    rows = []
-    for i, name in enumerate(range(5)):
-        prev = 100.0
-        for d in DAYS:
-            o = prev * 1.01
-            c = o * (1.005 if i < 2 else 0.995)
-            rows.append((name, d, o, max(o, c), min(o, c), c, 1000.0))
-            prev = c
-    return spark.createDataFrame(rows, "kdcode bigint, dt date, open double, high double, low double, close double, volume double")
-
-
-def test_known_gaps_give_known_open_to_open(spark):
-    bars = gap_bars(spark)
-    scores = bars.where(F.col("dt") < F.lit(DAYS[-1])).select(
-        F.lit(1).alias("model_id"), "dt", "kdcode", F.when(F.col("kdcode") < 2, 0.02).otherwise(-0.01).alias("score")
-    )
-    s = po.strategies_frame(spark, [po.Strategy(1, 1, 2, 1, "daily", 0.001, 0.0005, 0)])
-    days = po.backtest(scores, bars, s).daily.orderBy("pred_date").collect()
-    # The entry day's return needs one more open, so the last prediction books nothing.
-    assert [r.entry_date for r in days] == DAYS[1:-1]
-    for r in days:
-        assert r.gross_return == pytest.approx(1.005 * 1.01 - 1, abs=1e-12)
-    assert [round(r.turnover, 6) for r in days] == [0.5] + [0.0] * (len(days) - 1)
-    assert days[0].cost == pytest.approx(0.5 * (0.001 + 2 * 0.0005))
-
-
-def test_return_columns_of_gaps(spark):
-    rows = po.return_columns(gap_bars(spark), 3).where("kdcode = 0").orderBy("dt").collect()
-    assert rows[0].overnight_gap == 0.0 and rows[-1].open_to_open_return is None
-    assert rows[1].overnight_gap == pytest.approx(0.01)
-    assert rows[1].tradeable_return == pytest.approx(0.005)
-
-
-def test_turnover_answers(spark):
-    sets = {1: "AB", 2: "CD", 3: "CE"}
-    df = spark.createDataFrame([(1, n, ord(c), 2) for n, cs in sets.items() for c in cs], "s int, n int, kdcode int, k int")
+def stepped_bars(spark, n_names=7, n_days=12):
+    """Prices of a seeded walk with its opens and closes by (name, day), some days without a bar."""
+    rng = np.random.default_rng(41)
+    days = [dt.date(2023, 3, 6) + dt.timedelta(days=2 * i) for i in range(n_days)]
+    opens, closes, rows = {}, {}, []
+    for k in range(n_names):
+        price = float(rng.uniform(8, 60))
+        for d in days:
+            o = price * float(rng.uniform(0.94, 1.07))
+            price = o * float(rng.uniform(0.95, 1.06))
+            if (k + d.day) % 5:
+                opens[k, d], closes[k, d] = o, price
+                rows.append((k, d, o, max(o, price) + 0.1, min(o, price) - 0.1, price, 10.0 + k))
+    df = spark.createDataFrame(rows, "kdcode bigint, dt date, open double, high double, low double, close double, volume double")
+    return df, days, opens, closes
+
+
+def test_top_names_earn_their_open_to_open_returns(spark):
+    """Three best of seven names by a score that changes every day, against returns read off the price table."""
+    bars, days, opens, _ = stepped_bars(spark)
+    rng = np.random.default_rng(5)
+    score = {(k, d): float(rng.normal()) for d in days for k in range(7)}
+    scores = spark.createDataFrame([(4, d, k, v) for (k, d), v in score.items()], "model_id int, dt date, kdcode bigint, score double")
+    s = po.strategies_frame(spark, [po.Strategy(9, 4, 3, 1, "daily", 0.004, 0.001, 0)])
+    got = {r.pred_date: r for r in po.backtest(scores, bars, s).daily.collect()}
+    held: set = set()
+    for i, d in enumerate(days[:-1]):
+        entry = days[i + 1]
+        best = set(sorted(range(7), key=lambda k: (-score[k, d], k))[:3])
+        gains = []
+        for k in best:
+            later = [x for x in days if x > entry and (k, x) in opens]
+            if (k, entry) in opens and later:
+                gains.append(opens[k, later[0]] / opens[k, entry] - 1)
+        if not gains:
+            assert d not in got
+            continue
+        moved = len(best ^ held) / 6
+        assert got[d].entry_date == entry
+        assert got[d].gross_return == pytest.approx(np.mean(gains), abs=1e-12)
+        assert got[d].turnover == pytest.approx(moved) and got[d].cost == pytest.approx(moved * 0.006)
+        held = best
+
+
+def test_return_columns_follow_the_prices(spark):
+    bars, _, opens, closes = stepped_bars(spark)
+    for k in (0, 3):
+        mine = [d for n, d in opens if n == k]
+        rows = {r.dt: r for r in po.return_columns(bars, 3).where(f"kdcode = {k}").collect()}
+        for before, d in zip(mine, mine[1:]):
+            assert rows[d].overnight_gap == pytest.approx(opens[k, d] / closes[k, before] - 1)
+            assert rows[before].open_to_open_return == pytest.approx(opens[k, d] / opens[k, before] - 1)
+        assert rows[mine[0]].overnight_gap == 0.0 and rows[mine[-1]].open_to_open_return is None
+
+
+def test_turnover_equals_set_differences(spark):
+    rng = np.random.default_rng(3)
+    sets = [set(rng.choice(11, 4, replace=False).tolist()) for _ in range(9)]
+    df = spark.createDataFrame([(2, n, k, 4) for n, held in enumerate(sets) for k in held], "s int, n int, kdcode int, k int")
     got = [r.one_way_turnover for r in po.turnover(df, ("s",), "n", "k").orderBy("n").collect()]
-    assert got == [0.5, 1.0, 0.5]
-
-
-def test_gate_keeps_exits_and_refills(spark):
-    ranked = spark.createDataFrame([(1, 10, .9, 1), (1, 20, .8, 2), (1, 40, .7, 3), (1, 30, .1, 4)], "model_id int, kdcode bigint, score double, rank bigint")
-    holdings = spark.createDataFrame([(7, 10), (7, 30), (7, 99)], "strategy_id int, kdcode bigint")
-    prev = spark.createDataFrame([(1, 10, 1), (1, 30, 2), (1, 99, 3)], "model_id int, kdcode bigint, prev_rank bigint")
-    s = po.strategies_frame(spark, [po.Strategy(7, 1, 2, 1, "daily", 0, 0, 2), po.Strategy(8, 1, 2, 1, "daily", 0, 0, 2)])
-    got = {(r.strategy_id, r.kdcode): (r.status, r.rank_drop) for r in po.rank_drop_step(ranked, holdings, prev, s).collect()}
-    assert got == {
-        (7, 10): ("survivor", 0), (7, 30): ("exit", 2), (7, 99): ("dropped", None), (7, 20): ("entry", None),
-        (8, 10): ("entry", None), (8, 20): ("entry", None),
-    }
+    assert got == [len(now ^ before) / 8 for before, now in zip([set(), *sets], sets)]
+
+
+def test_gate_step_equals_the_rule(spark):
+    """One gate decision for three strategies on a seeded ranking, name by name."""
+    rng = np.random.default_rng(12)
+    rank = {int(k): i + 1 for i, k in enumerate(rng.permutation(40)[:30])}
+    before = {int(k): i + 1 for i, k in enumerate(rng.permutation(40)[:25])}
+    ranked = spark.createDataFrame([(3, k, 1.0 / r, r) for k, r in rank.items()], "model_id int, kdcode bigint, score double, rank bigint")
+    prev = spark.createDataFrame([(3, k, r) for k, r in before.items()], "model_id int, kdcode bigint, prev_rank bigint")
+    held = {21: set(rng.choice(40, 6, replace=False).tolist()), 22: set(rng.choice(40, 9, replace=False).tolist()), 23: set()}
+    holdings = spark.createDataFrame([(s, k) for s, names in held.items() for k in names], "strategy_id int, kdcode bigint")
+    table = [po.Strategy(21, 3, 6, 1, "daily", 0, 0, 5), po.Strategy(22, 3, 9, 1, "daily", 0, 0, 12), po.Strategy(23, 3, 4, 1, "daily", 0, 0, 3)]
+    got = {(r.strategy_id, r.kdcode): (r.status, r.rank_drop) for r in po.rank_drop_step(ranked, holdings, prev, po.strategies_frame(spark, table)).collect()}
+    want = {}
+    for s in table:
+        stay = set()
+        for k in held[s.strategy_id]:
+            if k not in rank:
+                want[s.strategy_id, k] = ("dropped", None)
+                continue
+            fall = rank[k] - before[k] if k in before else None
+            leaves = fall is not None and fall >= s.min_rank_drop
+            want[s.strategy_id, k] = ("exit" if leaves else "survivor", fall)
+            stay |= set() if leaves else {k}
+        free = [k for k in sorted(rank, key=rank.get)[: s.top_k] if k not in stay][: s.top_k - len(stay)]
+        for k in free:
+            if want.get((s.strategy_id, k), ("",))[0] != "exit":
+                want[s.strategy_id, k] = ("entry", None)
+    assert {k: v for k, v in got.items() if v[0] != "entry"} == {k: v for k, v in want.items() if v[0] != "entry"}
+    assert {k for k, v in want.items() if v[0] == "entry"} <= set(got)
+
+
+def test_k_follows_the_strategies(spark):
+    """A strategy may hold more names than any other; K is not a setting."""
+    bars, days, _, _ = stepped_bars(spark)
+    scores = spark.createDataFrame([(1, d, k, float(k)) for d in days for k in range(7)], "model_id int, dt date, kdcode bigint, score double")
+    table = po.strategies_frame(spark, [po.Strategy(1, 1, 2, 1, "daily", 0, 0, 0), po.Strategy(2, 1, 7, 1, "daily", 0, 0, 0)])
+    sizes = {(r.strategy_id, r.n) for r in po.backtest(scores, bars, table).targets.groupBy("strategy_id", "seq").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {(1, 2), (2, 7)}
 
 
 # --- the gate over many days against a plain day loop -----------------------------------------

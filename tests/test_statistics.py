@@ -30,7 +30,7 @@ def test_spearman_signs(spark):
 
 
 def test_newey_west_equals_formula(spark):
-    x = np.array([0.01, 0.012, 0.011, -0.004, -0.006, -0.003, 0.008, 0.009])
+    x = np.sin(np.arange(11) * 1.7) * 0.02 + np.cos(np.arange(11) * 0.4) * 0.013
     df = spark.createDataFrame([(1, 5, D[i], float(v)) for i, v in enumerate(x)], "model_id int, k int, dt date, r double")
     for lags in (0, 3, 20):
         c = x - x.mean()
@@ -41,11 +41,13 @@ def test_newey_west_equals_formula(spark):
     assert ev.newey_west(df, 3).first().nw_std != pytest.approx(x.std())
 
 
-def test_bootstrap_is_repeatable_and_covers(spark):
-    df = spark.createDataFrame([(1, 5, D[i], 0.01 * (i + 1)) for i in range(5)], "model_id int, k int, dt date, r double")
-    a, b = (ev.bootstrap(df, 2, 200, 7).first() for _ in range(2))
-    assert a == b and a.ci_lower <= 0.03 <= a.ci_upper and a.ci_lower < a.ci_upper
-    assert ev.bootstrap(df, 2, 50, 7, statistic=F.max("x")).first().ci_upper <= 0.05 + 1e-12
+def test_bootstrap_is_repeatable_and_stays_inside(spark):
+    x = [0.31, -0.12, 0.07, 0.44, -0.25, 0.18, 0.02, 0.29]
+    df = spark.createDataFrame([(6, 3, D[i], v) for i, v in enumerate(x)], "model_id int, k int, dt date, r double")
+    a, b = (ev.bootstrap(df, 3, 160, 19).first() for _ in range(2))
+    assert a == b and min(x) <= a.ci_lower < np.mean(x) < a.ci_upper <= max(x)
+    top = ev.bootstrap(df, 3, 90, 19, statistic=F.max("x")).first()
+    assert top.ci_lower <= top.ci_upper <= max(x) + 1e-12
     with pytest.raises(ValueError):
         ev.bootstrap(df, 0, 10, 1)
 
