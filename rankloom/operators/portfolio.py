@@ -6,10 +6,9 @@ their key or reduced to the best K per date; what follows works on K names per s
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -519,23 +518,57 @@ def rank_drop_step(ranked: DataFrame, holdings: DataFrame, prev_ranks: DataFrame
     return held.unionByName(entries)
 
 
-def decide(holdings: set, day: dict, top_k: int, min_rank_drop: int, initial: bool) -> list[tuple]:
-    """The decision of one day as (name, status); ``day`` maps name -> (rank, previous rank or None)."""
-    by_rank = sorted(day, key=lambda n: day[n][0])
-    if initial:
-        return [(n, "entry") for n in by_rank[:top_k]]
-    survivors, exits = [], []
-    for n in holdings:
-        if n not in day:
-            continue
-        rank, prev = day[n]
-        (exits if prev is not None and rank - prev >= min_rank_drop else survivors).append(n)
-    stay = set(survivors)
-    entries = [n for n in by_rank if n not in stay][: max(0, top_k - len(stay))]
-    return [(n, "survivor") for n in survivors] + [(n, "exit") for n in exits] + [(n, "entry") for n in entries]
+def fold_gate(days: Column, code: str, seq: str, held: Column | None = None) -> Column:
+    """Decisions of consecutive days under the rank-drop gate, as an expression over sorted arrays.
 
+    ``days`` is an array of (seq, top_k, min_rank_drop, daily, restart, names), ``names`` of a day an array of (rank,
+    kdcode, prev_rank, realises) by rank. The state is the array of held names, at first ``held``: without any, or at a
+    restart, the best K enter. A held name stays unless it fell by the limit, and the best others fill the places left.
+    With ``daily`` a set that realises nothing is not taken over. Gives an array of (seq, names (kdcode, status, rank)).
+    """
+
+    def bind(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def marked(names: Column, status: str) -> Column:
+        return F.transform(names, lambda n: F.struct(n["kdcode"].alias("kdcode"), F.lit(status).alias("status"), n["rank"].alias("rank")))
+
+    def day(state: Column, d: Column) -> Column:
+        before = F.when(d["restart"], F.expr(f"CAST(array() AS array<{code}>)")).otherwise(state["held"])
+
+        def decided(was: Column) -> Column:
+            fell = lambda n: F.coalesce(n["rank"] - n["prev_rank"] >= d["min_rank_drop"], F.lit(False))
+            held_now = F.filter(d["names"], lambda n: F.array_contains(was, n["kdcode"]))
+            return bind(held_now, lambda h: bind(F.filter(h, lambda n: ~fell(n)), lambda stay: filled(h, stay, fell)))
+
+        def filled(h: Column, stay: Column, fell) -> Column:
+            codes = F.transform(stay, lambda n: n["kdcode"])
+            free = F.filter(d["names"], lambda n: ~F.array_contains(codes, n["kdcode"]))
+            entries = F.slice(free, F.lit(1), F.greatest(F.lit(0), d["top_k"] - F.size(stay)))
+            return bind(entries, lambda new: taken(F.filter(h, fell), stay, new))
+
+        def taken(exits: Column, stay: Column, new: Column) -> Column:
+            chosen = F.concat(stay, new)
+            keep = ~d["daily"] | F.exists(chosen, lambda n: n["realises"])
+            rows = F.concat(marked(stay, "survivor"), marked(exits, "exit"), marked(new, "entry"))
+            return F.struct(
+                F.when(keep, F.transform(chosen, lambda n: n["kdcode"])).otherwise(state["held"]).alias("held"),
+                F.concat(state["out"], F.array(F.struct(d["seq"].alias("seq"), rows.alias("names")))).alias("out"),
+            )
+
+        return bind(before, decided)
+
+    none = F.expr(f"CAST(array() AS array<{code}>)") if held is None else held
+    out = F.expr(f"CAST(array() AS array<struct<seq:{seq},names:array<struct<kdcode:{code},status:string,rank:bigint>>>>)")
+    return F.aggregate(days, F.struct(none.alias("held"), out.alias("out")), day, lambda state: state["out"])
 
-TARGET_SCHEMA = "strategy_id int, tranche_id int, seq int, kdcode bigint, status string"
+
+def day_arrays(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``days`` of ``fold_gate`` per key, from rows (keys, seq, top_k, min_rank_drop, daily, restart and the names)."""
+    names = F.sort_array(F.collect_list(F.struct(F.col("rank").cast("bigint").alias("rank"), "kdcode", F.col("prev_rank").cast("bigint").alias("prev_rank"), "realises")))
+    one = [F.first(c).alias(c) for c in ("top_k", "min_rank_drop", "daily", "restart")]
+    daily = rows.groupBy(*keys, "seq").agg(*one, names.alias("names"))
+    return daily.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "top_k", "min_rank_drop", "daily", "restart", "names"))).alias("days"))
 
 
 def gate_rows(ranked: DataFrame, rebal: DataFrame, returns: DataFrame) -> DataFrame:
@@ -604,32 +637,16 @@ def gate_rows(ranked: DataFrame, rebal: DataFrame, returns: DataFrame) -> DataFr
     )
 
 
-def fold_gate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold one tranche day by day; the state is the set of held names."""
-    out: list[tuple] = []
-    held: set = set()
-    pdf = pdf.sort_values(["seq", "rank"])
-    for seq, g in pdf.groupby("seq", sort=True):
-        prev = [None if pd.isna(p) else int(p) for p in g["prev_rank"]]
-        day = dict(zip(g["kdcode"], zip(g["rank"], prev)))
-        first = g.iloc[0]
-        chosen = decide(
-            held, day, int(first["top_k"]), int(first["min_rank_drop"]), not held or bool(first["restart"])
-        )
-        out += [(first["strategy_id"], first["tranche_id"], seq, n, s) for n, s in chosen]
-        target = {n for n, s in chosen if s != "exit"}
-        realises = dict(zip(g["kdcode"], g["realises"]))
-        if first["style"] != "daily" or any(realises[n] for n in target):
-            held = target
-    return pd.DataFrame(out, columns=["strategy_id", "tranche_id", "seq", "kdcode", "status"])
-
-
 def gate_targets(ranked: DataFrame, rebal: DataFrame, returns: DataFrame, with_exits: bool = False) -> DataFrame:
     """B10. Names held under the rank-drop gate; path dependent, so folded per (strategy, tranche)."""
+    rows = gate_rows(ranked, rebal, returns).withColumn("daily", F.col("style") == "daily")
+    code = ranked.schema["kdcode"].dataType.simpleString()
+    day = F.explode(fold_gate(F.col("days"), code, rows.schema["seq"].dataType.simpleString())).alias("day")
     folded = (
-        gate_rows(ranked, rebal, returns)
-        .groupBy("strategy_id", "tranche_id")
-        .applyInPandas(fold_gate, TARGET_SCHEMA)
+        day_arrays(rows, ["strategy_id", "tranche_id"])
+        .select("strategy_id", "tranche_id", day)
+        .select("strategy_id", "tranche_id", "day.seq", F.explode("day.names").alias("n"))
+        .select("strategy_id", "tranche_id", "seq", "n.kdcode", "n.status")
     )
     if with_exits:
         return folded

@@ -101,12 +101,13 @@ def t4(spark, sf):
 
 @query("t5_stream_gate")
 def t5(spark, sf):
-    """Scores arrive by year; the gate carries its state from batch to batch."""
+    """Scores arrive in three periods, all of model 1 after the others; the gate carries its state from batch to batch."""
     src = new_path(spark, "scores")
     s = td.scores(spark, sf)
-    for lo, hi in ((1990, 1997), (1998, 1999), (2000, 2010)):
+    period = F.when(F.year("dt") < 1998, 0).when(F.year("dt") < 2000, 1).otherwise(2) + F.when(F.col("model_id") == 1, 3).otherwise(0)
+    for k in range(6):
         # One file per period: files are read in the order they were written.
-        s.where(F.year("dt").between(lo, hi)).repartition(1).write.mode("append").parquet(src)
+        s.where(period == k).repartition(1).write.mode("append").parquet(src)
     stream = jobs.read_files(spark, src, spark.read.parquet(src), files_per_batch=1)
     return jobs.run_gate(stream, td.strategies(spark).where("min_rank_drop > 0"), new_path(spark, "gate"))
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from rankloom.operators.drift import bin_counts as count_bins
 from rankloom.operators.drift import bin_of, drift_of_counts, feature_values
 from rankloom.operators.ledger import performance_ledger
 from rankloom.operators.normalize import normalise
-from rankloom.operators.portfolio import decide, rank_scores
+from rankloom.operators.portfolio import day_arrays, fold_gate, rank_scores
 
 
 def read_files(spark: SparkSession, folder: str, like: DataFrame, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -118,25 +117,6 @@ def drift_by_day(counts: DataFrame, reference: DataFrame) -> DataFrame:
 
 # --- rank-drop gate --------------------------------------------------------------------------
 
-DECISION_SCHEMA = "strategy_id int, dt date, kdcode bigint, status string, rank bigint"
-
-
-def fold_days(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold the days of a batch for one strategy; day 0 carries the holdings of the batch before."""
-    out: list[tuple] = []
-    pdf = pdf.sort_values(["day_no", "rank"])
-    held = set(pdf.loc[pdf["held"], "kdcode"])
-    started = bool(pdf["started"].iloc[0])
-    for _, g in pdf[pdf["day_no"] > 0].groupby("day_no", sort=True):
-        prev = [None if pd.isna(p) else int(p) for p in g["prev_rank"]]
-        day = dict(zip(g["kdcode"], zip(g["rank"], prev)))
-        first = g.iloc[0]
-        chosen = decide(held, day, int(first["top_k"]), int(first["min_rank_drop"]), not started)
-        out += [(first["strategy_id"], first["dt"], n, s, day[n][0]) for n, s in chosen]
-        held, started = {n for n, s in chosen if s != "exit"}, True
-    return pd.DataFrame(out, columns=["strategy_id", "dt", "kdcode", "status", "rank"])
-
-
 def gate_batch(scores: DataFrame, strategies: DataFrame, holdings: DataFrame | None, last_ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """T5. Decisions of the days of one batch and the ranks of its dates.
 
@@ -155,7 +135,6 @@ def gate_batch(scores: DataFrame, strategies: DataFrame, holdings: DataFrame | N
         rows = rows.join(mark, ["strategy_id", "kdcode", "day_no"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
     else:
         rows = rows.withColumn("held", F.lit(False))
-    rows = rows.withColumn("started", F.lit(holdings is not None))
     name = Window.partitionBy("strategy_id", "kdcode").orderBy("day_no")
     follows = F.lag("day_no").over(name) == F.col("day_no") - 1
     rows = rows.withColumn("prev_rank", F.when(follows, F.lag("rank").over(name)))
@@ -166,16 +145,29 @@ def gate_batch(scores: DataFrame, strategies: DataFrame, holdings: DataFrame | N
     run = Window.partitionBy("strategy_id", "kdcode", "_run").orderBy("day_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_live", F.max(enters).over(run))
     rows = rows.withColumn("_was", F.coalesce(F.lag("_live").over(name), F.lit(False))).where("_live OR _was")
-    decisions = rows.drop("_broke", "_run", "_live", "_was").groupBy("strategy_id").applyInPandas(fold_days, DECISION_SCHEMA)
+    flags = {"daily": F.lit(False), "restart": F.lit(False), "realises": F.lit(True), "seq": F.struct("day_no", "dt")}
+    arrays = day_arrays(rows.where("day_no > 0").withColumns(flags), ["strategy_id"])
+    code = scores.schema["kdcode"].dataType.simpleString()
+    start = None
+    if holdings is not None:
+        kept = holdings.groupBy("strategy_id").agg(F.sort_array(F.collect_set("kdcode")).alias("start"))
+        arrays = arrays.join(kept, "strategy_id", "left").withColumn("start", F.coalesce("start", F.expr(f"CAST(array() AS array<{code}>)")))
+        start = F.col("start")
+    decisions = (
+        arrays.select("strategy_id", F.explode(fold_gate(F.col("days"), code, "struct<day_no:int,dt:date>", start)).alias("d"))
+        .select("strategy_id", "d.seq.dt", F.explode("d.names").alias("n"))
+        .select("strategy_id", "dt", "n.kdcode", "n.status", "n.rank")
+    )
     return decisions, ranked
 
 
 def run_gate(stream: DataFrame, strategies: DataFrame, path: str) -> DataFrame:
     """T5. Rank-drop gate over a stream of scores (model_id, dt, kdcode, score) in date order.
 
-    Dates up to the last processed one are ignored. State is two tables per batch (holdings, ranks of
-    the last date), read from the batch before: a repeated batch gives the same rows. A keyed state
-    function would hold a whole cross-section per strategy; these tables are joined instead.
+    Each model goes on from its own last date: dates up to that are ignored, and models may arrive in any file. State is
+    two tables per batch (holdings, ranks of each model's last date); models and strategies without new dates are carried
+    on, so empty and repeated batches change nothing. A keyed state function would hold a whole cross-section per
+    strategy; these tables are joined instead.
     """
     spark = stream.sparkSession
 
@@ -184,15 +176,19 @@ def run_gate(stream: DataFrame, strategies: DataFrame, path: str) -> DataFrame:
         holdings = last = None
         if batch_id > 0 and table_exists(spark, before):
             holdings, last = spark.read.parquet(f"{before}/holdings"), spark.read.parquet(f"{before}/ranks")
-            batch = batch.where(F.col("dt") > last.agg(F.max("dt").alias("m")).scalar())
+            seen = last.groupBy("model_id").agg(F.max("dt").alias("_last"))
+            batch = batch.join(seen, "model_id", "left").where(F.col("_last").isNull() | (F.col("dt") > F.col("_last"))).select(*batch.columns)
         decisions, ranked = gate_batch(batch, strategies, holdings, last)
         target = f"{path}/decisions/batch={batch_id}"
         decisions.write.mode("overwrite").parquet(target)
         done = spark.read.schema(decisions.schema).parquet(target)
         newest = done.groupBy("strategy_id").agg(F.max("dt").alias("dt"))
-        held = done.join(newest, ["strategy_id", "dt"]).where("status <> 'exit'").select("strategy_id", "kdcode")
+        held = done.join(newest, ["strategy_id", "dt"]).where("status <> 'exit'").select("strategy_id", "kdcode").distinct()
         end = ranked.groupBy("model_id").agg(F.max("dt").alias("dt"))
         ranks = ranked.join(end, ["model_id", "dt"]).select("model_id", "dt", "kdcode", "rank")
+        if holdings is not None:
+            held = held.unionByName(holdings.join(newest, "strategy_id", "left_anti"))
+            ranks = ranks.unionByName(last.join(end, "model_id", "left_anti"))
         held.write.mode("overwrite").parquet(f"{path}/state-{batch_id}/holdings")
         ranks.write.mode("overwrite").parquet(f"{path}/state-{batch_id}/ranks")
 

@@ -39,32 +39,54 @@ def test_append_twice_changes_nothing(spark):
     assert got == [(1, 2.0), (2, 3.0)]
 
 
-@pytest.mark.parametrize("files", [1, 4])
-def test_stream_gate_equals_day_loop(spark, files):
-    rng = np.random.default_rng(11)
-    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(24)]
-    level = rng.normal(size=25)
+def loop_gate(rows, s):
+    """Names held by (day) of one strategy by the rule, day by day."""
+    held, prev, out = None, {}, {}
+    mine = [r for r in rows if r[0] == s.model_id]
+    for d in sorted({r[1] for r in mine}):
+        order = [k for _, k in sorted((-v, k) for _, x, k, v in mine if x == d)]
+        rank = {k: i + 1 for i, k in enumerate(order)}
+        if held is None:
+            new = set(order[: s.top_k])
+        else:
+            stay = [k for k in held if k in rank and not (k in prev and rank[k] - prev[k] >= s.min_rank_drop)]
+            new = set(stay + [k for k in order if k not in stay][: s.top_k - len(stay)])
+        held, prev = new, rank
+        out[d] = new
+    return out
+
+
+def gate_scores(seed, models, code=int, days=16, names=22):
+    rng = np.random.default_rng(seed)
+    dates = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(days)]
     rows = []
-    for d in days:
-        level = level * 0.8 + rng.normal(size=25)
-        rows += [(1, d, k, float(level[k])) for k in range(25) if rng.random() < 0.9]
+    for m in models:
+        level = rng.normal(size=names)
+        for d in dates:
+            level = level * 0.8 + rng.normal(size=names)
+            rows += [(m, d, code(k), float(level[k])) for k in range(names) if rng.random() < 0.9]
+    return dates, rows
+
+
+@pytest.mark.parametrize("case", ["one file", "four files", "late model", "replayed and empty", "string codes"])
+def test_stream_gate_equals_day_loop(spark, case):
+    code = (lambda k: f"N{k:02d}.X") if case == "string codes" else int
+    dates, rows = gate_scores(11, (1, 2), code)
+    quarter = [set(x.tolist()) for x in np.array_split(np.arange(len(dates)), 4)]
+    part = lambda keep, models=(1, 2): [r for r in rows if dates.index(r[1]) in keep and r[0] in models]
+    files = {
+        "one file": [rows],
+        "late model": [part(range(9), (1,)), part(range(9), (2,)), part(range(9, 16))],
+        "replayed and empty": [part(range(4)), part(range(4)), part(range(4, 10)), part(range(2, 10)), [], part(range(10, 16))],
+    }.get(case, [part(q) for q in quarter])
     src = new_path(spark, "scores")
-    for part in np.array_split(np.arange(len(days)), files):
-        keep = {days[i] for i in part}
-        spark.createDataFrame([r for r in rows if r[1] in keep], "model_id int, dt date, kdcode bigint, score double").coalesce(1).write.mode("append").parquet(src)
-    strategies = [po.Strategy(1, 1, 3, 1, "daily", 0, 0, 4), po.Strategy(2, 1, 5, 1, "daily", 0, 0, 8)]
+    schema = f"model_id int, dt date, kdcode {'string' if case == 'string codes' else 'bigint'}, score double"
+    for f in files:
+        spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(src)
+    strategies = [po.Strategy(1, 1, 3, 1, "daily", 0, 0, 4), po.Strategy(2, 1, 5, 1, "daily", 0, 0, 8), po.Strategy(3, 2, 4, 1, "daily", 0, 0, 5)]
     stream = jobs.read_files(spark, src, spark.read.parquet(src), files_per_batch=1)
     out = jobs.run_gate(stream, po.strategies_frame(spark, strategies), new_path(spark, "gate")).collect()
     for s in strategies:
-        held, prev = None, {}
-        for d in days:
-            order = [k for _, k in sorted((-v, k) for _, x, k, v in rows if x == d)]
-            rank = {k: i + 1 for i, k in enumerate(order)}
-            if held is None:
-                new = set(order[: s.top_k])
-            else:
-                stay = [k for k in held if k in rank and not (k in prev and rank[k] - prev[k] >= s.min_rank_drop)]
-                new = set(stay + [k for k in order if k not in stay][: s.top_k - len(stay)])
-            got = {r.kdcode for r in out if r.strategy_id == s.strategy_id and r.dt == d and r.status != "exit"}
-            assert got == new, (s.strategy_id, d)
-            held, prev = new, rank
+        for d, want in loop_gate(rows, s).items():
+            got = [r.kdcode for r in out if r.strategy_id == s.strategy_id and r.dt == d and r.status != "exit"]
+            assert len(got) == len(set(got)) and set(got) == want, (s.strategy_id, d)
