@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import evaluate as ev
 from rankloom.operators import portfolio as po
 from rankloom.plans import testdata as td
-from rankloom.plans.registry import check_sql, query, r, rounded, share
+from rankloom.plans.registry import SHARED, check_sql, query, r, rounded, share
 from rankloom.session import stable
 
 CUR, PREV = "2000-06-01", "2000-05-01"
@@ -231,7 +231,39 @@ def b9(spark, sf):
     return po.rank_drop_step(*gate_inputs(spark, sf))
 
 
-@query("b10_gated_strategies")
+def gate_fold_sql(days: str) -> str:
+    """Recursive CTEs after ``days`` (key, seq, day_no, top_k, daily, names (k, rank, fell, real) by rank): ``fold`` has the
+    names held before (was), staying and aimed at (target) by key and seq."""
+    return f"""fold AS (SELECT key, 0::BIGINT AS seq, NULL::BIGINT AS day_no, []::BIGINT[] AS held, []::BIGINT[] AS was, []::BIGINT[] AS stay, []::BIGINT[] AS target FROM (SELECT DISTINCT key FROM {days})
+    UNION ALL
+    SELECT key, seq, day_no, CASE WHEN NOT daily OR len(list_filter(names, lambda n: n.real AND list_contains(target, n.k))) > 0 THEN target ELSE held END, was, stay, target FROM
+    (SELECT *, list_concat(stay, list_slice(list_filter(list_transform(names, lambda n: n.k), lambda c: NOT list_contains(stay, c)), 1, top_k - len(stay))) AS target FROM
+    (SELECT *, list_transform(list_filter(names, lambda n: list_contains(was, n.k) AND NOT n.fell), lambda n: n.k) AS stay FROM
+    (SELECT d.*, f.held, CASE WHEN d.daily AND d.day_no - f.day_no > 1 THEN []::BIGINT[] ELSE f.held END AS was FROM fold f JOIN {days} d ON d.key = f.key AND d.seq = f.seq + 1))))"""
+
+
+def gated_check_sql(needs: str, body: str) -> str:
+    """``check_sql`` with the gated strategies in place of the plain ones and the gate's targets."""
+    gate = """gate_days AS (SELECT {'s': b.strategy_id, 't': b.tranche_id} AS key, b.seq, any_value(b.day_no) AS day_no, any_value(b.top_k) AS top_k, any_value(b.style) = 'daily' AS daily,
+      list({'k': k.kdcode, 'rank': k.rank, 'fell': coalesce(k.rank - p.rank >= b.min_rank_drop, false), 'real': o.stock_return IS NOT NULL} ORDER BY k.rank) AS names
+    FROM rebal b JOIN ranked k ON k.model_id = b.model_id AND k.dt = b.pred_date
+    LEFT JOIN rebal pb ON pb.strategy_id = b.strategy_id AND pb.tranche_id = b.tranche_id AND pb.seq = b.seq - 1
+    LEFT JOIN ranked p ON p.model_id = b.model_id AND p.dt = pb.pred_date AND p.kdcode = k.kdcode
+    LEFT JOIN o2o o ON o.kdcode = k.kdcode AND o.dt = b.entry_date GROUP BY 1, 2),
+    """ + gate_fold_sql("gate_days")
+    aimed = "SELECT key.s AS strategy_id, key.t AS tranche_id, seq, unnest(target) AS kdcode FROM fold WHERE seq > 0"
+    sql = check_sql("o2o rebal ranked " + needs, body)
+    for old, new in ((f"plain AS ({SHARED['plain'][1]})", f"plain AS ({SHARED['gated'][1]})"), (f"targets AS ({SHARED['targets'][1]})", f"{gate},\ntargets AS ({aimed})")):
+        if old not in sql:
+            raise ValueError(f"no {old[:20]} in the check SQL")
+        sql = sql.replace(old, new)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "b10_gated_strategies",
+    gated_check_sql("bt_daily", "SELECT strategy_id, pred_date, entry_date, n_tranches, n_held, num_trades, " + ", ".join(f"{r(c)} AS {c}" for c in DAILY_COLS) + " FROM bt_daily"),
+)
 def b10(spark, sf):
     bars = stable(td.bars_m(spark, sf))
     ranked = stable(po.rank_scores(td.scores(spark, sf, bars)))

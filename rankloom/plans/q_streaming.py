@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import drift as dr
 from rankloom.operators import normalize as no
 from rankloom.plans import testdata as td
+from rankloom.plans.q_portfolio import gate_fold_sql
 from rankloom.plans.q_ledger import ledger_input
 from rankloom.plans.registry import check_sql, query, r, rounded, share, sig, significant
 from rankloom.session import new_path
@@ -99,7 +100,26 @@ def t4(spark, sf):
     return rounded(jobs.drift_by_day(counts, reference), "psi", "ks")
 
 
-@query("t5_stream_gate")
+_gate_days = """gate_days AS (SELECT s.strategy_id AS key, d.day_no AS seq, d.day_no, any_value(d.dt) AS dt, any_value(s.top_k) AS top_k, false AS daily,
+      list({'k': k.kdcode, 'rank': k.rank, 'fell': coalesce(k.rank - p.rank >= s.min_rank_drop, false), 'real': true} ORDER BY k.rank) AS names
+    FROM gated s JOIN model_days d ON d.model_id = s.model_id JOIN ranked k ON k.model_id = d.model_id AND k.dt = d.dt
+    LEFT JOIN model_days b ON b.model_id = d.model_id AND b.day_no = d.day_no - 1
+    LEFT JOIN ranked p ON p.model_id = d.model_id AND p.dt = b.dt AND p.kdcode = k.kdcode GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "t5_stream_gate",
+    check_sql(
+        "ranked gated",
+        f"""WITH model_days AS (SELECT model_id, dt, row_number() OVER (PARTITION BY model_id ORDER BY dt) AS day_no FROM (SELECT DISTINCT model_id, dt FROM ranked)),
+    {_gate_days},
+    {gate_fold_sql('gate_days')},
+    named AS (SELECT d.key AS strategy_id, d.dt, f.was, f.stay, f.target, unnest(d.names) AS n FROM gate_days d JOIN fold f ON f.key = d.key AND f.seq = d.seq)
+    SELECT strategy_id, dt, n.k AS kdcode, 'survivor' AS status, n.rank AS rank FROM named WHERE list_contains(stay, n.k)
+    UNION ALL SELECT strategy_id, dt, n.k, 'exit', n.rank FROM named WHERE list_contains(was, n.k) AND n.fell
+    UNION ALL SELECT strategy_id, dt, n.k, 'entry', n.rank FROM named WHERE list_contains(target, n.k) AND NOT list_contains(stay, n.k)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def t5(spark, sf):
     """Scores arrive in three periods, all of model 1 after the others; the gate carries its state from batch to batch."""
     src = new_path(spark, "scores")
