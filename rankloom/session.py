@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +33,8 @@ def build_session(app: str = "rankloom", cores: int | str = "*", shuffle_partiti
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only a local session may fall back to a temporary folder: other executors could not read it.
+    Only a local session may fall back to a temporary folder, which goes when the program ends: other executors could
+    not read it.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -37,13 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
         folder = sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            raise ValueError("start the session with spark.checkpoint.dir set to a folder that all executors share, or call spark.sparkContext.setCheckpointDir")
+        folder = tempfile.mkdtemp(prefix="rankloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="rankloom-")
+    with zipfile.ZipFile(f"{folder}/rankloom.zip", "w") as archive:
+        for f in sorted(package.rglob("*.py")):
+            archive.write(f, f.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/rankloom.zip")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh folder for one written table, below one folder per application that can be removed with it."""
     run = spark.sparkContext.applicationId
