@@ -79,8 +79,7 @@ class ByteBpe:
     def _pieces(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
             return self._library(texts)
-        encode = self.fast._core_bpe.encode_ordinary if hasattr(self.fast, "_core_bpe") else self.fast.encode_ordinary
-        return [array("I", encode(t)).tobytes() for t in texts]
+        return [array("I", self.fast.encode_ordinary(t)).tobytes() for t in texts]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
