@@ -14,6 +14,7 @@ is not known, but the start of a word leads to the same state from any: each chu
 state it is left with and a count, and after its first word start that map is constant. A prefix scan composes the maps
 of the chunks (the last constant one before a chunk wins), which gives every chunk its true entering state, then the
 symbols before its first word start are read from that state. Chunks inside one long word join the chunk where it began.
+Texts above a MB are read in parts that begin at blanks.
 
 Words are cut and normalised exactly as the tokenizer file says: NFC, lower case, and its pattern of contractions,
 letters, single numbers and other signs. Special tokens written out in a text count as one token each.
@@ -249,10 +250,30 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def _counts(tokenizer: str):
+def cut_at_blanks(text: str, size: int) -> Iterator[str]:
+    """Parts of about ``size`` characters that begin with a blank (where none is near, longer ones); as no word goes on
+    over a blank and no sign after it joins it, their counts add up."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        while end >= 0 and end + 1 < len(text) and unicodedata.combining(text[end + 1]):
+            end = text.find(" ", end + 1)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _counts(tokenizer: str, size: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(tokenizer).count
         for batch, texts in slices(batches, 2 << 20):
-            tokens = counter(tokenizer).count([t.decode() for t in texts])
+            short = [t.decode() if len(t) <= size else "" for t in texts]
+            tokens = count(short)
+            for i, t in enumerate(texts):
+                if len(t) > size:
+                    tokens[i] = sum(int(count([part])[0]) for part in cut_at_blanks(t.decode(), size))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens)], names=["key", "n_bytes", "n_tokens"])
 
     return run

@@ -48,6 +48,16 @@ def test_transducer_counts_as_the_library(monkeypatch):
     assert counter.count(list(texts)).tolist() == want
 
 
+def test_long_texts_are_cut_at_blanks():
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    counter = counting.Counter(path("word_bpe_49k.json"))
+    for text in [*mixed_texts(5, 40, "ab c'st  .é\u0301\n", 200), "x" * 50, "<|endoftext|> " * 9]:
+        for size in (1, 7, 50):
+            parts = list(counting.cut_at_blanks(text, size))
+            assert "".join(parts) == text
+            assert sum(int(counter.count([p])[0]) for p in parts) == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_token_counts_rows(docs_of, spark):
     rows = {r.doc_id: r for r in counting.token_counts(docs_of([(1, None), (2, ""), (3, "the cat"), (None, "cat")]), path("word_bpe_49k.json"), limit=1).collect()}
     assert (rows[1].n_tokens, rows[2].n_bytes, rows[3].n_tokens, rows[3].over_limit, rows[None].over_limit) == (0, 0, 2, True, False)
