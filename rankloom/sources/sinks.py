@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_scores(scores: DataFrame, path: str, digits: int = 5, fmt: str = "csv", files_per_day: int = 1) -> str:
+def write_scores(scores: DataFrame, path: str, digits: int = 5, fmt: str = "csv") -> str:
     """S14. One folder per model and date with rounded scores.
 
-    Rows are spread by (model, date, slice) first, so a date is written by at most
-    ``files_per_day`` tasks and no task opens every folder.
+    Rows are rebalanced by model and date: small dates share a task, a large one is split by its size.
     """
-    out = scores.select("model_id", "dt", "kdcode", F.round("score", digits).alias("score"))
-    spread = F.pmod(F.xxhash64("kdcode"), F.lit(files_per_day))
-    out = out.repartition("model_id", "dt", spread)
+    out = scores.select("model_id", "dt", "kdcode", F.round("score", digits).alias("score")).hint("rebalance", "model_id", "dt")
     # The file keeps its own date; the folder is named by a copy.
     out = out.select("model_id", F.col("dt").alias("date"), "kdcode", "dt", "score")
     writer = out.write.mode("overwrite").partitionBy("model_id", "date").format(fmt)
@@ -26,7 +23,7 @@ def write_features(features: DataFrame, path: str, digits: int = 6) -> str:
     """S14. Normalised features of each date, rounded."""
     cols = [c for c in features.columns if c not in ("kdcode", "dt")]
     out = features.select("dt", "kdcode", *[F.round(c, digits).alias(c) for c in cols])
-    out.repartition("dt").write.mode("overwrite").partitionBy("dt").parquet(path)
+    out.hint("rebalance", "dt").write.mode("overwrite").partitionBy("dt").parquet(path)
     return path
 
 

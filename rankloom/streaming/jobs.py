@@ -72,7 +72,8 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def upsert(batch: DataFrame, path: str, keys: Sequence[str], order: str) -> None:
     """T2. Merge a batch into a table partitioned by month of ``dt``: the highest ``order`` wins.
 
-    Only touched months are read and rewritten, each atomically, so a repeated batch changes nothing.
+    Only touched months are read and rewritten, so a repeated batch changes nothing. A month is replaced by one commit;
+    if that fails half-way, the batch is run again by the stream.
     """
     spark = batch.sparkSession
     new = batch.withColumn("month", F.date_format("dt", "yyyy-MM"))
@@ -80,10 +81,8 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], order: str) -> None
         old = spark.read.schema(new.schema).parquet(path)
         new = new.unionByName(old.join(new.select("month").distinct(), "month", "left_semi"))
     kept = keep_last(new, list(keys), order)
-    (
-        kept.repartition("month", F.pmod(F.xxhash64(*keys), F.lit(8)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    )
+    # tasks by month and size: small months are one file, a large one is split
+    kept.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def append_panel(stream: DataFrame, path: str, keys: Sequence[str] = ("kdcode", "dt"), order: str = "seq") -> DataFrame:
