@@ -349,10 +349,10 @@ def s14(spark, sf):
     return out
 
 
-@query("s14_feature_tables", check_sql("features_d", "SELECT kdcode, dt, " + ", ".join(f"{r(f'round({c}, 6)', 5)} AS {c}" for c in FEATS) + " FROM features_d"))
+@query("s14_feature_tables", check_sql("features_d", "SELECT kdcode, dt, " + ", ".join(f"{r(c)} AS {c}" for c in FEATS) + " FROM features_d"))
 def s14_features(spark, sf):
     path = sinks.write_features(td.features_d(spark, sf).select("kdcode", "dt", *FEATS), new_path(spark, "features"))
-    return rounded(spark.read.parquet(path).select("kdcode", "dt", *FEATS), *FEATS, digits=5)
+    return rounded(spark.read.parquet(path).select("kdcode", "dt", *FEATS), *FEATS)
 
 
 _cell = " || ".join(f"'{c}=' || coalesce('''' || {e}, 'NULL') || ';'" for c, e in (("kdcode", "c_custkey::VARCHAR"), ("name", "c_name"), ("dt", "(CASE WHEN c_custkey % 7 > 0 THEN DATE '2024-01-01' + (c_custkey % 30)::INTEGER END)::VARCHAR")))
