@@ -100,7 +100,7 @@ def walkforward_windows(df: DataFrame, wf: Walkforward, start: str | None = None
     starts = span.where(F.add_months("first_dt", years) < F.col("last_dt")).select(
         "*",
         F.posexplode(
-            F.sequence(F.col("first_dt"), F.add_months("last_dt", -years), step)
+            F.sequence(F.col("first_dt"), F.greatest("first_dt", F.add_months("last_dt", -years)), step)
         ).alias("step", "start"),
     )
     gap = wf.label_t + 1
