@@ -17,16 +17,21 @@ def matrix(spark, scores, rets):
     return spark.createDataFrame(rows, "model_id int, dt date, kdcode bigint, score double, ret double")
 
 
-def test_top_k_with_a_tie(spark):
-    p = matrix(spark, [[0.9, 0.8, 0.1, 0.0], [0.5, 0.5, 0.5, 0.1]], [[0.02, 0.04, 0.5, 0.5], [0.01, 0.05, 0.9, 0.9]])
-    got = [r.r for r in ev.top_k_daily(p, [2]).orderBy("dt").collect()]
-    assert got == pytest.approx([0.03, 0.03])
-
-
-def test_spearman_signs(spark):
-    p = matrix(spark, [[1, 2, 3], [1, 2, 3]], [[10, 20, 99], [3, 2, -50]])
-    assert [round(r.ic, 9) for r in ev.daily_rank_ic(p).orderBy("dt").collect()] == [1.0, -1.0]
-    assert ev.daily_ic(matrix(spark, [[1, 1, 1]], [[1, 2, 3]])).count() == 0
+def test_top_k_means_with_ties(spark):
+    rng = np.random.default_rng(23)
+    score, gain = rng.integers(0, 4, (6, 9)) / 4, rng.normal(0, 0.05, (6, 9))
+    got = [r.r for r in ev.top_k_daily(matrix(spark, score.tolist(), gain.tolist()), [4]).orderBy("dt").collect()]
+    want = [np.mean([g[k] for k in sorted(range(9), key=lambda k: (-x[k], k))[:4]]) for x, g in zip(score, gain)]
+    assert got == pytest.approx(want)
+
+
+def test_rank_correlation_equals_numpy(spark):
+    rng = np.random.default_rng(31)
+    x, y = rng.normal(size=(5, 12)), rng.normal(size=(5, 12))
+    rank = lambda v: np.argsort(np.argsort(v, axis=1), axis=1)
+    want = [np.corrcoef(a, b)[0, 1] for a, b in zip(rank(x), rank(y))]
+    assert [r.ic for r in ev.daily_rank_ic(matrix(spark, x.tolist(), y.tolist())).orderBy("dt").collect()] == pytest.approx(want)
+    assert ev.daily_ic(matrix(spark, [[0.5] * 6], [[0.1, 0.4, 0.2, 0.3, 0.0, 0.6]])).count() == 0
 
 
 def test_newey_west_equals_formula(spark):
