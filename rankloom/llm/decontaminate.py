@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.text import slices, words_of
+from rankloom.llm.text import key_and_text, slices, words_of
 
 WINDOW_WORDS = 13
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +142,7 @@ def _search(patterns: Patterns, keep_text: bool):
                 spans[row].append([first, first + patterns.words[n]])
                 items[row].update(patterns.items[n])
             columns = {"key": batch.column("key"), "n_words": pa.array([len(w) for w in rows], pa.int64()), "spans": pa.array([sorted(x) for x in spans], SPANS), "items": pa.array([sorted(x) for x in items], ITEMS)}
-            if keep_text:
+            if keep_text and "text" in batch.schema.names:
                 columns["text"] = batch.column("text")
             yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
@@ -161,14 +161,15 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: i
     """One row per document row: its key column, n_words, spans (word ranges of the occurring windows, sorted) and items
     (ids of the items that they belong to, sorted as strings)."""
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("key"), "text", F.expr("CAST(array() AS array<array<long>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
+    columns = key_and_text(docs, key)
+    found = docs.select(*columns, F.expr("CAST(array() AS array<array<long>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
     compiled = (compile_patterns(block, window) for block in item_blocks(benchmark, block_bytes))
     ahead = next(compiled)
     while ahead is not None:
         patterns, ahead = ahead, next(compiled, None)
         found = found.mapInArrow(
             _search(patterns, keep_text=ahead is not None),
-            f"key {kind}, n_words long, spans array<array<long>>, items array<string>" + (", text string" if ahead is not None else ""),
+            f"key {kind}, n_words long, spans array<array<long>>, items array<string>" + (", text string" if ahead is not None and len(columns) > 1 else ""),
         )
     return found.withColumnRenamed("key", key)
 
@@ -187,6 +188,6 @@ def verdicts(found: DataFrame, one_in: int = 20) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns. Rows are told apart by position in a struct, so
     that neither repeated ids nor other columns matter."""
-    row = docs.select(F.struct("*").alias("row"), "text")
+    row = docs.select(F.struct("*").alias("row"))
     judged = verdicts(search(row, benchmark, key="row"))
     return judged.filter("NOT contaminated").select("row.*")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # A-Z lower-cased; every ASCII byte that is no letter or digit separates words.
 _FOLD = bytearray(range(256))
@@ -20,19 +21,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def key_and_text(docs: DataFrame, key: str) -> list[Column]:
+    """``key`` and the text (null: empty) as Arrow functions read them; a struct key has its own text."""
+    own = [F.col(key).alias("key")]
+    return own if isinstance(docs.schema[key].dataType, StructType) else [*own, F.coalesce("text", F.lit("")).alias("text")]
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone; a null text is empty."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut batches so that each piece holds about ``limit`` bytes of text, or one row; with the texts as UTF-8."""
+def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut batches so that each piece holds about ``limit`` bytes of text, or one row; with the texts as UTF-8. The text is
+    a column, or else a field of the first one."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+        at = batch.schema.get_field_index("text")
+        column = (batch.column(at) if at >= 0 else batch.column(0).field("text")).cast(pa.binary())
         start, size, held = 0, 0, []
         for i in range(len(column)):
             value = column[i].as_py() or b""

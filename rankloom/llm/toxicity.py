@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.text import slices
+from rankloom.llm.text import key_and_text, slices
 
 SAMPLE = 1500
 LANDMARKS = 64
@@ -263,11 +263,11 @@ def _landmarks(words: tuple[bytes, ...]) -> Landmarks:
 
 def keep_clean(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The documents that score less than ``least``, with all their columns."""
-    row = docs.select(F.struct("*").alias("row"), "text")
+    row = docs.select(F.struct("*").alias("row"))
     return scores(row, model, key="row").filter(F.col("score") < least).select("row.*")
 
 
 def scores(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
     """key, score: one row per document row."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_score(model), f"key {kind}, score double").withColumnRenamed("key", key)
+    return docs.select(*key_and_text(docs, key)).mapInArrow(_score(model), f"key {kind}, score double").withColumnRenamed("key", key)
