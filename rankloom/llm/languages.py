@@ -157,8 +157,11 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network | None
     """A network of documents that have a language and are ``usable``."""
     known = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= 20000) & usable)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Spark keeps so many rows of each language before it shuffles ids and languages
-    picked = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    # a share of each language by hash, about twice the sample, so that the window does not see a whole language
+    count = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("rows")))  # one row for each language
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < 2.0 * sample / F.col("rows")
+    few = known.select("doc_id", "lang").join(count, "lang").filter(share | F.col("doc_id").isNull())
+    picked = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
     picked = F.broadcast(picked)  # ``sample`` rows of each language at most
     examples = []
     for r in known.select("doc_id", "text", "lang").join(picked, ["doc_id", "lang"]).select("text", "lang").orderBy(F.xxhash64("doc_id"), "text").collect():
