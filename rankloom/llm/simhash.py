@@ -17,8 +17,8 @@ Links (at most three differing bits) are searched between distinct fingerprints,
 * A group reports a spanning forest of its links, not all pairs: components lose nothing by that.
 
 Components come from alternating large-star and small-star rounds over these edges, each a written table, until nothing
-changes. The representative of a fingerprint is its smallest doc_id, so that the smallest label of a component is the
-smallest doc_id in it.
+changes. Nodes are fingerprints, so that texts which share a doc_id are not linked by that; a component is then named by
+the smallest doc_id of its rows.
 
 Rows without doc_id get their fingerprint and, as they have no id to be represented by, the component of their
 fingerprint's other rows, or null. Repeated rows are answered each. Only doc_id and text are looked at.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.text import slices
@@ -171,12 +171,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def search(table: pa.Table) -> pa.RecordBatch:
         group, fp = table["group"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
         order = np.lexsort((gray_rank(fp), group))
-        group, fp, rep = group[order], fp[order], table["rep"].to_numpy()[order]
+        group, fp = group[order], fp[order]
         cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         end = np.append(cut[1:], len(group))
         big = end - cut > 1
         edges = np.array(forest(fp, cut[big], end[big]), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(rep[edges[:, 0]]), pa.array(rep[edges[:, 1]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[edges[:, k]].view(np.int64)) for k in (0, 1)], names=["u", "v"])
 
     for batch in batches:
         held.append(batch)
@@ -212,19 +212,19 @@ def _groups(level: int) -> Column:
 
 
 def routed(prints: DataFrame, group_limit: int = 1 << 14, levels: int = 3) -> DataFrame:
-    """fp, rep, group: any two fingerprints within three bits meet in a group. Groups above the limit are split by the
+    """fp, group: any two fingerprints within three bits meet in a group. Groups above the limit are split by the
     next level's blocks, but for those of the last level, which share 37 bits."""
-    at, parts = prints.select("fp", "rep", F.explode(_groups(1)).alias("group")), []
+    at, parts = prints.select("fp", F.explode(_groups(1)).alias("group")), []
     for level in range(1, levels):
         large = stable(at.groupBy("group").count().filter(F.col("count") > group_limit).select("group"))
         if large.isEmpty():
             break
-        parts.append(at.join(large, "group", "left_anti").select("fp", "rep", "group"))
+        parts.append(at.join(large, "group", "left_anti").select("fp", "group"))
         finer = F.arrays_zip(_groups(level + 1).alias("group"), F.flatten(F.transform(_groups(level), lambda g: F.array_repeat(g, 4))).alias("above"))
         at = (
             at.join(large, "group", "left_semi")
-            .select("fp", "rep", F.explode(F.filter(finer, lambda x: x["above"] == F.col("group"))).alias("x"))
-            .select("fp", "rep", "x.group")
+            .select("fp", F.explode(F.filter(finer, lambda x: x["above"] == F.col("group"))).alias("x"))
+            .select("fp", "x.group")
         )
     for part in parts:
         at = at.unionByName(part)
@@ -251,21 +251,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_forest(prints: DataFrame, group_limit: int = 1 << 14) -> DataFrame:
-    """u, v: edges between representatives that span the components of the links. prints: fp (distinct), rep."""
+    """u, v: edges between fingerprints that span the components of the links. prints: fp (distinct)."""
     return routed(prints, group_limit).repartition("group").sortWithinPartitions("group").mapInArrow(_links, "u long, v long")
 
 
+def rooted(prints: DataFrame, group_limit: int = 1 << 14) -> DataFrame:
+    """prints (fp, distinct, and other columns) with root: the smallest fingerprint of the component."""
+    found = components(link_forest(prints, group_limit)).withColumnRenamed("component", "root")
+    return prints.join(found, F.col("fp") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", group_limit: int = 1 << 14) -> DataFrame:
     """key, fp, component: one row per document row; key must be a long."""
     marked = stable(fingerprints(docs, key))
     prints = stable(marked.filter(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("rep")))
-    found = components(link_forest(prints, group_limit))
-    classes = prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    roots = stable(rooted(prints, group_limit))
+    least = stable(roots.groupBy("root").agg(F.min("rep").alias("component")))
+    classes = roots.join(least, "root").select("fp", "component")
     return marked.join(classes, "fp", "left").select(key, "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their component, once each, and those without id, with all columns."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component").select(F.col("doc_id").alias("kept")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each component, of its smallest doc_id, and the rows without id; with all columns.
+
+    The row is chosen by id and text, which are named by 128 bits: an id may have several texts. Of rows alike in both one
+    is left, by a limit of one that Spark applies before the shuffle too, so that many copies do not meet in a task."""
+    with_id = docs.filter("doc_id IS NOT NULL")
+    name = [F.xxhash64(F.lit(k), "doc_id", F.col("text").isNull(), "text").alias(f"near_{k}") for k in (0, 1)]
+    key = F.struct("doc_id", *name).alias("key")
+    marked = fingerprints(with_id.select(key, "text"), "key")
+    prints = stable(marked.groupBy("fp").agg(F.min("key").alias("rep")))
+    kept = rooted(prints).groupBy("root").agg(F.min("rep").alias("rep")).select("rep.near_0", "rep.near_1")
+    names = ["near_0", "near_1"]
+    same = Window.partitionBy(*names).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = with_id.select("*", *name).withColumn("near_n", F.row_number().over(same)).filter("near_n <= 1")
+    return once.join(kept, names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))

@@ -48,6 +48,27 @@ def test_near_duplicates(docs_of, limit):
     assert simhash.near_duplicates(docs_of([])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, and rows of one id with several texts, of which only one represents its component."""
+    rnd = random.Random(11)
+    one, two, other = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, one, "a"), (5, one.upper(), "b"), (5, two, "c"), (5, two, "c"), (5, two, "d"), (7, two, "e"), (7, other, "f"), (9, other, "g"), (9, other, "g")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows * 2, "doc_id long, text string, source string").repartition(5))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, one), (5, two), (7, other)])
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {(r.doc_id, r.component) for r in found.collect()} == {(1, 1), (5, 1), (5, 5), (7, 5), (7, 7), (9, 7)}
+
+
+def test_pipeline_with_repeated_rows(spark, tmp_path):
+    """Stage 2 on rows that are repeated before it: later stages get each document once."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))) for i in range(20)]
+    spark.createDataFrame([*rows, *rows[:7], *rows[:3]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    once = stage["near duplicates"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(map(tuple, stage["repeats"](spark, once, str(tmp_path)).collect())) == rows
+
+
 def test_links_of_dense_groups():
     """Whole ranges linked at once, and pairs, give the components of all pairs."""
     rnd = random.Random(5)
