@@ -8,8 +8,9 @@ the inverse root of the landmarks' kernel matrix that is the Nyström map, on wh
 trained, sentence by sentence, with the label of the document. A document scores as its worst sentence, on a logistic scale fitted to training
 documents.
 
-Training reads ``sample`` labelled documents of each class at most, of up to 20,000 characters, the first by a hash of
-doc_id (a documented bound); sentences that copies share count once. Scoring reads all of every text. The kernel is computed
+Training reads ``sample`` labelled documents of each class at most, the first by a hash of doc_id of those that are there
+and have a word, and of a text above 20,000 characters so many bytes of sentences from anywhere in it, the first by a hash
+(documented bounds); further texts of an id are read after the first one of each. Sentences that copies share count once. Scoring reads all of every text. The kernel is computed
 once for a word while a worker remembers it, and only with landmarks of which it has the letters: sequences that it can
 hold must make up half of the landmark's own kernel.
 
@@ -29,12 +30,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.text import key_and_text, slices
+from rankloom.session import stable
 
-SAMPLE = 1500
+SAMPLE, LONG = 1500, 20_000
 LANDMARKS = 64
 DECAY, FLOOR, SHARE = 0.55, 0.4, 0.5
 WIDE = 24  # longer words are read in windows of so many letters, half overlapping
@@ -223,15 +226,45 @@ def train(toxic: list[bytes], clean: list[bytes], share: float = 0.5) -> Model |
     return model._replace(slope=slope, shift=shift)
 
 
+def excerpt(text: bytes, most: int = LONG) -> bytes:
+    """The text, or of one above ``most`` characters about ``most`` bytes of its sentences, by a hash of each. Very long
+    sentences and words are taken in pieces."""
+    if len(text) <= most or len(text.decode()) <= most:
+        return text
+    pieces = set()
+    for words in sentences(text):
+        words = [w[k : k + 500] for w in words for k in range(0, len(w), 500)]
+        pieces.update(b" ".join(words[k : k + 100]) for k in range(0, len(words), 100))
+    held, size = [], 0
+    for piece in sorted(pieces, key=lambda x: (xxhash.xxh64_intdigest(x), x)):
+        if held and size + len(piece) > most:
+            break
+        held.append(piece)
+        size += len(piece) + 1
+    return b"\n".join(held)
+
+
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches):
+        cut = pa.array([excerpt(t).decode(errors="ignore") for t in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut], names=["doc_id", "toxic", "text"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Model | None:
     """A model of labelled documents whose doc_id is ``usable``: ``sample`` of each class at most."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().filter("toxic IN (0, 1)").collect()}
+    readable = docs.select("doc_id", "text").filter(F.col("text").rlike(r"[0-9A-Za-z@$]|[^\x00-\x7F]"))
+    marks = stable(marks.filter("toxic IN (0, 1)").join(readable.select("doc_id").distinct(), "doc_id", "left_semi"))
+    counts = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     chosen = [marks.filter(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (1, 0)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").filter("length(text) <= 20000")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = readable.join(picked, "doc_id").select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(_excerpts, f"doc_id {kind}, toxic int, text string").distinct()
+    # the first text of every picked id, then the second ones; the limit of 1,000 for an id is applied before the shuffle
+    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("turn", F.row_number().over(turn)).filter("turn <= 1000")
     texts: tuple[list[bytes], list[bytes]] = ([], [])
-    for r in rows.orderBy(F.xxhash64("doc_id"), "text").limit(2 * sample).collect():
+    for r in rows.orderBy("turn", F.xxhash64("doc_id"), "text").limit(2 * sample).collect():
         texts[r.toxic].append(r.text.encode())
     return train(texts[1], texts[0], counts.get(1, 0) / max(1, sum(counts.values())))
 

@@ -194,6 +194,25 @@ def test_toxicity(spark, docs_of):
     assert toxicity.scores(docs_of([]), model).count() == 0
 
 
+def test_toxicity_learns_from_what_is_there(spark, docs_of):
+    """Labels of absent, empty and repeated documents do not use up the sample, and long documents are read."""
+    rows, labels = insulting(4, 240)
+    calm = ". ".join(f"pa{k}lo mi{k % 37}ne" for k in range(2500))
+    first = min((i for i, y in labels if y), key=lambda i: toxicity.xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42))  # the first by hash
+    docs = docs_of([*rows, *[(i, "") for i in range(1000, 1400)], *[(first, rows[first][1])] * 300])
+    marks = spark.createDataFrame([*labels, *[(i, i % 2) for i in range(1000, 9000)]], "doc_id long, toxic int")
+    held, bad = insulting(5, 120)
+    right = lambda model: np.mean([(r.score >= 0.3) == (r.doc_id % 3 == 0) for r in toxicity.scores(docs_of(held), model).collect()])
+    assert right(toxicity.fit(docs, marks, F.lit(True), sample=80)) > 0.9
+    long = [(i, t + ". " + calm + ". " + t if y else t) for (i, t), (_, y) in zip(rows, labels, strict=True)]
+    assert min(len(t) for (_, t), (_, y) in zip(long, labels, strict=True) if y) > 20_000
+    assert toxicity.fit(docs_of(long), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)) is not None
+    text = ("abc " * 50 + ". ").encode() + b"x" * 100_000 + b" " + b". ".join(b"d%d e" % k for k in range(9000)) + b". snorfel"
+    cut = toxicity.sentences(toxicity.excerpt(text))
+    assert 10_000 < sum(len(w) for x in cut for w in x) + 1 <= 20_000 and cut == toxicity.sentences(toxicity.excerpt(text))
+    assert toxicity.excerpt("é".encode() * 20_000) == "é".encode() * 20_000
+
+
 def test_kernel_by_enumeration():
     from itertools import combinations
 
