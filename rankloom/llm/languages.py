@@ -7,8 +7,9 @@ trained by backpropagation through time on segments of training documents.
 A text is read whole, in segments of ``SEGMENT`` bytes that start from empty states, so memory does not grow with its
 length and all segments of a batch advance together.
 
-Training reads ``sample`` documents of each language at most, of up to 20,000 characters, the first by a hash of doc_id,
-and ``PER_DOC`` segments of each (documented bounds). Languages come from the non-null values of lang there.
+Training reads ``sample`` texts of each language at most, those of the first ids by a hash and of each id one before the
+second ones, and ``PER_DOC`` segments spread over the whole of each (documented bounds); rows without doc_id or with an
+empty text are not among them. Languages come from the non-null values of lang there.
 
 A text that is null or has no letter, or any text if there is nothing to learn from, is ``und`` with score 0. Repeated rows
 and rows without doc_id are answered each; an empty table gives no rows. Columns other than doc_id, text and lang are not
@@ -153,22 +154,31 @@ def train(examples: list[tuple[bytes, str]], rounds: int = 240, batch: int = 256
     return net
 
 
+def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``PER_DOC`` segments of each text, spread over its length."""
+    for batch, texts in slices(batches):
+        places = [np.unique(np.linspace(0, max(0, len(t) - SEGMENT), PER_DOC).astype(int)).tolist() for t in texts]
+        cut = pa.array([[t[a : a + SEGMENT] for a in at] for t, at in zip(texts, places, strict=True)], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut], names=["doc_id", "lang", "cut"])
+
+
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network | None:
     """A network of documents that have a language and are ``usable``."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= 20000) & usable)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.col("text") != "") & usable)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # a share of each language by hash, about twice the sample, so that the window does not see a whole language
-    count = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("rows")))  # one row for each language
-    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < 2.0 * sample / F.col("rows")
-    few = known.select("doc_id", "lang").join(count, "lang").filter(share | F.col("doc_id").isNull())
-    picked = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    count = F.broadcast(known.groupBy("lang").agg(F.greatest(F.approx_count_distinct("doc_id"), F.lit(1)).alias("ids")))  # one row for each language
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < 2.0 * sample / F.col("ids")
+    few = known.select("doc_id", "lang").join(count, "lang").filter(share).select("doc_id", "lang").distinct()
+    picked = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "lang")
     picked = F.broadcast(picked)  # ``sample`` rows of each language at most
-    examples = []
-    for r in known.select("doc_id", "text", "lang").join(picked, ["doc_id", "lang"]).select("text", "lang").orderBy(F.xxhash64("doc_id"), "text").collect():
-        text = r.text.encode()
-        at = np.unique(np.linspace(0, max(0, len(text) - SEGMENT), PER_DOC).astype(int))
-        examples += [(text[a : a + SEGMENT], r.lang) for a in at.tolist()]
-    return train(examples)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    rows = rows.mapInArrow(_segments_of, f"doc_id {kind}, lang string, cut array<binary>").distinct()
+    # the limit of 1,000 texts of an id is applied before the shuffle
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "lang").orderBy(F.xxhash64("cut"), "cut"))).filter("turn <= 1000")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= sample)
+    return train([(bytes(t), r.lang) for r in rows.select("lang", "cut").orderBy("lang", "n").collect() for t in r.cut])
 
 
 def probabilities(texts: list[bytes], net: Network) -> np.ndarray:

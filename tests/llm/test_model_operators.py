@@ -270,6 +270,28 @@ def test_languages(spark):
     assert languages.predict(docs.limit(0), net).count() == 0
 
 
+def test_languages_of_long_and_repeated_documents(spark, monkeypatch):
+    """A language of long documents only is learned, and the copies of one document do not fill the sample."""
+    rnd = random.Random(6)
+    sounds = {"xx": ["ka", "to", "mi"], "yy": ["sch", "ung", "er"]}
+    text = lambda lang, n: "".join(rnd.choice(sounds[lang]) + " " * (rnd.random() < 0.3) for _ in range(n))
+    rows = [(i, text("xx", 50), "xx") for i in range(40)] + [(100 + i, text("yy", 12_000), "yy") for i in range(20)]
+    rows += [(3, rows[3][1], "xx")] * 500 + [(5, text("xx", 40), "xx") for _ in range(60)] + [(None, "ka to", "xx")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, lang in rows if lang == "yy") > 20_000
+    seen = []
+    monkeypatch.setattr(languages, "train", lambda examples: seen.append(examples))
+    languages.fit(docs, F.lit(True), sample=30)
+    monkeypatch.undo()
+    assert {lang for _, lang in seen[0]} == {"xx", "yy"}
+    texts = {t.encode()[: languages.SEGMENT] for _, t, lang in rows if lang == "xx"}
+    assert len(texts & {t for t, _ in seen[0]}) == 30 and len(seen[0]) <= 60 * languages.PER_DOC
+    ends = {t.encode()[-languages.SEGMENT :] for _, t, lang in rows if lang == "yy"}
+    assert ends <= {t for t, _ in seen[0]}
+    net = languages.fit(docs, F.lit(True))
+    assert {r.doc_id: r.lang_pred for r in languages.predict(docs.filter("doc_id >= 100"), net).collect()} == {100 + i: "yy" for i in range(20)}
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage against its rule on its own input; planted cases go, clean documents stay."""
     rows, labels = insulting(3, 240)
