@@ -16,7 +16,7 @@ equal; queries stream past them. Directions, places and ranges come from a sampl
 
 Vectors that are null or zero, hold a null or a component that is not finite, or are not of the most common length take no
 part, nor do rows without id. A query never finds rows of its own id; equal scores go to the smaller id; rows that share
-an id count once, with their best score. Columns other than the id and the vector are not looked at. An empty table gives no
+an id count once, with their best score, before any list is cut; rows alike in id and vector are dealt once. Columns other than the id and the vector are not looked at. An empty table gives no
 rows.
 """
 
@@ -125,23 +125,35 @@ def _deal(curves: Curves, parts: int, stride: int):
     return run
 
 
-def _best(query: np.ndarray, name: int, ids: np.ndarray, near: np.ndarray, approximate: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest ids with exact scores: summed in one order whatever the matrix product did, so that equal vectors tie."""
+def _best(query: np.ndarray, name: int, ids: np.ndarray, near: np.ndarray, approximate: np.ndarray, most: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest ids, each once, with exact scores: summed in one order whatever the matrix product did, so that equal
+    vectors tie. starts: where each id begins, of sorted ids that repeat."""
     other = ids != name
-    if other.sum() > most:
-        least = np.partition(approximate[other], -most)[-most]
+    best = approximate[other] if starts is None else np.maximum.reduceat(approximate, starts)[other[starts]]
+    if len(best) > most:
+        least = np.partition(best, -most)[-most]
         other &= approximate >= least - 1e-9 * (1 + abs(least))
     at = np.flatnonzero(other)
     score = (near[at] * query).sum(axis=1)
-    order = np.lexsort((ids[at], -score))[:most]
+    order = np.lexsort((ids[at], -score))
+    if starts is not None:
+        order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+    order = order[:most]
     return ids[at][order], score[order]
 
 
+def _by_id(ids: np.ndarray, vectors: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Both in the order of the ids, and where each id begins."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    return [ids], [vectors[order]], np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+
+
 def _search(size: int, most: int):
     """Rows sorted by tile, part and kind: a part's candidates, then its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, ids, vectors = None, [], []
+        tile, ids, vectors, starts = None, [], [], None
         for batch in batches:
             here = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
             cuts = [0, *(np.flatnonzero((here[1:] != here[:-1]).any(axis=1)) + 1).tolist(), len(here)]
@@ -151,17 +163,18 @@ def _search(size: int, most: int):
                 names = batch.column(3).slice(a, b - a).to_numpy()
                 rows = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), "<f8").reshape(-1, size)
                 if tile != tuple(here[a, :2]):
-                    tile, ids, vectors = tuple(here[a, :2]), [], []
+                    tile, ids, vectors, starts = tuple(here[a, :2]), [], [], None
                 if here[a, 2] == 0:
                     ids.append(names)
                     vectors.append(rows)
                 elif ids:
-                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    if len(ids) > 1 or starts is None:
+                        ids, vectors, starts = _by_id(np.concatenate(ids), np.concatenate(vectors))
                     out: list[tuple] = []
                     for k in range(0, len(names), 256):
                         product = rows[k : k + 256] @ vectors[0].T
                         for q, name, approximate in zip(rows[k : k + 256], names[k : k + 256].tolist(), product, strict=True):
-                            found, score = _best(q, name, ids[0], vectors[0], approximate, most)
+                            found, score = _best(q, name, ids[0], vectors[0], approximate, most, starts if len(starts) < len(ids[0]) else None)
                             out.append((np.full(len(found), name), found, score))
                     columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
@@ -177,7 +190,7 @@ def nearest(vectors: DataFrame, most: int = 20, stride: int = 20, key: str = "ve
     if not lengths:
         return spark.range(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     size, total = lengths[0]["size"], lengths[0]["count"]
-    rows = rows.filter(F.size("vec") == size)
+    rows = rows.filter(F.size("vec") == size).distinct()
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
     curves = fit(np.array([r.vec for r in sample], np.float64))
     dealt = rows.mapInArrow(_deal(curves, -(-total // (BINS * TILE)), stride), "tile int, part int, kind int, id long, vec binary")

@@ -126,6 +126,23 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0)).count() == 0 and neighbours.nearest(table.filter("vec_id >= 5000")).count() == 0
 
 
+def test_neighbours_with_repeated_ids(spark):
+    """Rows of one near id, alike or not, take one place of a list."""
+    one = [1.0, 2.0, 0.5, 1.0]
+    rows = [(i, one) for i in range(1, 19)] + [(0, one)] * 3 + [(30, [2 * x for x in one])] * 40 + [(31, one)] * 25
+    found = sorted((r.rank, r.vec_id) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").collect())
+    assert found == [(1, 30), *[(k + 1, k) for k in range(1, 19)], (20, 31)]
+    rng = np.random.default_rng(3)
+    near, query = rng.normal(size=(400, 8)), rng.normal(size=8)
+    near[:200] += 2 * query  # many rows of few ids are nearest
+    names = np.concatenate([rng.integers(0, 4, 200), rng.integers(0, 60, 200)])
+    (ids,), (vectors,), starts = neighbours._by_id(names, near)
+    best = {i: max(float((v * query).sum()) for k, v in zip(names.tolist(), near, strict=True) if k == i) for i in set(names.tolist()) - {2}}
+    want = sorted(best, key=lambda i: (-best[i], i))[:20]
+    got = neighbours._best(query, 2, ids, vectors, vectors @ query, 20, starts)
+    assert got[0].tolist() == want and np.allclose(got[1], [best[i] for i in want])
+
+
 def test_hilbert_is_a_path():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = np.argsort(neighbours.hilbert(cells, 3))
