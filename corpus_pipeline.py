@@ -6,8 +6,8 @@
 4. decontamination: documents with a twentieth of their words in benchmark windows go.
 5. packing: the pieces of all documents left, with their places in sequences of 1024 tokens.
 
-All but the last return the columns of documents. Rows without doc_id pass stages 2 and 3 unchanged; a null text is kept, and
-is one end token in the last stage. An empty table gives an empty result.
+All but the last return the columns of documents. Rows without doc_id come after all others in stages 2 and 3; a null text
+that stays is one end token in the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations

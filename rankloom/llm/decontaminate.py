@@ -13,7 +13,8 @@ The patterns of a block of items (``block_bytes`` of item text at most, or one i
 larger benchmark is searched in several blocks, one after the other, each adding its hits to the rows.
 
 Null texts and empty texts have no words: they are never hit, and empty items have no windows. Items with the same text
-all count; items without item_id are not searched, as a hit could not name them. A document row is answered for itself,
+all count; items without item_id are searched if ``nameless`` says so (the query and the pipeline do), and are hit without
+being named. A document row is answered for itself,
 also if its doc_id repeats or is null. Only the key and text columns are looked at; other names cannot clash.
 """
 
@@ -71,7 +72,7 @@ def _suffix(data: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     return total
 
 
-def compile_patterns(items: list[tuple[str, bytes]], window: int = WINDOW_WORDS) -> Patterns:
+def compile_patterns(items: list[tuple[str | None, bytes]], window: int = WINDOW_WORDS) -> Patterns:
     """The windows of (item id, text) pairs with their search tables."""
     owners: dict[bytes, set[str]] = defaultdict(set)
     counts: dict[bytes, int] = {}
@@ -80,7 +81,7 @@ def compile_patterns(items: list[tuple[str, bytes]], window: int = WINDOW_WORDS)
         for i in range(max(1, len(words) - window + 1)):
             if part := words[i : i + window]:
                 key = b" " + b" ".join(part) + b" "
-                owners[key].add(item)
+                owners[key].update([item] if item is not None else [])
                 counts[key] = len(part)
     texts = sorted(owners, key=lambda t: (len(t), t))
     by_length: dict[int, list[int]] = defaultdict(list)
@@ -149,21 +150,21 @@ def _search(patterns: Patterns, keep_text: bool):
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int, nameless: bool = False) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of about ``block_bytes`` of text; the driver holds one block at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item IS NOT NULL AND text <> ''")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text <> ''").filter(F.lit(nameless) | F.col("item").isNotNull())
     n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     for part in range(n):
         yield [(r.item, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == part).collect()]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW_WORDS, block_bytes: int = 32 << 20) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW_WORDS, block_bytes: int = 32 << 20, nameless: bool = False) -> DataFrame:
     """One row per document row: its key column, n_words, spans (word ranges of the occurring windows, sorted) and items
     (ids of the items that they belong to, sorted as strings)."""
     kind = docs.schema[key].dataType.simpleString()
     columns = key_and_text(docs, key)
     found = docs.select(*columns, F.expr("CAST(array() AS array<array<long>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
-    compiled = (compile_patterns(block, window) for block in item_blocks(benchmark, block_bytes))
+    compiled = (compile_patterns(block, window) for block in item_blocks(benchmark, block_bytes, nameless))
     ahead = next(compiled)
     while ahead is not None:
         patterns, ahead = ahead, next(compiled, None)
@@ -189,5 +190,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns. Rows are told apart by position in a struct, so
     that neither repeated ids nor other columns matter."""
     row = docs.select(F.struct("*").alias("row"))
-    judged = verdicts(search(row, benchmark, key="row"))
+    judged = verdicts(search(row, benchmark, key="row", nameless=True))
     return judged.filter("NOT contaminated").select("row.*")

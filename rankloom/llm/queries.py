@@ -32,7 +32,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.verdicts(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    found = decontaminate.verdicts(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
@@ -62,7 +62,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"), nameless=True)
     return cut.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 

@@ -20,8 +20,8 @@ Components come from alternating large-star and small-star rounds over these edg
 changes. Nodes are fingerprints, so that texts which share a doc_id are not linked by that; a component is then named by
 the smallest doc_id of its rows.
 
-Rows without doc_id get their fingerprint and, as they have no id to be represented by, the component of their
-fingerprint's other rows, or null. Repeated rows are answered each. Only doc_id and text are looked at.
+Rows without doc_id are linked like all others; their component is named by the smallest doc_id in it, or null if no row
+of it has one. Repeated rows are answered each. Only doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -264,7 +264,7 @@ def rooted(prints: DataFrame, group_limit: int = 1 << 14) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", group_limit: int = 1 << 14) -> DataFrame:
     """key, fp, component: one row per document row; key must be a long."""
     marked = stable(fingerprints(docs, key))
-    prints = stable(marked.filter(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("rep")))
+    prints = stable(marked.groupBy("fp").agg(F.min(key).alias("rep")))
     roots = stable(rooted(prints, group_limit))
     least = stable(roots.groupBy("root").agg(F.min("rep").alias("component")))
     classes = roots.join(least, "root").select("fp", "component")
@@ -272,17 +272,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", group_limit: int = 1 <
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component, of its smallest doc_id, and the rows without id; with all columns.
+    """One row of each component, of its smallest doc_id, or of the rows without id if it has no other; with all columns.
 
     The row is chosen by id and text, which are named by 128 bits: an id may have several texts. Of rows alike in both one
     is left, by a limit of one that Spark applies before the shuffle too, so that many copies do not meet in a task."""
-    with_id = docs.filter("doc_id IS NOT NULL")
-    name = [F.xxhash64(F.lit(k), "doc_id", F.col("text").isNull(), "text").alias(f"near_{k}") for k in (0, 1)]
-    key = F.struct("doc_id", *name).alias("key")
-    marked = fingerprints(with_id.select(key, "text"), "key")
+    none = F.col("doc_id").isNull()
+    name = [F.xxhash64(F.lit(k), none, "doc_id", F.col("text").isNull(), "text").alias(f"near_{k}") for k in (0, 1)]
+    key = F.struct(none.alias("none"), "doc_id", *name).alias("key")
+    marked = fingerprints(docs.select(key, "text"), "key")
     prints = stable(marked.groupBy("fp").agg(F.min("key").alias("rep")))
     kept = rooted(prints).groupBy("root").agg(F.min("rep").alias("rep")).select("rep.near_0", "rep.near_1")
     names = ["near_0", "near_1"]
     same = Window.partitionBy(*names).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    once = with_id.select("*", *name).withColumn("near_n", F.row_number().over(same)).filter("near_n <= 1")
-    return once.join(kept, names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))
+    once = docs.select("*", *name).withColumn("near_n", F.row_number().over(same)).filter("near_n <= 1")
+    return once.join(kept, names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,8 @@ task; the scan over sorted rows holds one batch. Names that decide have 128 bits
 A document is read in overlapping parts of about a quarter MB. Documents are shuffled once by doc_id, for 3. to 5.
 
 A null text is empty. Rows without doc_id have no place in the order: they are returned whole and make no other string a
-repeat. Rows that repeat a doc_id and its text are one document and answered each; other texts with the same doc_id follow
+repeat; or, if ``nameless`` says so (the query and the pipeline do), they follow all ids by a hash of their text (but for
+a table that has the largest long as an id). Rows that repeat a doc_id and its text are one document and answered each; other texts with the same doc_id follow
 each other by a hash. An empty table gives no rows. Only doc_id and text are looked at, so other columns cannot clash.
 """
 
@@ -286,7 +287,14 @@ def _cut(threshold: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def last_id(docs: DataFrame) -> int | None:
+    """The largest id, or zero, if rows without one can be placed after it."""
+    r = docs.agg(F.max("doc_id").cast("long").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
+    top = max(0, r["last"] or 0)
+    return top if r["nameless"] and top < (1 << 63) - 1 else None
+
+
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool = False, carry: list[str] | None = None, nameless: bool = False) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans and kept: the SHA-256 of the bytes left, or with ``with_text`` the text left (of a
     character cut in two nothing is left). One row per document row. The columns named in ``carry`` come as a struct
     ``rest``."""
@@ -295,6 +303,11 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [F.struct(*carry).alias("rest")] if carry else []
     texts = docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *rest)
+    top = last_id(docs) if nameless else None
+    if top is not None:
+        room = F.lit((1 << 63) - 1 - top)
+        texts = texts.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(top + 1) + F.pmod(F.xxhash64("text"), room)))
+
     def judged(sent: DataFrame, single: bool = False) -> DataFrame:
         """doc, found (places that repeat), open (places that go on)."""
         rows = sent.repartition("a").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(_scan(not single), "doc long, place long, repeats boolean")
@@ -319,11 +332,12 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
         .select("doc", F.concat("found", F.coalesce("more", none), F.coalesce("most", none)).alias("places"))
     )
     kind = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in placed.schema if f.name != "text")
-    return (
+    cut = (
         placed.join(found, "doc", "left")
         .select(*placed.columns, "places")
         .mapInArrow(_cut(threshold, with_text), f"{kind}n_bytes long, n_removed long, n_spans long, kept string")
     )
+    return cut if top is None else cut.withColumn("doc", F.when(F.col("doc") <= top, F.col("doc")))
 
 
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -331,7 +345,7 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     had = F.col("text").isNull().alias("no_text")
     row = F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(1)]).alias("row")
-    cut = remove_repeats(docs.select("doc_id", "text", had, row), threshold, True, ["no_text", "row"])
+    cut = remove_repeats(docs.select("doc_id", "text", had, row), threshold, True, ["no_text", "row"], nameless=True)
     text = F.when(~F.col("rest.no_text"), F.col("kept"))
     columns = {c: F.col(f"rest.row.`{c}`") for c in others} | {"doc_id": F.col("doc"), "text": text}
     return cut.select(*[columns[c].alias(c) for c in docs.columns])

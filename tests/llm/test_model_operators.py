@@ -69,6 +69,33 @@ def test_pipeline_with_repeated_rows(spark, tmp_path):
     assert sorted(map(tuple, stage["repeats"](spark, once, str(tmp_path)).collect())) == rows
 
 
+def test_rows_without_id(spark, tmp_path):
+    """Near copies, chains, repeats and benchmark items without id are found; ids stay before rows without one."""
+    rnd = random.Random(13)
+    passage, other, item = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    step, prints, chain = 0, [], other.split()
+    while len(prints) < 3:  # each near the one before; the first and the last are further apart
+        text = " ".join(chain)
+        if not prints or 0 < (fingerprint(text) ^ prints[-1][0]).bit_count() <= 3 and (len(prints) < 2 or (fingerprint(text) ^ prints[0][0]).bit_count() > 3):
+            prints.append((fingerprint(text), text))
+        chain, step = prints[-1][1].split(), step + 1
+        chain[rnd.randrange(60)] = f"n{step}"
+    rows = [(1, prints[0][1]), (None, prints[1][1]), (2, prints[2][1]), (None, passage), (None, passage.upper()), (None, passage)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, (r.component for r in found))) == ["1"] * 3 + ["None"] * 3
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(left) == 2 and (1, prints[0][1]) in left and [r.text.lower() for r in left if r.doc_id is None] == [passage]
+    rows = [(-7, "a" + passage), (9, "b"), (None, passage + item), (None, "c " + item)]
+    cut = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(-7, "a" + passage), (9, "b")} < set(map(tuple, cut)) and sorted(r.doc_id is None for r in cut) == [False, False, True, True]
+    assert sum(len(r.text) for r in cut) < len(passage) + len(item) + 10
+    docs = spark.createDataFrame([(1, item), (2, passage)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (4, "x y")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark).collect()] == [2]
+    hits = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.verdicts(decontaminate.search(docs, benchmark, nameless=True)).collect()}
+    assert hits == {1: (60, [], True), 2: (0, [], False)}
+
+
 def test_links_of_dense_groups():
     """Whole ranges linked at once, and pairs, give the components of all pairs."""
     rnd = random.Random(5)
