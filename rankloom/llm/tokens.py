@@ -1,10 +1,11 @@
-"""Token ids of a tokenizer file, with a bounded memory of the words seen."""
+"""Token ids of a tokenizer file."""
 
 from __future__ import annotations
 
 import json
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 # Letters, numbers and white space below U+0100, as Unicode has them (fixed values).
@@ -17,18 +18,16 @@ _JOINED = re.compile(rf"[{_S}] (?:[{_S}]|\Z)")
 class ByteBpe:
     """Ids of a byte-level BPE file of the tokenizers library, as unsigned 32-bit numbers, little-endian.
 
-    The library cuts a text into words before it merges, and a word never goes on over a blank, so what stands between
-    two blanks has the same ids in any text. Only such pieces as were not met lately are encoded; the two generations of
-    remembered ones are bounded. This is so for texts of characters below U+0100, without special tokens and without
-    blanks that belong to other white space; other texts go to the library as they are.
-
-    Where the merges of the file rank as their ids, pieces are encoded by tiktoken, which then gives the same ids faster.
+    Where the merges of the file rank as their ids, plain texts are encoded by tiktoken, which gives the same ids in less
+    time; plain are texts of characters below U+0100, without special tokens and without blanks that belong to other
+    white space. The library cuts a text into words before it merges, and in a plain text no word goes on over a blank,
+    so very long ones are encoded in parts. Other texts go to the library as they are.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, part: int = 1 << 20):
         from tokenizers import Tokenizer
 
-        self.library, self.limit = Tokenizer.from_file(path), remembered
+        self.library, self.part = Tokenizer.from_file(path), part
         self.library.no_padding()
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
@@ -36,8 +35,6 @@ class ByteBpe:
         step = spec["pre_tokenizer"] or {}
         self.cuts = spec["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.fast = self._ranked(spec["model"]) if self.cuts else None
 
     def _ranked(self, model: dict):
@@ -57,34 +54,26 @@ class ByteBpe:
         return bool(self.cuts) and (text.isascii() or max(text) < "Ā") and not any(s in text for s in self.special) and not _JOINED.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut = {i: text.split(" ") for i, text in enumerate(texts) if text and self._plain(text)}
-        rest = [i for i in range(len(texts)) if i not in cut]
-        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        young, old = self.young, self.old
-        missing = set().union(*[words[1:] for words in cut.values()]).difference(young)
-        if len(young) + len(missing) > self.limit:
-            self.old, self.young = young, {}
-            missing = set().union(*[words[1:] for words in cut.values()])
-            young, old = self.young, self.old
-        young.update((w, old[w]) for w in missing if w in old)
-        new = [w for w in missing if w not in young]
-        young.update(zip(new, self._pieces([" " + w for w in new]), strict=True))
-        first = self._pieces([words[0] for words in cut.values()])
-        for start, (i, words) in zip(first, cut.items(), strict=True):
-            out[i] = start + b"".join(map(young.__getitem__, words[1:]))
-        return out
-
-    def _pieces(self, texts: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return self._library(texts)
-        return [array("I", self.fast.encode_ordinary(t)).tobytes() for t in texts]
+        plain = [self.fast is not None and self._plain(text) for text in texts]
+        others = iter(self._library([text for text, fast in zip(texts, plain, strict=True) if not fast]))
+        return [self._ranks(text) if fast else next(others) for text, fast in zip(texts, plain, strict=True)]
+
+    def _ranks(self, text: str) -> bytes:
+        return b"".join(array("I", self.fast.encode_ordinary(part)).tobytes() for part in cut_before_blanks(text, self.part))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def cut_before_blanks(text: str, size: int) -> Iterator[str]:
+    """Parts of at least ``size`` characters, each but the first beginning with a blank."""
+    start = 0
+    while (at := text.find(" ", start + size)) >= 0:
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)

@@ -29,12 +29,20 @@ def mixed_texts(seed, n, alphabet, most):
 ODD = ["", " ", "  ", "a ", "a\n b", "a\n  b", "a \n b", "a\n \nb", "it's 's  'll ''s", "<|endoftext|> x<|startoftext|>", "日本 x", "é \xa0 x\xa0", "\x85 \x85", "İΣΑΣ ½ 12³", "a" * 3000, "thing" * 700 + " the" * 50]
 
 
-def test_word_memory_gives_the_library_ids():
-    library, ours = Tokenizer.from_file(path("byte_bpe_50k.json")), ByteBpe(path("byte_bpe_50k.json"), remembered=50)
+@pytest.mark.parametrize("part", [1, 7, 1 << 20])
+def test_texts_get_the_library_ids(part):
+    library, ours = Tokenizer.from_file(path("byte_bpe_50k.json")), ByteBpe(path("byte_bpe_50k.json"), part)
     texts = ODD + mixed_texts(2, 400, "ab1'.,  \n\té\xa0s ²ª", 40)
     for k in range(0, len(texts), 37):
-        part = texts[k : k + 37]
-        assert ours.encode(part) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        some = texts[k : k + 37]
+        assert ours.encode(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
+def test_a_text_above_a_megabyte_gets_the_library_ids():
+    library, ours = Tokenizer.from_file(path("byte_bpe_50k.json")), ByteBpe(path("byte_bpe_50k.json"))
+    text = " ".join(mixed_texts(7, 40, "abcdeist ", 60000))
+    assert len(text) > 1 << 20
+    assert ours.encode([text, "x"])[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_transducer_counts_as_the_library(monkeypatch):
