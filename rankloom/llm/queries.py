@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from rankloom.llm import chat, counting, decontaminate, languages, licenses, neighbours, packing, simhash, suffixes, toxicity
+from rankloom.llm import centroids, chat, check_sql, counting, decontaminate, languages, lexical, licenses, neighbours, packing, repetition, simhash, suffixes, toxicity
 
 TOXIC = 0.3  # score from which a document counts as toxic
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "base_failed", "kept")
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+ORACLES["op11_quality_rules"] = check_sql.repetition(repetition.REPEAT, round(100 * repetition.COVERED), repetition.LONGEST)
+ORACLES["op12_ranked_search"] = check_sql.LEXICAL
+ORACLES["op13_centroid_clustering"] = check_sql.clusters(centroids.CENTROIDS, centroids.ROUNDS, centroids.SIZE, centroids.SCALE, centroids.SEED)
 ORACLES["op4_chat_formatting"] = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
