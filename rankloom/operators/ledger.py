@@ -81,6 +81,60 @@ def benchmark_return(bars: DataFrame, ticker: str) -> DataFrame:
     return one.select("dt", (safe_div(F.col("open"), F.lag("open").over(by_entity())) - 1).alias("benchmark_return"))
 
 
+# What a month carries on: sums of net and benchmark returns, growth, and its extremes since the month began.
+LOCAL = ("net_sum", "benchmark_sum", "growth", "peak", "trough")
+
+
+def month_ledger(daily: DataFrame, spread_bps: float = 5.0, slippage_bps: float = 5.0) -> DataFrame:
+    """Each day with the figures of ``LOCAL`` from the first day of its month on; one row per strategy and date."""
+    w = Window.partitionBy("strategy_id", F.trunc("dt", "month")).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    net = F.col("portfolio_return") - day_cost(spread_bps, slippage_bps)
+    growth = daily.withColumn("growth", F.product(1 + net).over(w))
+    return growth.withColumns(
+        {"net_sum": F.sum(net).over(w), "benchmark_sum": F.sum(F.coalesce("benchmark_return", F.lit(0.0))).over(w), 
+         "peak": F.max("growth").over(w), "trough": F.min("growth").over(w)}
+    )
+
+
+def month_summaries(rows: DataFrame) -> DataFrame:
+    """The last day of each strategy and month of ``month_ledger``: what the month carries on."""
+    last = F.max_by(F.struct(*LOCAL), "dt").alias("last")
+    ends = rows.groupBy("strategy_id", F.trunc("dt", "month").alias("month")).agg(F.max("dt").alias("dt"), F.count("*").alias("days"), last)
+    return ends.select("strategy_id", "dt", "days", *[f"last.{c}" for c in LOCAL])
+
+
+def compose_ledger(rows: DataFrame, months: DataFrame, digits: int | None = 6, spread_bps: float = 5.0, slippage_bps: float = 5.0) -> DataFrame:
+    """The ledger from rows of ``month_ledger`` and the summaries of all months: sums add up, growth multiplies, and the
+    peak before a month is the largest of the earlier months' peaks, each times the growth before it (of their troughs,
+    where that growth is negative)."""
+    before = Window.partitionBy("strategy_id").orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
+
+    def joined(carried: Column, local: Column, both: Column) -> Column:
+        return F.coalesce(both, local, carried)
+
+    def highest(growth: str) -> Column:
+        grown = F.coalesce(growth, F.lit(1.0))
+        return F.greatest(grown * F.col("peak"), grown * F.col("trough"))
+
+    carried = months.withColumns({"net_before": F.sum("net_sum").over(before), "bm_before": F.sum("benchmark_sum").over(before), "growth_before": F.product("growth").over(before)})
+    carried = carried.withColumn("peak_before", F.max(highest("growth_before")).over(before))
+    carried = carried.select("strategy_id", F.trunc("dt", "month").alias("month"), "net_before", "bm_before", "growth_before", "peak_before")
+    d = rows.withColumn("month", F.trunc("dt", "month")).join(carried, ["strategy_id", "month"])
+    d = d.withColumns({
+        "est_cost": day_cost(spread_bps, slippage_bps), "net_return": F.col("portfolio_return") - day_cost(spread_bps, slippage_bps),
+        "excess_return": F.col("portfolio_return") - F.coalesce("benchmark_return", F.lit(0.0)),
+        "cum_return": joined(F.col("net_before"), F.col("net_sum"), F.col("net_before") + F.col("net_sum")),
+        "cum_benchmark": joined(F.col("bm_before"), F.col("benchmark_sum"), F.col("bm_before") + F.col("benchmark_sum")),
+        "equity": joined(F.col("growth_before"), F.col("growth"), F.col("growth_before") * F.col("growth")),
+        "peak_equity": F.greatest(F.lit(1.0), F.col("peak_before"), highest("growth_before")),
+    })
+    return shown_ledger(d, digits)
+
+
+def day_cost(spread_bps: float, slippage_bps: float) -> Column:
+    return F.col("turnover") * ((spread_bps + slippage_bps) / 10000) * 2
+
+
 def performance_ledger(daily: DataFrame, spread_bps: float = 5.0, slippage_bps: float = 5.0, order: str = "seq", digits: int | None = 6) -> DataFrame:
     """T-f. Cumulative ledger per strategy; the last row of a date replaces earlier ones.
 
@@ -88,14 +142,17 @@ def performance_ledger(daily: DataFrame, spread_bps: float = 5.0, slippage_bps:
     num_holdings and an ingest order. Recomputed by windows over one row per strategy and date.
     """
     d = keep_last(daily, ["strategy_id", "dt"], order)
-    cost = F.col("turnover") * ((spread_bps + slippage_bps) / 10000) * 2
     bm = F.coalesce("benchmark_return", F.lit(0.0))
     w = Window.partitionBy("strategy_id").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("est_cost", cost).withColumn("net_return", F.col("portfolio_return") - F.col("est_cost"))
+    d = d.withColumn("est_cost", day_cost(spread_bps, slippage_bps)).withColumn("net_return", F.col("portfolio_return") - F.col("est_cost"))
     d = d.withColumn("excess_return", F.col("portfolio_return") - bm)
     d = d.withColumn("cum_return", F.sum("net_return").over(w)).withColumn("cum_benchmark", F.sum(bm).over(w))
     d = d.withColumn("equity", F.product(1 + F.col("net_return")).over(w))
-    d = d.withColumn("peak_equity", F.greatest(F.lit(1.0), F.max("equity").over(w)))
+    return shown_ledger(d.withColumn("peak_equity", F.greatest(F.lit(1.0), F.max("equity").over(w))), digits)
+
+
+def shown_ledger(d: DataFrame, digits: int | None) -> DataFrame:
+    """The columns of the ledger, with the drawdown, rounded."""
     d = d.withColumn("drawdown", F.when(F.col("peak_equity") > 0, F.col("equity") / F.col("peak_equity") - 1).otherwise(0.0))
 
     def shown(c: str, n: int = 6) -> Column:

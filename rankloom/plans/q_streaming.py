@@ -121,13 +121,15 @@ _gate_days = """gate_days AS (SELECT s.strategy_id AS key, d.day_no AS seq, d.da
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def t5(spark, sf):
-    """Scores arrive in three periods, all of model 1 after the others; the gate carries its state from batch to batch."""
+    """Dates are split over files and arrive late: odd names of 1999 after 2000, model 1 after the others, in two halves."""
     src = new_path(spark, "scores")
     s = td.scores(spark, sf)
-    period = F.when(F.year("dt") < 1998, 0).when(F.year("dt") < 2000, 1).otherwise(2) + F.when(F.col("model_id") == 1, 3).otherwise(0)
-    for k in range(6):
-        # One file per period: files are read in the order they were written.
-        s.where(period == k).repartition(1).write.mode("append").parquet(src)
+    odd, one = F.col("kdcode") % 2 == 1, F.col("model_id") == 1
+    year = F.year("dt")
+    arrival = F.when(one, F.when(odd, 4).otherwise(3)).when(year >= 2000, 1).when((year == 1999) & odd, 2).otherwise(0)
+    for k in range(5):
+        # One file per arrival: files are read in the order they were written.
+        s.where(arrival == k).repartition(1).write.mode("append").parquet(src)
     stream = jobs.read_files(spark, src, spark.read.parquet(src), files_per_batch=1)
     return jobs.run_gate(stream, td.strategies(spark).where("min_rank_drop > 0"), new_path(spark, "gate"))
 
@@ -144,8 +146,12 @@ _small = ("portfolio_return", "net_return", "benchmark_return", "excess_return",
     ),
 )
 def t6(spark, sf):
+    """The second half of the months arrives first, then stale rows of all months, then the first half."""
     src = new_path(spark, "days")
-    ledger_input(spark, sf).repartition(3, "dt").write.parquet(src)
+    d = ledger_input(spark, sf)
+    late = F.col("dt") >= "1995-01-01"
+    for part in (d.where(late & (F.col("seq") == 1)), d.where("seq = 0"), d.where(~late & (F.col("seq") == 1))):
+        part.repartition(1).write.mode("append").parquet(src)
     stream = jobs.read_files(spark, src, spark.read.parquet(src), files_per_batch=1)
     df = jobs.run_ledger(stream, new_path(spark, "ledger"), digits=None)
     return rounded(rounded(significant(df, "equity", "peak_equity"), *_small), "turnover", digits=4)

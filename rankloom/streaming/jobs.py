@@ -1,7 +1,7 @@
 """Incremental twins of the batch operators on Structured Streaming.
 
 Each gives the rows of its batch twin on the same input; T1 and T4 emit a day once its window has
-closed. Tables kept between batches live in the shared folder.
+closed. T2, T5 and T6 keep their tables between batches in a ``versions.Store``.
 """
 
 from __future__ import annotations
@@ -10,14 +10,17 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
 from rankloom.functions.groups import keep_last
 from rankloom.operators.clean import point_in_time
 from rankloom.operators.drift import bin_counts as count_bins
 from rankloom.operators.drift import bin_of, drift_of_counts, feature_values
-from rankloom.operators.ledger import performance_ledger
+from rankloom.operators.ledger import LOCAL, compose_ledger, month_ledger, month_summaries
 from rankloom.operators.normalize import normalise
 from rankloom.operators.portfolio import day_arrays, fold_gate, rank_scores
+from rankloom.session import stable
+from rankloom.streaming.versions import Store, months_in
 
 
 def read_files(spark: SparkSession, folder: str, like: DataFrame, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -63,32 +66,39 @@ def daily_bars(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
     return out.select("kdcode", F.to_date("w.start").alias("dt"), "open", "high", "low", "close", "volume")
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(s.isDirectory() for s in fs.listStatus(p))
+def upsert(batch: DataFrame, path: str, keys: Sequence[str], order: str) -> bool:
+    """T2. Merge a batch into a store by month of ``dt``: the highest ``order`` wins. Gives whether anything changed.
 
+    Only touched months are read and written anew, and they become visible in one rename, so a run that dies half-way
+    loses nothing and is simply repeated. A batch that changes nothing makes no version.
+    """
+    store = Store(batch.sparkSession, path)
+    changed = merge(store, "panel", batch, keys, order)
+    if changed:
+        store.commit()
+    return changed
 
-def upsert(batch: DataFrame, path: str, keys: Sequence[str], order: str) -> None:
-    """T2. Merge a batch into a table partitioned by month of ``dt``: the highest ``order`` wins.
 
-    Only touched months are read and rewritten, so a repeated batch changes nothing. A month is replaced by one commit;
-    if that fails half-way, the batch is run again by the stream.
-    """
-    spark = batch.sparkSession
-    new = batch.withColumn("month", F.date_format("dt", "yyyy-MM"))
-    if table_exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path)
-        new = new.unionByName(old.join(new.select("month").distinct(), "month", "left_semi"))
-    kept = keep_last(new, list(keys), order)
-    # tasks by month and size: small months are one file, a large one is split
-    kept.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+def merge(store: Store, table: str, batch: DataFrame, keys: Sequence[str], order: str) -> bool:
+    """Stage the touched months of a table with the rows of a batch merged in; whether any row is new."""
+    months = months_in(batch)
+    old = store.read(table, batch.schema, months)
+    kept = keep_last(old.unionByName(batch), list(keys), order)
+    if not months or kept.exceptAll(old).isEmpty():
+        return False
+    store.stage(table, kept, months)
+    return True
+
+
+def panel_of(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """T2. The panel as of now."""
+    return Store(spark, path).read("panel", schema)
 
 
 def append_panel(stream: DataFrame, path: str, keys: Sequence[str] = ("kdcode", "dt"), order: str = "seq") -> DataFrame:
     """T2. Idempotent panel append; returns the table."""
     run_batches(stream, path, lambda df, _: upsert(df, f"{path}/table", keys, order))
-    return stream.sparkSession.read.parquet(f"{path}/table").drop("month").select(*stream.columns)
+    return panel_of(stream.sparkSession, f"{path}/table", stream.schema)
 
 
 def enrich(stream: DataFrame, universe: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -116,13 +126,12 @@ def drift_by_day(counts: DataFrame, reference: DataFrame) -> DataFrame:
 
 # --- rank-drop gate --------------------------------------------------------------------------
 
-def gate_batch(scores: DataFrame, strategies: DataFrame, holdings: DataFrame | None, last_ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """T5. Decisions of the days of one batch and the ranks of its dates.
+def gate_batch(ranked: DataFrame, strategies: DataFrame, holdings: DataFrame | None, last_ranks: DataFrame | None) -> DataFrame:
+    """T5. Decisions (strategy_id, dt, kdcode, status, rank) of the ranked days that follow known holdings and ranks.
 
     The cross-section is ranked by range partitioning. A name reaches the fold only from a day it is
     held or among the K best until it has left, so a strategy's group stays small.
     """
-    ranked = rank_scores(scores)
     w = Window.partitionBy("model_id").orderBy("dt")
     days = ranked.select("model_id", "dt").distinct().withColumn("day_no", F.row_number().over(w))
     today = ranked.join(days, ["model_id", "dt"]).select("model_id", "dt", "kdcode", "rank", "day_no")
@@ -146,70 +155,122 @@ def gate_batch(scores: DataFrame, strategies: DataFrame, holdings: DataFrame | N
     rows = rows.withColumn("_was", F.coalesce(F.lag("_live").over(name), F.lit(False))).where("_live OR _was")
     flags = {"daily": F.lit(False), "restart": F.lit(False), "realises": F.lit(True), "seq": F.struct("day_no", "dt")}
     arrays = day_arrays(rows.where("day_no > 0").withColumns(flags), ["strategy_id"])
-    code = scores.schema["kdcode"].dataType.simpleString()
+    code = ranked.schema["kdcode"].dataType.simpleString()
     start = None
     if holdings is not None:
         kept = holdings.groupBy("strategy_id").agg(F.sort_array(F.collect_set("kdcode")).alias("start"))
         arrays = arrays.join(kept, "strategy_id", "left").withColumn("start", F.coalesce("start", F.expr(f"CAST(array() AS array<{code}>)")))
         start = F.col("start")
-    decisions = (
+    return (
         arrays.select("strategy_id", F.explode(fold_gate(F.col("days"), code, "struct<day_no:int,dt:date>", start)).alias("d"))
         .select("strategy_id", "d.seq.dt", F.explode("d.names").alias("n"))
         .select("strategy_id", "dt", "n.kdcode", "n.status", "n.rank")
     )
-    return decisions, ranked
 
 
-def run_gate(stream: DataFrame, strategies: DataFrame, path: str) -> DataFrame:
-    """T5. Rank-drop gate over a stream of scores (model_id, dt, kdcode, score) in date order.
+def _decision_schema(strategies: DataFrame, scores: StructType) -> StructType:
+    fields = {"strategy_id": strategies.schema["strategy_id"].dataType, "dt": DateType(), "kdcode": scores["kdcode"].dataType, "status": StringType(), "rank": LongType()}
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
 
-    Each model goes on from its own last date: dates up to that are ignored, and models may arrive in any file. State is
-    two tables per batch (holdings, ranks of each model's last date); models and strategies without new dates are carried
-    on, so empty and repeated batches change nothing. A keyed state function would hold a whole cross-section per
-    strategy; these tables are joined instead.
+
+def update_gate(batch: DataFrame, strategies: DataFrame, path: str, batch_id: int) -> bool:
+    """T5. Take in the scores of one batch and decide again from the earliest date of each model that they change.
+
+    Dates may be split over batches, late, or given again: the score of the latest batch counts. A model is decided anew
+    from its earliest date with a score that is new or differs; its holdings and ranks of the date before are the state
+    to start from. Later decisions are replaced, earlier ones are not read. Scores, dates and decisions become visible in
+    one version, so a batch that dies half-way is repeated from the state before it. Rows without model, date, name or
+    score are left out. Gives whether anything changed.
     """
-    spark = stream.sparkSession
+    spark, store = batch.sparkSession, Store(batch.sparkSession, f"{path}/gate")
+    keys = ["model_id", "dt", "kdcode"]
+    new = batch.dropna(subset=[*keys, "score"]).withColumn("batch_no", F.lit(batch_id).cast("long"))
+    new = stable(keep_last(new, keys, "score"))
+    months = months_in(new)
+    old = store.read("scores", new.schema, months)
+    known = old.select(*keys, "score")
+    same = [new[k] == known[k] for k in keys] + [new["score"].eqNullSafe(known["score"])]
+    first = new.join(known, same, "left_anti").groupBy("model_id").agg(F.min("dt").alias("first"))
+    first = stable(first)  # a row for each model
+    start = first.agg(F.min("first")).first()[0]
+    if start is None:
+        return False
+    store.stage("scores", keep_last(old.unionByName(new), keys, "batch_no"), months)
+    dates = new.select("model_id", "dt")
+    store.stage("dates", store.read("dates", dates.schema, months).unionByName(dates).distinct(), months)
+    before = store.read("dates", dates.schema).join(first, "model_id").where(F.col("dt") < F.col("first"))
+    span = first.join(before.groupBy("model_id").agg(F.max("dt").alias("prior")), "model_id", "left")
+    span = stable(span)  # model_id, first, prior
+    lowest = span.agg(F.min(F.coalesce("prior", "first"))).first()[0]
+    scores = store.read("scores", new.schema, since=f"{lowest:%Y-%m}").join(span, "model_id")
+    ranked = rank_scores(scores.where((F.col("dt") >= F.col("first")) | (F.col("dt") == F.col("prior"))).select(*batch.columns))
+    ranked = ranked.join(span, "model_id")
+    shape = _decision_schema(strategies, batch.schema)
+    since = f"{start:%Y-%m}"
+    affected = strategies.join(span, "model_id").select("strategy_id", "first", "prior")
+    at_prior = store.read("decisions", shape, since=f"{lowest:%Y-%m}").join(affected, "strategy_id").where("dt = prior AND status <> 'exit'")
+    last = ranked.where(F.col("dt") == F.col("prior")).select("model_id", "dt", "kdcode", "rank")
+    decisions = gate_batch(ranked.where(F.col("dt") >= F.col("first")), strategies, at_prior.select("strategy_id", "kdcode"), last)
+    gone = affected.select("strategy_id", "first")
+    kept = store.read("decisions", shape, since=since).join(gone, "strategy_id", "left").where("first IS NULL OR dt < first").select(*shape.names)
+    touched = [m for m in store.months.get("dates", {}) if m >= since]
+    store.stage("decisions", kept.unionByName(decisions), touched)
+    store.commit()
+    return True
+
+
+def gate_decisions(spark: SparkSession, path: str, strategies: DataFrame, scores: StructType) -> DataFrame:
+    """T5. strategy_id, dt, kdcode, status, rank as of now."""
+    return Store(spark, f"{path}/gate").read("decisions", _decision_schema(strategies, scores))
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        before = f"{path}/state-{batch_id - 1}"
-        holdings = last = None
-        if batch_id > 0 and table_exists(spark, before):
-            holdings, last = spark.read.parquet(f"{before}/holdings"), spark.read.parquet(f"{before}/ranks")
-            seen = last.groupBy("model_id").agg(F.max("dt").alias("_last"))
-            batch = batch.join(seen, "model_id", "left").where(F.col("_last").isNull() | (F.col("dt") > F.col("_last"))).select(*batch.columns)
-        decisions, ranked = gate_batch(batch, strategies, holdings, last)
-        target = f"{path}/decisions/batch={batch_id}"
-        decisions.write.mode("overwrite").parquet(target)
-        done = spark.read.schema(decisions.schema).parquet(target)
-        newest = done.groupBy("strategy_id").agg(F.max("dt").alias("dt"))
-        held = done.join(newest, ["strategy_id", "dt"]).where("status <> 'exit'").select("strategy_id", "kdcode").distinct()
-        end = ranked.groupBy("model_id").agg(F.max("dt").alias("dt"))
-        ranks = ranked.join(end, ["model_id", "dt"]).select("model_id", "dt", "kdcode", "rank")
-        if holdings is not None:
-            held = held.unionByName(holdings.join(newest, "strategy_id", "left_anti"))
-            ranks = ranks.unionByName(last.join(end, "model_id", "left_anti"))
-        held.write.mode("overwrite").parquet(f"{path}/state-{batch_id}/holdings")
-        ranks.write.mode("overwrite").parquet(f"{path}/state-{batch_id}/ranks")
-
-    run_batches(stream, path, each)
-    return spark.read.parquet(f"{path}/decisions").drop("batch")
 
+def run_gate(stream: DataFrame, strategies: DataFrame, path: str) -> DataFrame:
+    """T5. Rank-drop gate over a stream of scores (model_id, dt, kdcode, score) in any order; see ``update_gate``."""
+    run_batches(stream, path, lambda batch, n: update_gate(batch, strategies, path, n))
+    return gate_decisions(stream.sparkSession, path, strategies, stream.schema)
 
-def run_ledger(stream: DataFrame, path: str, digits: int | None = 6) -> DataFrame:
-    """T6. Ledger kept up to date: rows are upserted, then recomputed from the first affected month."""
-    spark = stream.sparkSession
 
-    def each(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        upsert(batch, f"{path}/daily", ["strategy_id", "dt"], "seq")
-        first = batch.agg(F.date_format(F.min("dt"), "yyyy-MM").alias("m")).scalar()
-        rows = performance_ledger(spark.read.parquet(f"{path}/daily"), digits=digits)
-        changed = rows.withColumn("month", F.date_format("dt", "yyyy-MM")).where(F.col("month") >= first)
-        (
-            changed.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("month").parquet(f"{path}/ledger")
-        )
-        batch.unpersist()
-
-    run_batches(stream, path, each)
-    return spark.read.parquet(f"{path}/ledger").drop("month")
+# --- ledger ----------------------------------------------------------------------------------
+
+def _ledger_schema(daily: StructType) -> tuple[StructType, StructType]:
+    kind = daily["strategy_id"].dataType
+    local = StructType([StructField("strategy_id", kind), StructField("dt", DateType())]
+                       + [StructField(c, daily[c].dataType) for c in ("portfolio_return", "benchmark_return", "turnover", "num_trades", "num_holdings")]
+                       + [StructField(c, DoubleType()) for c in LOCAL])
+    months = StructType([StructField("strategy_id", kind), StructField("dt", DateType()), StructField("days", LongType()), *[StructField(c, DoubleType()) for c in LOCAL]])
+    return local, months
+
+
+def update_ledger(batch: DataFrame, path: str, spread_bps: float = 5.0, slippage_bps: float = 5.0) -> bool:
+    """T6. Upsert the days of a batch (strategy_id, dt, portfolio_return, ..., seq) and bring the ledger up to date.
+
+    Each month is kept as it runs by itself: its rows with the sums, the growth and the peak since its own first day, and
+    one summary row per strategy. Months compose, so a batch reads and writes the months that it touches and no other,
+    however much of the ledger follows them. Rows without strategy or date are left out.
+    """
+    store = Store(batch.sparkSession, f"{path}/ledger")
+    batch = stable(batch.dropna(subset=["strategy_id", "dt"]))
+    if not merge(store, "daily", batch, ["strategy_id", "dt"], "seq"):
+        return False
+    months = months_in(batch)
+    rows = month_ledger(store.read("daily", batch.schema, months), spread_bps, slippage_bps)
+    local, summary = _ledger_schema(batch.schema)
+    store.stage("local", rows.select(*local.names), months)
+    ends = month_summaries(store.read("local", local, months))
+    store.stage("months", ends.select(*summary.names), months)
+    store.commit()
+    return True
+
+
+def ledger_of(spark: SparkSession, path: str, daily: StructType, digits: int | None = 6, spread_bps: float = 5.0, slippage_bps: float = 5.0, since: str | None = None) -> DataFrame:
+    """T6. The ledger as of now, or its months from ``since`` (yyyy-MM) on: the rows of these months, each composed with
+    the summaries of the months before it."""
+    store = Store(spark, f"{path}/ledger")
+    local, summary = _ledger_schema(daily)
+    return compose_ledger(store.read("local", local, since=since), store.read("months", summary), digits, spread_bps, slippage_bps)
+
+
+def run_ledger(stream: DataFrame, path: str, digits: int | None = 6) -> DataFrame:
+    """T6. Ledger kept up to date over a stream of days."""
+    run_batches(stream, path, lambda batch, _: update_ledger(batch, path))
+    return ledger_of(stream.sparkSession, path, stream.schema, digits)
