@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import exact_quantiles, value_totals
+from rankloom.functions.ranking import exact_quantiles
 from rankloom.session import stable
 
 # Limits of the drift status.
@@ -63,16 +63,15 @@ def bin_counts(bin_: Column, weight: Column | None = None) -> Column:
 def feature_reference(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """M1. (feature, bins, counts): decile edges and counts of the training rows.
 
-    Exact quantiles come from value counts and a range-partitioned running total, so a feature's
-    values are never gathered in one task; the counts reuse the same table, so the training rows are
-    read once. The reference is small and is written, as it outlives the training job.
+    Quantiles are exact: a sketch brackets them and only values inside the brackets are shuffled. Counts are added up in
+    the tasks. The reference is small and is written, as it outlives the training job.
     """
-    totals = value_totals(feature_values(train, features), ["feature"], "value")
-    q = exact_quantiles(totals, ["feature"], "value", [i / BINS for i in range(BINS + 1)])
+    values = feature_values(train, features)
+    q = exact_quantiles(values, ["feature"], "value", [i / BINS for i in range(BINS + 1)])
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("q_index", "q"))), lambda s: s["q"])
-    edges = q.groupBy("feature").agg(strict_edges(ordered).alias("bins"))
-    binned = totals.join(edges, "feature").withColumn("bin", bin_of(F.col("value"), F.col("bins")))
-    counts = binned.groupBy("feature").agg(bin_counts(F.col("bin"), F.col("ties")).alias("counts"))
+    edges = stable(q.groupBy("feature").agg(strict_edges(ordered).alias("bins")))  # a row for each feature
+    binned = values.join(edges, "feature").withColumn("bin", bin_of(F.col("value"), F.col("bins")))
+    counts = binned.groupBy("feature").agg(bin_counts(F.col("bin")).alias("counts"))
     return stable(edges.join(counts, "feature"))
 
 

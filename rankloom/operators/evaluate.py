@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import average_ranks, row_numbers
+from rankloom.functions.ranking import pivoted_ranks, row_numbers, value_ranks
 from rankloom.operators.portfolio import best_scores
 from rankloom.session import stable
 
@@ -49,9 +49,11 @@ def daily_ic(pairs: DataFrame, by: Sequence[str] = ("model_id", "dt")) -> DataFr
 
 
 def daily_rank_ic(pairs: DataFrame, by: Sequence[str] = ("model_id", "dt")) -> DataFrame:
-    """V4. Spearman correlation: Pearson on average ranks of the valid pairs."""
+    """V4. Spearman correlation: Pearson on average ranks of the valid pairs, one row per entity and group."""
     valid = pairs.where(F.col("score").isNotNull() & F.col("ret").isNotNull())
-    return _ic(average_ranks(valid, by, ["score", "ret"]), by, "score_rank", "ret_rank")
+    sides = ["score", "ret"]
+    ranks = pivoted_ranks(valid, by, sides, value_ranks(valid, by, sides), ["kdcode"], {"avg_rank": "rank"})
+    return _ic(ranks, by, "score_rank", "ret_rank")
 
 
 def ic_summary(ic: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
@@ -180,7 +182,7 @@ def hit_rate(pairs: DataFrame, threshold: float = 0.0, by: Sequence[str] = ("mod
 def quantile_returns(pairs: DataFrame, quantiles: int = 5) -> DataFrame:
     """V11. (model_id, quantile 1..q, mean_return): bucket = rank // (n // q), the last takes the rest."""
     keys = ["model_id", "dt"]
-    ranked = row_numbers(pairs, keys, [F.col("score").asc(), F.col("kdcode").asc()], "rank")
+    ranked = row_numbers(pairs, keys, ["score", "kdcode"], "rank")
     counts = ranked.groupBy(*keys).agg(F.max("rank").alias("n"))
     size = F.floor(F.col("n") / quantiles)
     bucket = F.when(size > 0, F.least(F.floor((F.col("rank") - 1) / size), F.lit(quantiles - 1))).otherwise(quantiles - 1)

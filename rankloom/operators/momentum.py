@@ -203,10 +203,10 @@ def add_momentum_continuous(df: DataFrame, m: Momentum = Momentum()) -> DataFram
 def add_momentum_buffered(df: DataFrame, m: Momentum = Momentum()) -> DataFrame:
     """F14. Signals are scaled rank percentiles of the date with a dead zone at both ends."""
     names = ("slow", "fast", "weekly")
-    base = stable(_prepared(df, m))
+    base = _prepared(df, m)
     # A date without any non-zero value gives no signal at all.
     some = base.groupBy("dt").agg(*[F.max(F.col(f"{n}_momentum") != 0).alias(f"_any_{n}") for n in names])
-    out = percent_ranks(base, ["dt"], [f"{n}_momentum" for n in names], written=True)
+    out = percent_ranks(base, ["dt"], [f"{n}_momentum" for n in names])
     out = join_dates(out, some)
 
     def signal(n: str) -> Column:

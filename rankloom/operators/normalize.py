@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.groups import attach, one_row
 from rankloom.functions.normal import norm_ppf
-from rankloom.functions.ranking import percent_ranks, running_total
+from rankloom.functions.ranking import long_values, percent_ranks, pivoted_ranks, running_total
 from rankloom.schema import safe_div
 from rankloom.session import stable
 
@@ -70,35 +70,16 @@ def missing_features(table: DataFrame, features: Sequence[str]) -> DataFrame:
     return want.join(table.select("feature"), "feature", "left_anti")
 
 
-def rank_positions(df: DataFrame, features: Sequence[str], train_end: str) -> DataFrame:
-    """N3. Per feature ``<f>_r`` = training values <= value and ``<f>_n`` = training values.
+def rank_positions(df: DataFrame, features: Sequence[str], train_end: str, row: Sequence[str] = ("kdcode", "dt")) -> DataFrame:
+    """N3. Per feature ``<f>_r`` = training values <= value and ``<f>_n`` = training values; ``row`` identifies a row.
 
-    Distinct values are counted first and a range-partitioned running total gives the ranks, so no
-    task ever holds all training values of a feature.
+    Distinct values are counted first and a running total over slices of them gives the ranks, so no task ever holds all
+    training values of a feature. All features are looked up in one join.
     """
-    df = stable(df)  # read for the counts and for the rows
     train = F.col("dt") <= F.lit(train_end).cast("date")
-    values = (
-        df.select(
-            train.alias("train"),
-            F.explode(
-                F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
-            ).alias("v"),
-        )
-        .select("train", "v.feature", "v.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("feature", "value")
-        .agg(F.count_if("train").alias("hits"))
-    )
-    upto = running_total(values, ["feature"], [F.col("value")], F.col("hits"), "r", total="n")
-    ranks = stable(upto.select("feature", "value", "r", "n"))  # one join per feature reads it
-    out = df
-    for c in features:
-        one = ranks.where(F.col("feature") == c).select(
-            F.col("value").alias("_value"), F.col("r").alias(f"{c}_r"), F.col("n").alias(f"{c}_n")
-        )
-        out = out.withColumn("_value", F.col(c).cast("double")).join(one, "_value", "left").drop("_value")
-    return out
+    counts = long_values(df.withColumn("_train", train), features, ["_train"]).groupBy("measure", "value").agg(F.count_if("_train").alias("hits"))
+    ranks = running_total(counts, ["measure"], ["value"], F.col("hits"), "r", total="n").select("measure", "value", "r", "n")
+    return df.join(pivoted_ranks(df, [], features, ranks, row, {"r": "r", "n": "n"}), list(row), "left")
 
 
 def uniform_of_rank(r: Column, n: Column) -> Column:

@@ -17,6 +17,7 @@ from rankloom.functions.ranking import running_total
 from rankloom.schema import safe_div
 
 YEAR = 252
+BLOCK = 1 << 16  # numbers that one row of a sum stands for
 
 
 def _series(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
@@ -107,16 +108,24 @@ def t_of_p(p: Column) -> Column:
     return F.when(p >= 1, 0.0).when(p <= 0, F.lit(float("inf"))).otherwise(norm_ppf(1 - p / 2))
 
 
+def harmonic_number(df: DataFrame) -> Column:
+    """1 + 1/2 + ... + 1/m for the m rows of a table, as one value that is computed once: summed over blocks of numbers,
+    so that no row holds a sequence of all of them."""
+    ends = df.agg(F.count("*").alias("m")).select("m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / BLOCK))).alias("b")).where("m > 0")
+    numbers = ends.select(F.explode(F.sequence(F.col("b") * BLOCK + 1, F.least(F.col("m"), (F.col("b") + 1) * BLOCK))).alias("i"))
+    return numbers.agg(F.sum(1.0 / F.col("i")).alias("c")).scalar()
+
+
 def adjust_p_values(df: DataFrame, p: str, key: str) -> DataFrame:
     """P8. Bonferroni, Holm and BHY adjusted values; rank 1 is the smallest p.
 
-    Ranks come from a range partitioning, so the number of strategies may be large.
+    Ranks are counted by slices of the values, so the number of strategies may be large.
     """
     names = df.columns
-    d = running_total(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(p), F.col(key)], F.lit(1), "p_rank", total="num_tests")
+    d = running_total(df.withColumn("_all", F.lit(0)), ["_all"], [p, key], F.lit(1), "p_rank", total="num_tests")
     d = d.select(*names, F.col("p_rank").cast("int").alias("p_rank"), F.col("num_tests").cast("bigint").alias("num_tests"))
     m, k, x = F.col("num_tests"), F.col("p_rank"), F.col(p)
-    c_m = F.aggregate(F.sequence(F.lit(1).cast("bigint"), m), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    c_m = harmonic_number(df)
     one = F.lit(1.0)
 
     def capped(v: Column) -> Column:

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.frames import by_entity
 from rankloom.functions.groups import calendar, lookup
-from rankloom.functions.ranking import row_numbers, top_k
+from rankloom.functions.ranking import in_order, row_numbers, top_k
 from rankloom.schema import safe_div
 from rankloom.session import stable
 
 STYLES = ("daily", "staggered", "block")
-BEST_FIRST = (F.desc, "score"), (F.asc, "kdcode")
+BEST_FIRST = ("-score", "kdcode")
 
 
 @dataclass(frozen=True)
@@ -57,12 +57,12 @@ def strategies_frame(spark: SparkSession, items: Iterable[Strategy]) -> DataFram
 
 def best_first() -> list[Column]:
     """Score descending, entity ascending on ties (K2, K3)."""
-    return [f(c) for f, c in BEST_FIRST]
+    return in_order(BEST_FIRST)
 
 
 def rank_scores(scores: DataFrame, by: tuple[str, ...] = ("model_id", "dt")) -> DataFrame:
     """K2. 1-based rank of every score of a date, for cross-sections of any size."""
-    return row_numbers(scores, by, best_first(), "rank")
+    return row_numbers(scores, by, BEST_FIRST, "rank")
 
 
 def best_scores(scores: DataFrame, k: int, by: tuple[str, ...] = ("model_id", "dt")) -> DataFrame:

@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 from rankloom.functions import ranking as rk
 
 
+@pytest.fixture(autouse=True, params=[rk.SLICE, 50])
+def slices(request, monkeypatch):
+    """As in production, where test groups are one slice, and with about fifty rows to a slice."""
+    monkeypatch.setattr(rk, "SLICE", request.param)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """20,000 rows; one date holds more than a third and one value half of that date."""
@@ -21,12 +27,25 @@ def skewed(spark):
 
 def test_row_numbers_hot_group(skewed):
     pdf, df = skewed
-    got = rk.row_numbers(df, ["dt"], [F.col("v").desc_nulls_last(), F.col("kdcode").asc()]).toPandas().set_index("kdcode")["rank"]
+    got = rk.row_numbers(df, ["dt"], ["-v", "kdcode"]).toPandas().set_index("kdcode")["rank"]
     want = pdf.sort_values(["dt", "v", "kdcode"], ascending=[True, False, True]).groupby("dt").cumcount() + 1
     want.index = pdf.loc[want.index, "kdcode"]
     assert (got.sort_index() == want.sort_index()).all()
 
 
+def test_ranks_of_several_columns_by_one_join(skewed):
+    """Half of the largest group is one value of one column, and NULLs have no rank."""
+    pdf, df = skewed
+    both = df.withColumn("w", F.when(F.col("kdcode") % 3 > 0, 0.0).otherwise(F.col("kdcode") % 7))
+    got = rk.percent_ranks(both, ["dt"], ["v", "w"], ["kdcode"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter, (((dt#") == 1, plan
+    rows = got.toPandas().set_index("kdcode").sort_index()
+    pdf = pdf.assign(w=np.where(pdf["kdcode"] % 3 > 0, 0.0, pdf["kdcode"] % 7)).set_index("kdcode").sort_index()
+    for c in ("v", "w"):
+        np.testing.assert_allclose(rows[f"{c}_pct"].to_numpy(), pdf.groupby("dt")[c].rank(pct=True).to_numpy(), atol=1e-12)
+
+
 def test_percent_ranks_match_average_ties(skewed):
     pdf, df = skewed
     got = rk.percent_ranks(df, ["dt"], ["v"]).toPandas().set_index("kdcode")["v_pct"].sort_index()
@@ -35,10 +54,11 @@ def test_percent_ranks_match_average_ties(skewed):
     np.testing.assert_allclose(got.to_numpy(), want.sort_index().to_numpy(), atol=1e-12)
 
 
-def test_exact_quantiles(skewed):
+@pytest.mark.parametrize("accuracy", [10_000, 100])
+def test_exact_quantiles(skewed, accuracy):
     pdf, df = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
-    got = rk.exact_quantiles(rk.value_totals(df, ["dt"], "v"), ["dt"], "v", probs).toPandas()
+    got = rk.exact_quantiles(df, ["dt"], "v", probs, accuracy).toPandas()
     for dt, g in got.groupby("dt"):
         want = np.quantile(pdf.loc[pdf["dt"] == dt, "v"].dropna(), probs)
         np.testing.assert_allclose(g.sort_values("q_index")["q"], want, atol=1e-12)
@@ -56,5 +76,5 @@ def test_top_k_both_paths(skewed, k):
 
 def test_running_total_reports_group_total(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 5)], "g string, o int, m int")
-    got = sorted(tuple(r) for r in rk.running_total(df, ["g"], [F.col("o")], F.col("m"), "t", total="n").collect())
+    got = sorted(tuple(r) for r in rk.running_total(df, ["g"], ["o"], F.col("m"), "t", total="n").collect())
     assert got == [("a", 1, 2, 5, 2), ("a", 2, 3, 5, 5), ("b", 1, 5, 5, 5)]
