@@ -192,6 +192,30 @@ def compare_runs(metrics: DataFrame, key: str, a, b, names: list[str]) -> DataFr
     return side.withColumn("delta", F.col("value_a") - F.col("value_b"))
 
 
+def report_rows(ledger: DataFrame, recent: DataFrame, target: DataFrame, order_rows: DataFrame, dt: str) -> DataFrame:
+    """T-k. The daily report as typed rows (strategy_id, dt, section, kdcode, item, value, note).
+
+    Sections: performance of the date and rolling statistics, a row for each figure; holdings, with weight, rank and score
+    of each name and its entry date as note; orders, with the side as item and the reason as note.
+    """
+    day = F.lit(dt).cast("date")
+
+    def figures(df: DataFrame, section: str, code: Column, columns: list[str], note: Column) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in columns])
+        rows = df.select("strategy_id", code.alias("kdcode"), note.alias("note"), F.explode(cells).alias("c"))
+        return rows.select("strategy_id", day.alias("dt"), F.lit(section).alias("section"), "kdcode", "c.item", "c.value", "note")
+
+    none, code = F.lit(None).cast("string"), F.col("kdcode").cast("string")
+    numbers = lambda df: [c for c in df.columns if c not in ("strategy_id", "dt")]
+    side = order_rows.select("strategy_id", day.alias("dt"), F.lit("orders").alias("section"), code.alias("kdcode"), F.col("side").alias("item"), F.lit(None).cast("double").alias("value"), F.col("reason").alias("note"))
+    return (
+        figures(ledger.where(F.col("dt") == day), "performance", none, numbers(ledger), none)
+        .unionByName(figures(recent, "rolling", none, numbers(recent), none))
+        .unionByName(figures(target, "holdings", code, ["weight", "rank", "score"], F.col("entry_date").cast("string")))
+        .unionByName(side)
+    )
+
+
 def daily_report(ledger: DataFrame, recent: DataFrame, target: DataFrame, order_rows: DataFrame, dt: str) -> DataFrame:
     """T-k. One JSON document per strategy: performance of the date, rolling stats, holdings, orders.
 

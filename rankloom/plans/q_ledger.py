@@ -196,8 +196,31 @@ def tj(spark, sf):
     return significant(df, "value_a", "value_b", "delta")
 
 
-@query("tk_daily_report")
+_rolling = ("rolling_vol_ann", "sharpe_proxy", "max_drawdown", "win_rate", "avg_daily_return")
+
+
+def _figures(table: str, section: str, columns: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT strategy_id, DATE '{FILL}' AS dt, '{section}' AS section, NULL::VARCHAR AS kdcode, '{c}' AS item, ({e})::DOUBLE AS value, NULL::VARCHAR AS note FROM {table}" for c, e in columns.items())
+
+
+@query(
+    "tk_daily_report",
+    check_sql(
+        "ledger target orders_t",
+        f"""WITH today AS (SELECT * FROM ledger WHERE dt = DATE '{FILL}'),
+    k AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY dt DESC) AS k FROM ledger),
+    recent AS (SELECT strategy_id, stddev_samp(net_return) FILTER (k <= 20) * sqrt(252) AS rolling_vol_ann, avg(net_return) FILTER (k <= 20) / stddev_samp(net_return) FILTER (k <= 20) * sqrt(252) AS sharpe_proxy,
+      min(drawdown) AS max_drawdown, count(*) AS num_days, avg((net_return > 0)::INTEGER) AS win_rate, avg(net_return) AS avg_daily_return FROM k GROUP BY 1)
+    """
+        + _figures("today", "performance", {c: r(c) for c in _small} | {c: sig(c) for c in ("equity", "peak_equity")} | {"turnover": r("turnover", 4), "num_trades": "num_trades", "num_holdings": "num_holdings"})
+        + " UNION ALL " + _figures("recent", "rolling", {c: r(c) for c in _rolling} | {"num_days": "num_days"})
+        + "".join(f" UNION ALL SELECT strategy_id, DATE '{FILL}', 'holdings', kdcode::VARCHAR, '{c}', {c}::DOUBLE, entry_date::VARCHAR FROM target" for c in ("weight", "rank", "score"))
+        + f" UNION ALL SELECT strategy_id, DATE '{FILL}', 'orders', kdcode::VARCHAR, side, NULL, reason FROM orders_t",
+    ),
+)
 def tk(spark, sf):
-    ledger = stable(le.performance_ledger(ledger_input(spark, sf)))
+    ledger = stable(le.performance_ledger(ledger_input(spark, sf), digits=None))
     d = Decision(spark, sf)
-    return le.daily_report(ledger, pf.recent_stats(ledger), d.target(), d.orders(), FILL)
+    shown = rounded(rounded(significant(ledger, "equity", "peak_equity"), *_small), "turnover", digits=4)
+    target = rounded(rounded(d.target(), "weight"), "score", digits=5)
+    return le.report_rows(shown, rounded(pf.recent_stats(ledger), *_rolling), target, d.orders(), FILL)

@@ -36,7 +36,17 @@ _norm = ", ".join(
 )
 
 
-@query("n2_normalise", check_sql("train_stats", f"SELECT kdcode, dt, {_norm} FROM features_d, train_stats"))
+# The statistics beside each row, from the same reading of the panel.
+share(
+    "scaled_d",
+    "SELECT kdcode, dt, " + ", ".join(FEATS) + ", " + ", ".join(
+        f"avg({c}) FILTER (dt <= DATE '{END}') OVER () AS {c}_mean, coalesce(nullif(stddev_samp({c}) FILTER (dt <= DATE '{END}') OVER (), 0), 1) AS {c}_std" for c in FEATS
+    ) + " FROM features_d",
+    "features_d",
+)
+
+
+@query("n2_normalise", check_sql("scaled_d", f"SELECT kdcode, dt, {_norm} FROM scaled_d"))
 def n2(spark, sf):
     df = td.features_d(spark, sf)
     out = no.normalise(df, FEATS, no.train_stats(df, FEATS, END))
@@ -132,7 +142,7 @@ def k1(spark, sf):
     return rounded(df.select("kdcode", "dt", "f_ret_pct", "f_vol_pct"), "f_ret_pct", "f_vol_pct")
 
 
-@query("n6_saved_stats", check_sql("train_stats", f"SELECT kdcode, dt, {_norm} FROM features_d, train_stats WHERE dt > DATE '{END}'"))
+@query("n6_saved_stats", check_sql("scaled_d", f"SELECT kdcode, dt, {_norm} FROM scaled_d WHERE dt > DATE '{END}'"))
 def n6(spark, sf):
     df = td.features_d(spark, sf)
     saved = no.stats_table(no.train_stats(df, FEATS, END), FEATS)

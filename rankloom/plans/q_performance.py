@@ -328,18 +328,33 @@ def p17_flag(spark, sf):
     return significant(pf.is_consistent(rows, ["strategy_id"]), "arr_cv", "asr_cv")
 
 
+# Of some of the tables every row is compared: date column, name column, columns.
+_S15 = {
+    "daily_returns": ("entry_date", None, ["gross_return", "net_return", "benchmark_return", "turnover", "num_trades", "n_held"]),
+    "daily_holdings": ("entry_date", "kdcode", ["tranche_id", "weight", "stock_return", "contribution"]),
+    "trade_journal": ("date", "kdcode", ["tranche_id", "rank", "score"]),
+}
+_s15_source = {"daily_returns": "bt_daily", "daily_holdings": "holdings", "trade_journal": "journal"}
+
+
 @query(
     "s15_backtest_outputs",
     check_sql(
         "bt_daily holdings journal",
-        """SELECT 'daily_returns' AS table_name, count(*) AS n_rows FROM bt_daily UNION ALL SELECT 'cumulative_performance', count(*) FROM bt_daily
+        """WITH n AS (SELECT 'daily_returns' AS table_name, count(*) AS n_rows FROM bt_daily UNION ALL SELECT 'cumulative_performance', count(*) FROM bt_daily
     UNION ALL SELECT 'monthly_performance', count(DISTINCT (strategy_id, date_trunc('month', entry_date))) FROM bt_daily UNION ALL SELECT 'daily_holdings', count(*) FROM holdings
     UNION ALL SELECT 'return_attribution', count(*) FROM holdings UNION ALL SELECT 'portfolio_composition', count(*) FROM holdings
-    UNION ALL SELECT 'holdings_summary', count(DISTINCT (strategy_id, kdcode)) FROM holdings UNION ALL SELECT 'trade_journal', count(*) FROM journal""",
+    UNION ALL SELECT 'holdings_summary', count(DISTINCT (strategy_id, kdcode)) FROM holdings UNION ALL SELECT 'trade_journal', count(*) FROM journal)
+    SELECT table_name, NULL::INTEGER AS strategy_id, NULL::DATE AS dt, NULL::VARCHAR AS kdcode, 'rows' AS item, n_rows::DOUBLE AS value FROM n"""
+        + "".join(
+            f" UNION ALL SELECT '{t}', strategy_id, {date}, {f'{code}::VARCHAR' if code else 'NULL'}, '{c}', {r(c)} FROM {_s15_source[t]}"
+            for t, (date, code, columns) in _S15.items()
+            for c in columns
+        ),
     ),
 )
 def s15(spark, sf):
-    """All tables of a back-test written and read back: rows per table."""
+    """All tables of a back-test written and read back: rows per table, and the cells of three of them."""
     bt, ranked = ranked_run(spark, sf)
     holdings, trades = po.holdings_records(bt, ranked), po.trade_journal(bt, ranked)
     tables = {
@@ -353,4 +368,8 @@ def s15(spark, sf):
         "trade_journal": trades,
     }
     path = sinks.write_backtest(tables, new_path(spark, "backtest"))
-    return sinks.output_listing(spark, path, list(tables))
+    counts = sinks.output_listing(spark, path, list(tables)).select(
+        "table_name", F.lit(None).cast("int").alias("strategy_id"), F.lit(None).cast("date").alias("dt"), F.lit(None).cast("string").alias("kdcode"),
+        F.lit("rows").alias("item"), F.col("n_rows").cast("double").alias("value"),
+    )
+    return counts.unionByName(rounded(sinks.output_cells(spark, path, _S15), "value"))

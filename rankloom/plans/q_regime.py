@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rankloom.operators import regime as re
 from rankloom.plans import testdata as td
 from rankloom.plans.registry import check_sql, query, r, rounded, share
@@ -100,3 +102,26 @@ _carried = ", ".join(
 )
 def g6(spark, sf):
     return rounded(re.add_regime_features(td.bars_d(spark, sf).select("kdcode", "dt"), td.regime_d(spark, sf), P), *COLS)
+
+
+_G7 = ["regime_global_score", "regime_similarity_q20_mean", "regime_dissimilarity_q80_mean", "regime_similarity_spread",
+       "regime_similar_subsequent_return_3m", "regime_similar_subsequent_return_1m", "regime_subsequent_return_spread_1m"]
+
+
+@query(
+    "g7_configured_columns",
+    check_sql(
+        "regime_monthly",
+        " UNION ALL ".join(f"SELECT dt, CAST({k} AS INTEGER) AS position, '{c}' AS feature, {r(c)} AS value FROM regime_monthly" for k, c in enumerate(_G7))
+        + " UNION ALL " + " UNION ALL ".join(f"SELECT dt, CAST({100 + k} AS INTEGER), '{c}', {r(c)} FROM regime_monthly" for k, c in enumerate(_G7[:4])),
+    ),
+)
+def g7(spark, sf):
+    """Horizons given in another order and twice, and none at all: which columns come, where, and with which values."""
+    out = None
+    for first, p in ((0, re.Regime(horizons=(3, 1, 3))), (100, re.Regime(subsequent=False))):
+        wide = re.regime_features(td.regime_d(spark, sf), p)
+        cells = F.array(*[F.struct(F.lit(first + k).alias("position"), F.lit(c).alias("feature"), F.col(c).alias("value")) for k, c in enumerate(wide.columns[1:])])
+        rows = wide.select("dt", F.explode(cells).alias("c")).select("dt", "c.*")
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out, "value")

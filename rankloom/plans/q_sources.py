@@ -355,7 +355,7 @@ def s14_features(spark, sf):
     return rounded(spark.read.parquet(path).select("kdcode", "dt", *FEATS), *FEATS)
 
 
-_cell = " || ".join(f"'{c}=' || coalesce('''' || {e}, 'NULL') || ';'" for c, e in (("kdcode", "c_custkey::VARCHAR"), ("name", "c_name"), ("dt", "(CASE WHEN c_custkey % 7 > 0 THEN DATE '2024-01-01' + (c_custkey % 30)::INTEGER END)::VARCHAR")))
+_cell = " || ".join(f"'{c}=' || coalesce(length({e}) || '''' || {e}, 'NULL') || ';'" for c, e in (("kdcode", "c_custkey::VARCHAR"), ("name", "c_name"), ("dt", "(CASE WHEN c_custkey % 7 > 0 THEN DATE '2024-01-01' + (c_custkey % 30)::INTEGER END)::VARCHAR")))
 
 
 @query(

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "rankloom", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench. On a cluster use the session you are given."""
-    return (
+    """A local session for tests and the bench. On a cluster use the session you are given, and ``ship`` the package."""
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -28,6 +28,8 @@ def build_session(app: str = "rankloom", cores: int | str = "*", shuffle_partiti
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

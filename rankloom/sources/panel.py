@@ -151,9 +151,10 @@ def load_scores(spark: SparkSession, folder: str) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """S16. Order-free fingerprint of a row set: sums of two parts of the rows' MD5, count and date range.
 
-    A row is hashed as text with its columns marked, so that a NULL, its place and repeated rows all count.
+    A row is hashed as text with its columns marked and the length of each value before it, so that a NULL, its place,
+    repeated rows and values that hold marks themselves all count.
     """
-    cell = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.lit("'"), F.col(f"`{c}`").cast("string")), F.lit("NULL")), F.lit(";"))
+    cell = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit("'"), F.col(f"`{c}`").cast("string")), F.lit("NULL")), F.lit(";"))
     digest = F.md5(F.concat(*[cell(c) for c in df.columns]))
     part = lambda k: F.sum(F.conv(F.substring(digest, k, 12), 16, 10).cast("decimal(20,0)"))
     return df.agg(

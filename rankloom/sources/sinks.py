@@ -34,6 +34,19 @@ def write_backtest(tables: dict[str, DataFrame], path: str) -> str:
     return path
 
 
+def output_cells(spark: SparkSession, path: str, cells: dict[str, tuple[str, str | None, list[str]]]) -> DataFrame:
+    """(table_name, strategy_id, dt, kdcode, item, value): what written tables hold, read back cell by cell. For each table
+    its date column, its name column if it has one, and the columns to give."""
+    out = None
+    for name, (date, code, columns) in cells.items():
+        at = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in columns])
+        who = F.col(code).cast("string") if code else F.lit(None).cast("string")
+        rows = spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table_name"), "strategy_id", F.col(date).alias("dt"), who.alias("kdcode"), F.explode(at).alias("c"))
+        rows = rows.select("table_name", "strategy_id", "dt", "kdcode", "c.item", "c.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def output_listing(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Rows of every written table, read back."""
     counts = [

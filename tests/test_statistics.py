@@ -276,3 +276,32 @@ def test_p_value_and_back(spark):
     for i, t in ((1, 1.0), (2, -1.0), (3, 0.0), (4, 0.0)):
         assert got[i].t_stat == pytest.approx(t) and got[i].p_value == pytest.approx(2 * (1 - nd.cdf(abs(t))))
         assert got[i].back == pytest.approx(abs(t), abs=1e-9)
+
+
+def test_fingerprint_keeps_values_apart(spark):
+    from rankloom.sources.panel import fingerprint
+
+    def of(*rows):
+        return fingerprint(spark.createDataFrame(rows, "a string, b string, dt date")).first().row_hash
+
+    assert of(("1';b=1'2", "3", D[0])) != of(("1", "2';b=1'3", D[0])) and of(("1';b='2", "3", D[0])) != of(("1", "2';b='3", D[0]))
+    assert of((None, "x", D[0])) != of(("NULL", "x", D[0])) and of(("", None, D[0])) != of((None, "", D[0]))
+
+
+def test_report_rows(spark):
+    ledger = spark.createDataFrame([(1, D[0], 0.1, 3), (1, D[1], -0.2, 4), (2, D[0], 0.3, 5)], "strategy_id int, dt date, net_return double, num_trades bigint")
+    recent = spark.createDataFrame([(1, 0.5)], "strategy_id int, win_rate double")
+    target = spark.createDataFrame([(1, 7, D[1], 0.5, 2, 1.5, D[0])], "strategy_id int, kdcode bigint, dt date, weight double, rank bigint, score double, entry_date date")
+    orders = spark.createDataFrame([(1, 7, D[1], "BUY", "new_entry")], "strategy_id int, kdcode bigint, dt date, side string, reason string")
+    got = {(r.section, r.kdcode, r["item"]): (r.value, r.note) for r in le.report_rows(ledger, recent, target, orders, str(D[1])).collect()}
+    assert got == {
+        ("performance", None, "net_return"): (-0.2, None), ("performance", None, "num_trades"): (4.0, None), ("rolling", None, "win_rate"): (0.5, None),
+        ("holdings", "7", "weight"): (0.5, str(D[0])), ("holdings", "7", "rank"): (2.0, str(D[0])), ("holdings", "7", "score"): (1.5, str(D[0])), ("orders", "7", "BUY"): (None, "new_entry"),
+    }
+
+
+def test_harmonic_number_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pf, "BLOCK", 4)
+    for m in (0, 1, 4, 9):
+        got = spark.range(1).select(pf.harmonic_number(spark.range(m)).alias("c")).first().c
+        assert got == (None if m == 0 else pytest.approx(sum(1 / i for i in range(1, m + 1))))
