@@ -1,10 +1,11 @@
-"""Removal of repeated passages by distributed prefix doubling.
+"""Removal of repeated passages by names of anchored strings, in place of prefix doubling over all positions.
 
 A byte goes if a string of ``threshold`` (100) bytes covers it that also starts earlier: in a smaller doc_id, or earlier
 in the same document. Strings are judged on the input and may overlap; they never cross documents.
 
-Prefix doubling names the strings at all places by rank pairs: the name for 2 k bytes is made of the name for k bytes at a
-place and at the place k further on, and places whose name is unique are dropped from the next round. Here:
+Prefix doubling sorts rank pairs of all positions at growing offsets: the name for 2 k bytes is made of the name for k bytes
+at a place and at the place k further on, and places whose name is unique are dropped from the next round. Here names grow
+in the tasks, and Spark sorts only anchors (see the README for why):
 
 1. Within a task names grow from 1 to 64 bytes at every place; a name is a 64-bit mix of its pair. A string of 100 bytes
    contains 69 places of 32-byte names, and the least of these is its anchor. Equal strings have equal anchors, and
@@ -20,18 +21,17 @@ place and at the place k further on, and places whose name is unique are dropped
 
 Copies met in one task are marked before the shuffle, so a passage that a third of all rows share sends one row per
 task; the scan over sorted rows holds one batch. Names that decide have 128 bits, and are taken as the strings themselves.
-A document is read in overlapping parts of about a quarter MB. Documents are shuffled once by doc_id, for 3. to 5.
+A document is read in overlapping parts of about a quarter MB. Documents are shuffled once by doc_id and text, for 3. to 5.
 
 A null text is empty. Rows without doc_id have no place in the order: they are returned whole and make no other string a
 repeat; or, if ``nameless`` says so (the query and the pipeline do), they follow all ids by a hash of their text (but for
-a table that has the largest long as an id). Rows that repeat a doc_id and its text are one document and answered each; other texts with the same doc_id follow
-each other by a hash. An empty table gives no rows. Only doc_id and text are looked at, so other columns cannot clash.
+a table that has the largest long as an id). Rows that repeat a doc_id and its text are one document and answered each; other texts with the same doc_id are
+documents of their own and follow each other by 128 bits of hashes, up to 2 ** 23 of them for one id (more are an error). An empty table gives no rows. Only doc_id and text are looked at, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.ranking import row_numbers
 from rankloom.session import stable
 
 THRESHOLD = 100
@@ -46,15 +47,17 @@ GRAM, LONG = 32, 64
 PART = 1 << 18
 HELD = 1 << 18  # anchors or strings held for marking copies before they are sent
 
-# A place is packed in a long: 15 bits of the text's hash, a bit for anchors known to go on, 40 bits of the start, 7 of the
-# number of strings from there, which is not zero. The sign says that these strings are known to repeat.
-_START, _HASH = 7, 48
-_SEVERAL = np.int64(1 << 47)
+# A place is packed in a long: 23 bits for the number of the text among those of its doc_id, a bit for anchors known to go
+# on, 31 bits of the start (a text has at most 2 GB), 7 of the number of strings from there, which is not zero. The sign
+# says that these strings are known to repeat.
+_START, _VARIANT = 7, 40
+_SEVERAL = np.int64(1 << 39)
 _COVERED = np.int64(-1 << 63)
+_VARIANTS = 1 << 23
 
 
 def _start_of(place: np.ndarray) -> np.ndarray:
-    return (place >> _START) & ((1 << 40) - 1)
+    return (place >> _START) & ((1 << 31) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,10 +118,6 @@ def _runs(text: bytes, threshold: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield at, first, count, short[place], _whole(long, first, count, place - first, threshold)
 
 
-def _text_hash(text: bytes) -> int:
-    return zlib.crc32(text) & 0x7FFF
-
-
 class _Sender:
     """Collects rows (name, name, doc, place), marks copies within what it holds, and gives batches."""
 
@@ -161,9 +160,9 @@ def _send_anchors(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for doc, text, variant in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or b""
-                top = np.int64(_text_hash(text)) << _HASH
+                top = np.int64(variant) << _VARIANT
                 for at, first, count, name, whole in _runs(text, threshold):
                     sender.add(name, whole, doc, top | ((at + first) << _START) | count)
                     if sender.held >= HELD:
@@ -176,7 +175,7 @@ def _send_anchors(threshold: int):
 
 def _open_strings(text: bytes, places: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By part: where it starts, its bytes, and the starts in it of the strings at the places."""
-    places = np.sort(places[places >> _HASH == _text_hash(text)])
+    places = np.sort(places)
     start, count = _start_of(places), places & 127
     for at, data in _parts(text, threshold):
         here = slice(*np.searchsorted(start, [at, at + PART]))
@@ -191,9 +190,10 @@ def _send_open(threshold: int, single: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender()
         for batch in batches:
-            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(batch.num_columns - 1), strict=True):
+            columns = (batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3))
+            for doc, text, variant, places in zip(*columns, strict=True):
                 text = text.as_py() or b""
-                top = np.int64(_text_hash(text)) << _HASH
+                top = np.int64(variant) << _VARIANT
                 for at, data, string in _open_strings(text, places.values.to_numpy(), threshold):
                     if single:
                         (_, one), (_, two) = _names(data, 0), _names(data, 1000)
@@ -256,9 +256,8 @@ def _scan(keep_first: bool):
     return run
 
 
-def spans(places: np.ndarray, text: bytes, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def spans(places: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that the strings at the places cover."""
-    places = places[places >> _HASH == _text_hash(text)]
     start = _start_of(places)
     order = np.argsort(start, kind="stable")
     start, end = start[order], (start + (places & 127) - 1 + threshold)[order]
@@ -275,7 +274,7 @@ def _cut(threshold: int, with_text: bool):
             rows: list[tuple] = []
             for text, places in zip(batch.column(1).cast(pa.binary()), batch.column(batch.num_columns - 1), strict=True):
                 text = text.as_py() or b""
-                start, end = spans(places.values.to_numpy() if places.is_valid else np.zeros(0, np.int64), text, threshold)
+                start, end = spans(places.values.to_numpy() if places.is_valid else np.zeros(0, np.int64), threshold)
                 kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True))
                 rows.append((len(text), len(text) - len(kept), len(start), kept.decode(errors="ignore") if with_text else hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -294,6 +293,23 @@ def last_id(docs: DataFrame) -> int | None:
     return top if r["nameless"] and top < (1 << 63) - 1 else None
 
 
+def numbered_texts(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc, text, ...) with ``variant``: 0, or where an id has different texts their number in the order of two
+    hashes, 128 bits together. Only ids and hashes are shuffled, and only ids with different texts are numbered."""
+    names = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")]
+    hashed = texts.filter("doc IS NOT NULL").select("doc", *names)
+    ends = hashed.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("least"), F.max(F.struct("h1", "h2")).alias("most"))
+    several = stable(ends.filter("least <> most").select("doc"))
+    if several.isEmpty():
+        return texts.withColumn("variant", F.lit(0))
+    distinct = hashed.join(several, "doc", "left_semi").distinct()
+    number = stable(row_numbers(distinct, ["doc"], ["h1", "h2"], "variant").withColumn("variant", (F.col("variant") - 1).cast("int")))
+    if number.agg(F.max("variant")).first()[0] >= _VARIANTS:
+        raise ValueError(f"an id has more than {_VARIANTS} different texts")
+    found = texts.withColumns({"h1": names[0], "h2": names[1]}).join(number, ["doc", "h1", "h2"], "left")
+    return found.select(*texts.columns, F.coalesce("variant", F.lit(0)).alias("variant"))
+
+
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool = False, carry: list[str] | None = None, nameless: bool = False) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans and kept: the SHA-256 of the bytes left, or with ``with_text`` the text left (of a
     character cut in two nothing is left). One row per document row. The columns named in ``carry`` come as a struct
@@ -308,33 +324,38 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
         room = F.lit((1 << 63) - 1 - top)
         texts = texts.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(top + 1) + F.pmod(F.xxhash64("text"), room)))
 
+    texts = numbered_texts(texts)
+    own = ["doc", "variant"]
+
     def judged(sent: DataFrame, single: bool = False) -> DataFrame:
-        """doc, found (places that repeat), open (places that go on)."""
+        """doc, variant, found (places that repeat), open (places that go on)."""
         rows = sent.repartition("a").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(_scan(not single), "doc long, place long, repeats boolean")
-        return rows.groupBy("doc").agg(F.collect_list(F.when(F.col("repeats"), F.col("place"))).alias("found"), F.collect_list(F.when(~F.col("repeats"), F.col("place"))).alias("open"))
+        variant = F.shiftright("place", _VARIANT).cast("int").alias("variant")
+        return rows.groupBy("doc", variant).agg(F.collect_list(F.when(F.col("repeats"), F.col("place"))).alias("found"), F.collect_list(F.when(~F.col("repeats"), F.col("place"))).alias("open"))
 
     names = "a long, b long, doc long, place long"
-    anchors = stable(judged(texts.select("doc", "text").filter("doc IS NOT NULL").mapInArrow(_send_anchors(threshold), names)))
+    anchors = stable(judged(texts.select("doc", "text", "variant").filter("doc IS NOT NULL").mapInArrow(_send_anchors(threshold), names)))
     # all uses read the same columns, so that Spark shuffles the texts once
-    placed = texts.repartition(parts, "doc")
+    placed = texts.repartition(parts, *own)
 
     def send_open(found: DataFrame, single: bool) -> DataFrame:
-        going_on = placed.join(found.filter("size(open) > 0").select("doc", "open"), "doc").select(*placed.columns, "open")
-        return judged(going_on.mapInArrow(_send_open(threshold, single), names), single)
+        going_on = placed.join(found.filter("size(open) > 0").select(*own, "open"), own).select(*placed.columns, "open")
+        return judged(going_on.select("doc", "text", "variant", "open").mapInArrow(_send_open(threshold, single), names), single)
 
     runs = stable(send_open(anchors, False))
     strings = send_open(runs, True)
     none = F.expr("CAST(array() AS array<long>)")
     found = (
-        anchors.select("doc", "found")
-        .join(runs.select("doc", F.col("found").alias("more")), "doc", "left")
-        .join(strings.select("doc", F.col("found").alias("most")), "doc", "left")
-        .select("doc", F.concat("found", F.coalesce("more", none), F.coalesce("most", none)).alias("places"))
+        anchors.select(*own, "found")
+        .join(runs.select(*own, F.col("found").alias("more")), own, "left")
+        .join(strings.select(*own, F.col("found").alias("most")), own, "left")
+        .select(*own, F.concat("found", F.coalesce("more", none), F.coalesce("most", none)).alias("places"))
     )
-    kind = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in placed.schema if f.name != "text")
+    placed_columns = [c for c in placed.columns if c != "variant"]
+    kind = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in placed.schema if f.name not in ("text", "variant"))
     cut = (
-        placed.join(found, "doc", "left")
-        .select(*placed.columns, "places")
+        placed.join(found, own, "left")
+        .select(*placed_columns, "places")
         .mapInArrow(_cut(threshold, with_text), f"{kind}n_bytes long, n_removed long, n_spans long, kept string")
     )
     return cut if top is None else cut.withColumn("doc", F.when(F.col("doc") <= top, F.col("doc")))

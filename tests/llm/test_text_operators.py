@@ -168,7 +168,7 @@ def test_licences(docs_of):
         (8, "rights reserved all"), (1, "CC BY, cc-by; General Public License. all rights reserved all RIGHTS reserved"), (None, "cc by"),
     ]
     got = {(r.doc, r.n_words): r for r in licenses.scan(docs_of(texts)).collect()}
-    assert len(got) == 9
+    assert len(got) == 9 and licenses.scan(docs_of(texts)).filter("doc = 1").count() == 2  # rows that repeat are answered each
     one = got[1, 13]
     assert (one.n_base, one.first_word, one.last_word, one.base_labels) == (5, 0, 10, "cc-by,gpl,reserved")
     assert (got[2, 0].n_base, got[2, 0].first_word, got[2, 0].labels, got[2, 0].score) == (0, None, "", 0.0)
@@ -180,6 +180,24 @@ def test_licences(docs_of):
     assert licenses.scan(docs_of([])).count() == 0
 
 
+def test_licences_by_brute_force(docs_of):
+    """Base places of random word sequences, and a text above a megabyte in time that grows with its words."""
+    rnd = random.Random(14)
+    words = ["cc", "by", "CC", "general", "public", "license", "all", "rights", "reserved", "x", "é"]
+    texts = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 30, 200])))) for i in range(60)]
+    texts += [(60, " ".join(rnd.choice(words) for _ in range(250_000))), (5, texts[5][1]), (None, texts[6][1])]
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+
+    def base(text):
+        w = WORD.findall(fold(text))
+        found = [(k, name) for p, name in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.encode().split()]
+        places = [k for k, _ in found]
+        return (len(w), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({name for _, name in found})))
+
+    got = [(r.doc, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(docs_of(texts)).collect()]
+    assert sorted(got, key=str) == sorted(((i, *base(t)) for i, t in texts), key=str)
+
+
 def without_repeats_by_brute_force(texts, length=100):
     seen, out = set(), {}
     for i, t in sorted((i, (t or "").encode()) for i, t in texts):
@@ -217,6 +235,19 @@ def test_suffixes(docs_of, monkeypatch):
     assert suffixes.remove_repeats(docs_of([])).count() == 0
 
 
+def test_texts_under_one_id_are_apart(docs_of):
+    """Different texts of one id, many of which end in the same bits, lose only what they repeat themselves."""
+    rnd = random.Random(10)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, own = make(300), [make(500) for _ in range(400)]
+    texts = [(1, passage), *[(2, t) for t in own], (2, make(50) + passage + make(50)), (2, own[0]), (3, own[7][100:350])]
+    got = [(r.doc, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs_of(texts).repartition(7)).collect()]
+    want = [(1, 300, 0, 0), *[(2, 500, 0, 0)] * 401, (2, 400, 300, 1), (3, 250, 250, 1)]
+    assert sorted(got) == sorted(want)
+    small = {variant for variant in suffixes.numbered_texts(docs_of(texts).selectExpr("doc_id AS doc", "text")).filter("doc = 2").toPandas()["variant"]}
+    assert small == set(range(401))
+
+
 def test_suffix_parts_and_batches(monkeypatch):
     """Cutting documents into small parts and sending small batches changes nothing."""
     rnd = random.Random(9)
