@@ -13,9 +13,9 @@ every hit, and so every span, is verified.
 Spark broadcasts the templates' grams if they are ``BROADCAST_GRAMS`` at most, and joins a longer list by a shuffle.
 
 Every document also sends one mark that matches a template of its own, so one pass over the texts gives a row for each
-document and its number of words. A null or empty text has no words. Rows that repeat a doc_id with the same text are one
-document and give one row; other texts of a doc_id, or a null doc_id, give a row each by their hash. An empty table gives
-no rows. Columns other than doc_id and text are not looked at.
+document and its number of words. A null or empty text has no words. Rows that repeat a doc_id with the same text are
+judged once and answered each; other texts of a doc_id, or a null doc_id, give a row each by their hash. An empty table
+gives no rows. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -64,20 +64,25 @@ def templates(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping[
 def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """doc, digest, n_words, place, template, at, grams, phrase: verified hits, and for each row the mark, without template."""
     cut = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("digest"), words(F.coalesce("text", F.lit(""))).alias("words"))
-    pairs = F.zip_with(F.col("words"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    mark = F.array(F.xxhash64(F.lit(None).cast("string"), F.lit(None).cast("string")))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(F.xxhash64(a, b).alias("gram"), a.alias("word"), b.alias("next"))
+
+    pairs = F.zip_with(F.col("words"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), pair)
+    none = F.lit(None).cast("string")
     # the last of the pairs has no second word: the mark's place at the end
-    marked = F.concat(F.slice(pairs, F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), mark)
-    listed = cut.select("doc", "digest", F.size("words").cast("long").alias("n_words"), "words", F.posexplode(marked).alias("place", "gram"))
-    word = lambda k: F.get("words", F.col("place") + k)
-    found = listed.join(grams, "gram").filter(F.col("template").isNull() | ((word(0) == F.col("first")) & (word(1) == F.col("second"))))
+    marked = F.concat(F.slice(pairs, F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.array(pair(none, none)))
+    listed = cut.select("doc", "digest", F.size("words").cast("long").alias("n_words"), F.posexplode(marked).alias("place", "pair"))
+    listed = listed.select("doc", "digest", "n_words", "place", "pair.*")
+    found = listed.join(grams, "gram").filter(F.col("template").isNull() | ((F.col("word") == F.col("first")) & (F.col("next") == F.col("second"))))
     return found.select("doc", "digest", "n_words", F.col("place").cast("long").alias("place"), "template", "at", "grams", "phrase")
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping[str, str] = NOTICES) -> DataFrame:
     """doc, n_words, n_base, first_word, last_word, base_labels, labels, score; labels are distinct, sorted, comma-joined."""
-    found = hits(docs, templates(docs.sparkSession, phrases, notices)).distinct()
-    row = ["doc", "digest", "n_words"]
+    found = hits(docs, templates(docs.sparkSession, phrases, notices))
+    found = found.groupBy(*found.columns).agg(F.count("*").alias("copies"))  # rows that repeat have the same hits, each as often
+    row = ["doc", "digest", "n_words", "copies"]
     # diagonals: the places of a phrase, the votes for a notice
     diagonal = found.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*row, "template", "phrase", "grams", "diagonal")
     voted = diagonal.agg(F.count("at").alias("votes"), F.collect_set("at").alias("seen"), F.min("place").alias("start"), F.max("place").alias("end"))
@@ -92,8 +97,9 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping
     base = F.col("phrase") & (F.col("held") == F.col("grams"))
     label = base | (~F.col("phrase") & (F.col("share") >= LEAST))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return share.groupBy(*row).agg(
+    judged = share.groupBy(*row).agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
         joined(F.when(base, F.col("template"))).alias("base_labels"), joined(F.when(label, F.col("template"))).alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
+    return judged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
