@@ -18,7 +18,6 @@ looked at, and lang only for training.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,7 +31,6 @@ from rankloom.llm.text import slices
 SAMPLE, PER_DOC = 400, 12
 SEGMENT, STATE = 64, 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Network(NamedTuple):
@@ -200,7 +198,7 @@ def _predict(net: Network | None):
             if net:
                 p = probabilities(texts, net)
                 for i, text in enumerate(texts):
-                    if _LETTER.search(text.decode()):
+                    if any(map(str.isalpha, text.decode())):
                         best = int(p[i].argmax())
                         chosen[i], score[i] = net.names[best], min(1.0, float(p[i, best]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen), pa.array(score)], names=["key", "lang_pred", "score"])
