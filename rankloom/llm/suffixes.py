@@ -294,14 +294,14 @@ def last_id(docs: DataFrame) -> int | None:
 
 
 def numbered_texts(texts: DataFrame) -> DataFrame:
-    """``texts`` (doc, text, ...) with ``variant``: 0, or where an id has different texts their number in the order of two
-    hashes, 128 bits together. Only ids and hashes are shuffled, and only ids with different texts are numbered."""
+    """``texts`` (doc, text, ...), with ``variant`` if some id has different texts: their number in the order of two hashes,
+    128 bits together. Only ids and hashes are shuffled, and only ids with different texts are numbered."""
     names = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")]
     hashed = texts.filter("doc IS NOT NULL").select("doc", *names)
     ends = hashed.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("least"), F.max(F.struct("h1", "h2")).alias("most"))
     several = stable(ends.filter("least <> most").select("doc"))
     if several.isEmpty():
-        return texts.withColumn("variant", F.lit(0))
+        return texts
     distinct = hashed.join(several, "doc", "left_semi").distinct()
     number = stable(row_numbers(distinct, ["doc"], ["h1", "h2"], "variant").withColumn("variant", (F.col("variant") - 1).cast("int")))
     if number.agg(F.max("variant")).first()[0] >= _VARIANTS:
@@ -325,22 +325,24 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
         texts = texts.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(top + 1) + F.pmod(F.xxhash64("text"), room)))
 
     texts = numbered_texts(texts)
-    own = ["doc", "variant"]
+    # without the column all texts are number 0, and the key of a document is its id
+    own = ["doc", "variant"] if "variant" in texts.columns else ["doc"]
+    number = F.col("variant") if len(own) > 1 else F.lit(0).alias("variant")
 
     def judged(sent: DataFrame, single: bool = False) -> DataFrame:
         """doc, variant, found (places that repeat), open (places that go on)."""
         rows = sent.repartition("a").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(_scan(not single), "doc long, place long, repeats boolean")
         variant = F.shiftright("place", _VARIANT).cast("int").alias("variant")
-        return rows.groupBy("doc", variant).agg(F.collect_list(F.when(F.col("repeats"), F.col("place"))).alias("found"), F.collect_list(F.when(~F.col("repeats"), F.col("place"))).alias("open"))
+        return rows.groupBy("doc", *[variant] * (len(own) - 1)).agg(F.collect_list(F.when(F.col("repeats"), F.col("place"))).alias("found"), F.collect_list(F.when(~F.col("repeats"), F.col("place"))).alias("open"))
 
     names = "a long, b long, doc long, place long"
-    anchors = stable(judged(texts.select("doc", "text", "variant").filter("doc IS NOT NULL").mapInArrow(_send_anchors(threshold), names)))
+    anchors = stable(judged(texts.select("doc", "text", number).filter("doc IS NOT NULL").mapInArrow(_send_anchors(threshold), names)))
     # all uses read the same columns, so that Spark shuffles the texts once
     placed = texts.repartition(parts, *own)
 
     def send_open(found: DataFrame, single: bool) -> DataFrame:
         going_on = placed.join(found.filter("size(open) > 0").select(*own, "open"), own).select(*placed.columns, "open")
-        return judged(going_on.select("doc", "text", "variant", "open").mapInArrow(_send_open(threshold, single), names), single)
+        return judged(going_on.select("doc", "text", number, "open").mapInArrow(_send_open(threshold, single), names), single)
 
     runs = stable(send_open(anchors, False))
     strings = send_open(runs, True)
