@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from rankloom.session import stable
 
 SLICE = 1 << 17  # rows of a slice on average
-SALTS = 256
+# Spark limits rows before the shuffle for rank filters up to this many rows
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def in_order(order: Sequence[str]) -> list[Column]:
@@ -146,16 +148,21 @@ def percent_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str], row:
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
-    """The first ``k`` rows of every group with their position, after a salted first round."""
-    salted = Window.partitionBy(*by, "_salt").orderBy(*order)
-    first = (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        .withColumn("_r", F.row_number().over(salted))
-        .where(F.col("_r") <= k)
-        .drop("_r", "_salt")
-    )
+    """The first ``k`` rows of every group with their position.
+
+    The rank filter is pushed below the shuffle by Spark (WindowGroupLimit); beyond its threshold a
+    salted first round does the same job.
+    """
+    if k > GROUP_LIMIT:
+        salted = Window.partitionBy(*by, "_salt").orderBy(*order)
+        df = (
+            df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(256)))
+            .withColumn("_r", F.row_number().over(salted))
+            .where(F.col("_r") <= k)
+            .drop("_r", "_salt")
+        )
     w = Window.partitionBy(*by).orderBy(*order)
-    return first.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
 def quantile_brackets(values: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int) -> DataFrame:
