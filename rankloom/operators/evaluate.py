@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranking import pivoted_ranks, row_numbers, value_ranks
+from rankloom.functions.ranking import pivoted_ranks, running_total, value_ranks
 from rankloom.operators.portfolio import best_scores
 from rankloom.session import stable
 
@@ -179,19 +179,18 @@ def hit_rate(pairs: DataFrame, threshold: float = 0.0, by: Sequence[str] = ("mod
     return pairs.groupBy(*by).agg(F.avg(hit.cast("double")).alias("hit_rate"))
 
 
-def quantile_returns(pairs: DataFrame, quantiles: int = 5) -> DataFrame:
-    """V11. (model_id, quantile 1..q, mean_return): bucket = rank // (n // q), the last takes the rest."""
+def quantile_days(pairs: DataFrame, quantiles: int = 5) -> DataFrame:
+    """V11. (model_id, dt, quantile 1..q, r): bucket = rank // (n // q), the last takes the rest; mean return of each."""
     keys = ["model_id", "dt"]
-    ranked = row_numbers(pairs, keys, ["score", "kdcode"], "rank")
-    counts = ranked.groupBy(*keys).agg(F.max("rank").alias("n"))
+    ranked = running_total(pairs, keys, ["score", "kdcode"], F.lit(1).cast("bigint"), "rank", total="n")
     size = F.floor(F.col("n") / quantiles)
     bucket = F.when(size > 0, F.least(F.floor((F.col("rank") - 1) / size), F.lit(quantiles - 1))).otherwise(quantiles - 1)
-    per_day = (
-        ranked.join(counts, keys)
-        .groupBy(*keys, (bucket + 1).cast("int").alias("quantile"))
-        .agg(F.avg("ret").alias("r"))
-    )
-    return per_day.groupBy("model_id", "quantile").agg(F.avg("r").alias("mean_return"))
+    return ranked.groupBy(*keys, (bucket + 1).cast("int").alias("quantile")).agg(F.avg("ret").alias("r"))
+
+
+def quantile_returns(pairs: DataFrame, quantiles: int = 5) -> DataFrame:
+    """V11. (model_id, quantile, mean_return): mean over the dates."""
+    return quantile_days(pairs, quantiles).groupBy("model_id", "quantile").agg(F.avg("r").alias("mean_return"))
 
 
 def long_short(quantile: DataFrame, quantiles: int = 5) -> DataFrame:
@@ -201,40 +200,51 @@ def long_short(quantile: DataFrame, quantiles: int = 5) -> DataFrame:
     return quantile.groupBy("model_id").agg((top - low).alias("long_short_spread"))
 
 
+def day_moments(pairs: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(model_id, dt): sums of errors and hits with their counts, and ``ic``, in one pass with partial sums."""
+    d = F.col("score") - F.col("ret")
+    hit = ((F.col("score") > threshold) == (F.col("ret") > 0)).cast("double")
+    both = lambda c: F.when(d.isNotNull(), F.col(c))
+    sums = pairs.groupBy("model_id", "dt").agg(
+        F.count(d).alias("n"), F.sum(d * d).alias("squares"), F.sum(F.abs(d)).alias("absolutes"), F.sum(hit).alias("hits"),
+        F.stddev_pop(both("score")).alias("_sa"), F.stddev_pop(both("ret")).alias("_sb"), F.covar_pop("score", "ret").alias("_c"),
+    )
+    spread = (F.col("n") >= 2) & (F.col("_sa") > 0) & (F.col("_sb") > 0)
+    return sums.withColumn("ic", F.when(spread, F.col("_c") / (F.col("_sa") * F.col("_sb")))).drop("_sa", "_sb", "_c")
+
+
 def evaluation_row(pairs: DataFrame, ks: Sequence[int], label_t: int = 1, quantiles: int = 5, nw_lags: int | None = None) -> DataFrame:
-    """V12. One wide row per model with the metrics of V2 to V11."""
+    """V12. One wide row per model with the metrics of V2 to V11.
+
+    What each pass finds about a date is a row of small tables, which are stacked and summed up by model once. The pairs
+    are read for the moments, the ranks, the buckets and the best.
+    """
     lags = max(0, label_t - 1) if nw_lags is None else nw_lags
-    pairs = stable(pairs)  # read by every metric below
+    pairs = stable(pairs.select("model_id", "dt", "kdcode", "score", "ret"))
     daily = top_k_daily(pairs, ks)
-    per_k = portfolio_metrics(daily).join(newey_west(daily, lags), ["model_id", "k"])
-    per_k = per_k.withColumn("sharpe", F.col("sharpe_newey_west") if label_t > 1 else F.col("sharpe_naive"))
-
-    def at(k: int, c: str) -> Column:
-        return F.max(F.when(F.col("k") == k, F.col(c)))
-
-    tops = per_k.groupBy("model_id").agg(
-        *[
-            at(k, c).alias(n.format(k=k))
-            for k in ks
-            for c, n in (
-                ("avg_return", "return_top_{k}"), ("sharpe", "sharpe_top_{k}"),
-                ("sharpe_naive", "sharpe_top_{k}_naive"), ("sharpe_newey_west", "sharpe_top_{k}_newey_west"),
-            )
-        ]
-    )
-    quant = quantile_returns(pairs, quantiles)
-    qs = quant.groupBy("model_id").agg(
-        *[
-            F.max(F.when(F.col("quantile") == q, F.col("mean_return"))).alias(f"quantile_{q}_return")
-            for q in range(1, quantiles + 1)
-        ]
-    ).withColumn("long_short_spread", F.col(f"quantile_{quantiles}_return") - F.col("quantile_1_return"))
-    spearman = daily_rank_ic(pairs).groupBy("model_id").agg(F.avg("ic").alias("avg_spearman_corr"))
-    parts = [ic_summary(daily_ic(pairs)), spearman, hit_rate(pairs), qs, tops]
-    out = error_metrics(pairs).drop("n_pairs")
-    for p in parts:
-        out = out.join(p, "model_id", "left")
-    return out
+    sharpe = "sharpe_newey_west" if label_t > 1 else "sharpe_naive"
+    per_k = portfolio_metrics(daily).join(newey_west(daily, lags), ["model_id", "k"]).withColumn("sharpe", F.col(sharpe))
+    names = {
+        "avg_return": "return_top_{k}", "sharpe": "sharpe_top_{k}", "sharpe_naive": "sharpe_top_{k}_naive",
+        "sharpe_newey_west": "sharpe_top_{k}_newey_west",
+    }
+    found = day_moments(pairs)
+    spearman = daily_rank_ic(pairs).select("model_id", "dt", F.col("ic").alias("rank_ic"))
+    for part in (spearman, quantile_days(pairs, quantiles), per_k.select("model_id", "k", *names)):
+        found = found.unionByName(part, allowMissingColumns=True)
+
+    def at(key: str, value: int, c: str) -> Column:
+        return F.avg(F.when(F.col(key) == value, F.col(c)))
+
+    mse = F.try_divide(F.sum("squares"), F.sum("n"))
+    out = found.groupBy("model_id").agg(
+        mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.try_divide(F.sum("absolutes"), F.sum("n")).alias("mae"),
+        F.avg("ic").alias("avg_ic"), F.percentile("ic", 0.5).alias("median_ic"), (F.avg("ic") / (F.stddev_pop("ic") + EPS)).alias("ic_ir"),
+        F.avg("rank_ic").alias("avg_spearman_corr"), F.try_divide(F.sum("hits"), F.sum("n")).alias("hit_rate"),
+        *[at("quantile", q, "r").alias(f"quantile_{q}_return") for q in range(1, quantiles + 1)],
+        *[at("k", k, c).alias(n.format(k=k)) for k in ks for c, n in names.items()],
+    )
+    return out.withColumn("long_short_spread", F.col(f"quantile_{quantiles}_return") - F.col("quantile_1_return"))
 
 
 def ic_losses(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:

@@ -9,23 +9,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.frames import by_entity, rows_before
-from rankloom.functions.groups import attach, calendar, day_numbers, one_row
+from rankloom.functions.groups import attach, calendar, day_numbers, join_dates, one_row
 from rankloom.functions.ranking import percent_ranks
 from rankloom.operators.clean import densify
 from rankloom.schema import safe_div
 
 
 def sliding_windows(df: DataFrame, features: Sequence[str], his_t: int) -> DataFrame:
-    """L1. (kdcode, dt, seq): the ``his_t`` rows of the dense grid before each label date.
+    """L1. (kdcode, dt, seq): the ``his_t`` calendar dates before each label date, missing cells and dates as zeros.
 
-    ``seq`` is ordered by date, holds ``array<float>`` rows and never includes the label date.
+    ``seq`` is ordered by date, holds ``array<float>`` rows and never includes the label date. No grid of entities and
+    dates is joined: a row knows the gap since the entity's row before it and answers the run of label dates up to the
+    next one (the first row also those before it), and zeros are put in while a window is formed.
     """
-    grid = densify(df, features)
-    w = by_entity()
-    row = F.array(*[F.col(c).cast("float") for c in features])
-    # Frames of a window keep their order, so the list is ordered by date.
-    out = grid.select("kdcode", "dt", F.collect_list(row).over(rows_before(w, his_t)).alias("seq"))
-    return out.where(F.size("seq") == his_t)
+    numbers = day_numbers(calendar(df))
+    dates = numbers.agg(F.sort_array(F.collect_list("dt")).alias("d")).scalar()
+    day, zero = F.col("day_no"), F.array(*[F.lit(0.0).cast("float") for _ in features])
+    row = F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in features])
+    w = by_entity(order="day_no")  # numbers grow with the dates
+    before, after = F.lag("day_no").over(w), F.lead("day_no").over(w)
+    gap = F.coalesce(F.least(day - before - 1, F.lit(his_t)), F.lit(0))
+    rows = join_dates(df, numbers).select("kdcode", "day_no", before.alias("before"), after.alias("after"), F.concat(F.array_repeat(zero, gap), F.array(row)).alias("piece"))
+    lo = F.greatest(F.when(F.col("before").isNull(), 0).otherwise(day + 1), F.lit(his_t))
+    hi = F.coalesce("after", F.size(dates) - 1)
+    runs = rows.select(
+        "kdcode", "day_no", F.flatten(F.collect_list("piece").over(w.rangeBetween(-(his_t - 1), 0))).alias("recent"),
+        F.when(lo <= hi, F.sequence(lo, hi)).alias("labels"),
+    ).select("kdcode", "day_no", "recent", F.explode("labels").alias("label"))
+    since = F.least(F.col("label") - day - 1, F.lit(his_t))
+    filled = F.concat(F.array_repeat(zero, his_t - F.size("recent") - since), F.col("recent"), F.array_repeat(zero, since))
+    seq = F.when(F.col("label") <= day, F.array_repeat(zero, his_t)).otherwise(F.slice(filled, -his_t, his_t))
+    return runs.select("kdcode", F.get(dates, F.col("label")).alias("dt"), seq.alias("seq"))
 
 
 def node_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
