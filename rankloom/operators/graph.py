@@ -6,16 +6,17 @@ All snapshots of a schedule are built in one plan keyed by ``valid_from``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.frames import by_entity
-from rankloom.functions.groups import calendar, day_numbers
+from rankloom.functions.groups import attach, calendar, day_numbers
 from rankloom.functions.ranking import top_k
 from rankloom.operators.clean import asof_dates
 from rankloom.schema import safe_div
@@ -126,13 +127,13 @@ def entity_vectors(rows: DataFrame) -> DataFrame:
 
 
 def dense(pdf: pd.DataFrame, fill: str) -> np.ndarray:
-    """Rows of a block as a matrix over the snapshot's dates."""
-    n = int(pdf["n"].iloc[0])
-    x = np.zeros((len(pdf), n))
-    for i, (idx, val) in enumerate(zip(pdf["idx"], pdf["val"])):
-        if fill == "mean":
-            x[i, :] = np.mean(val)
-        x[i, idx] = val
+    """Rows of one snapshot as a matrix over its dates."""
+    sizes = pdf["idx"].map(len).to_numpy()
+    x = np.zeros((len(pdf), int(pdf["n"].iloc[0])))
+    row, val = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf["val"].to_list())
+    if fill == "mean":
+        x += (np.bincount(row, val, len(pdf)) / sizes)[:, None]
+    x[row, np.concatenate(pdf["idx"].to_list())] = val
     return x
 
 
@@ -145,58 +146,298 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
         return np.where(constant, np.nan, c / norm)
 
 
-def block_edges(corr: np.ndarray, src: np.ndarray, dst: np.ndarray, sel: Selection | None) -> pd.DataFrame:
-    """The pairs of one block that can be edges, as (src, dst, corr)."""
-    ok = ~np.isnan(corr) & (src[:, None] != dst[None, :])
-    if sel is not None and sel.top_k == 0:
-        ok &= corr > sel.threshold
-    elif sel is not None:
-        score = np.where(ok, np.abs(corr) if sel.metric == "abs_corr" else corr, -np.inf)
-        by_dst = np.argsort(dst, kind="stable")
-        order = by_dst[np.argsort(-score[:, by_dst], axis=1, kind="stable")][:, : sel.top_k]
-        best = np.zeros_like(ok)
-        np.put_along_axis(best, order, True, axis=1)
-        ok &= best
-    i, j = np.nonzero(ok)
-    return pd.DataFrame({"src": src[i], "dst": dst[j], "corr": corr[i, j]})
+# --- blocks ----------------------------------------------------------------------------------
 
 
-def correlate(rows: DataFrame, sel: Selection | None, fill: str = "zero", block: int = BLOCK) -> DataFrame:
-    """E2, E3, E13. (valid_from, src, dst, corr) of the kept pairs, both directions.
+def unit_vectors(rows: DataFrame, fill: str = "zero") -> DataFrame:
+    """(valid_from, kdcode, vec): each entity's centred returns of length 1, packed; constant series have no correlation
+    and drop out."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby("n"):
+                units = unit_rows(dense(part, fill))
+                ok = ~np.isnan(units).any(axis=1)
+                yield part.loc[ok, ["valid_from", "kdcode"]].assign(vec=[v.tobytes() for v in units[ok]])
+
+    return entity_vectors(rows).mapInPandas(pack, f"valid_from date, kdcode {_kind(rows)}, vec binary")
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["kdcode"].dataType.simpleString()
+
+
+def _unpack(vectors: Iterable[bytes]) -> np.ndarray:
+    vectors = list(vectors)
+    return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+
 
-    Entities are hashed into blocks of about ``block``; a task multiplies two blocks and emits only
-    what the selection keeps (``sel=None`` keeps the whole matrix). A block is sent to each of its
-    partners once: N/block copies of small vectors, never all rows in one task.
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Neighbouring rows that agree in the first ``keys`` columns, as one table each."""
+    held: list[pa.RecordBatch] = []
+    name: tuple | None = None
+    for batch in batches:
+        codes = [np.unique(c.to_numpy(zero_copy_only=False), return_inverse=True)[1] for c in batch.columns[:keys]]
+        change = np.zeros(max(0, len(batch) - 1), bool)
+        for c in codes:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)] if len(batch) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            here = tuple(c[i].as_py() for c in batch.columns[:keys])
+            if held and here != name:
+                yield name, pa.Table.from_batches(held)
+                held = []
+            name = here
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
+def place(units: DataFrame, n_entities: int, block: int, near: bool) -> DataFrame:
+    """(valid_from, kdcode, vec, block): blocks of about ``block`` entities.
+
+    With ``near`` alike entities share blocks: those whose hash is divisible by ``block`` are pivots, an entity goes to the cell
+    of the pivot it correlates best with, and a cell above the size is split by a hash. Pivots are sent to each part of
+    the entities and stream past before them, so a task holds one part of the entities and
+    one in ``block`` of all.
     """
-    vectors = stable(entity_vectors(rows))
-    n_entities = vectors.select("kdcode").distinct().count()
     n_blocks = max(1, math.ceil(n_entities / block))
-    placed = vectors.withColumn("b", F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks)).cast("int"))
-    as_left = F.transform(F.sequence("b", F.lit(n_blocks - 1)), lambda j: F.struct(F.col("b").alias("bi"), j.alias("bj"), F.lit(0).alias("side")))
-    as_right = F.transform(F.sequence(F.lit(0), F.col("b")), lambda i: F.struct(i.alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side")))
-    copies = placed.select(
-        "valid_from", "kdcode", "n", "idx", "val", F.explode(F.concat(as_left, as_right)).alias("p")
-    ).select("valid_from", "p.bi", "p.bj", "p.side", "kdcode", "n", "idx", "val")
-    kind = rows.schema["kdcode"].dataType.simpleString()
-
-    def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lhs, rhs = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if lhs.empty or rhs.empty:
-            return pd.DataFrame({"valid_from": [], "src": [], "dst": [], "corr": []})
-        a, b = lhs["kdcode"].to_numpy(), rhs["kdcode"].to_numpy()
-        corr = unit_rows(dense(lhs, fill)) @ unit_rows(dense(rhs, fill)).T
-        out = block_edges(corr, a, b, sel)
-        if key[1] != key[2]:
-            out = pd.concat([out, block_edges(corr.T, b, a, sel)])
-        return out.assign(valid_from=key[0])[["valid_from", "src", "dst", "corr"]]
-
-    return copies.groupBy("valid_from", "bi", "bj").applyInPandas(
-        pair, f"valid_from date, src {kind}, dst {kind}, corr double"
-    )
+    celled = units.withColumn("cell", F.lit(0).cast("bigint"))
+    if near and n_blocks > 1:
+        at = F.xxhash64("kdcode")
+        copies = F.array(F.struct(F.pmod(at, F.lit(n_blocks)).alias("part"), F.lit(1).alias("kind")))
+        to_all = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")), lambda p: F.struct(p.alias("part"), F.lit(0).alias("kind")))
+        every = F.when(F.pmod(F.xxhash64(F.lit("pivot"), "kdcode"), F.lit(block)) == 0, F.concat(copies, to_all)).otherwise(copies)
+        sent = units.select("valid_from", F.explode(every).alias("p"), "kdcode", "vec").select("valid_from", "p.part", "p.kind", "kdcode", "vec")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, of = None, None
+            for (day, part, kind), rows in _runs(batches, 3):
+                vectors = _unpack(rows["vec"].to_pylist())
+                if kind == 0:
+                    pivots, of = vectors, (day, part)
+                    continue
+                cell = np.argmax(vectors @ pivots.T, axis=1) if of == (day, part) else np.zeros(len(rows), np.int64)
+                out = rows.select(["valid_from", "kdcode", "vec"]).append_column("cell", pa.array(cell, pa.int64()))
+                yield from out.combine_chunks().to_batches()
+
+        order = ["valid_from", "part", "kind", "kdcode"]
+        celled = sent.repartition("valid_from", "part").sortWithinPartitions(*order).mapInArrow(assign, f"valid_from date, kdcode {_kind(units)}, vec binary, cell bigint")
+    celled = stable(celled)
+    size = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(block))).cast("int")) if near else F.lit(n_blocks)
+    split = F.pmod(F.xxhash64(F.lit("block"), "kdcode"), size)
+    sizes = attach(celled, ["valid_from", "cell"], _n=F.count("*")) if near else celled
+    return sizes.select("valid_from", "kdcode", "vec", (F.col("cell") * (1 << 24) + split).alias("block"))
+
+
+def _score(corr: np.ndarray, sel: Selection) -> np.ndarray:
+    return np.abs(corr) if sel.metric == "abs_corr" and sel.top_k else corr
+
+
+def block_summaries(blocks: DataFrame, sel: Selection) -> DataFrame:
+    """(valid_from, block, size, centre, radius, floor): the cap of the unit sphere that holds a block, and the score which
+    an edge from it must reach: the threshold, or the weakest of its sources' k-th scores inside the block."""
+
+    def summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        units = _unpack(pdf["vec"])
+        mean = units.mean(axis=0)
+        length = np.sqrt(mean @ mean)
+        centre = mean / length if length > 1e-12 else units[0]
+        radius = float(np.arccos(np.clip(units @ centre, -1, 1)).max())
+        floor = -2.0
+        if sel.top_k == 0:
+            floor = sel.threshold
+        elif len(units) > sel.top_k:
+            score = _score(units @ units.T, sel)
+            np.fill_diagonal(score, -2.0)
+            floor = float(np.partition(score, -sel.top_k, axis=1)[:, -sel.top_k].min())
+        return pd.DataFrame({"valid_from": [key[0]], "block": [key[1]], "size": [len(units)], "centre": [centre.tobytes()], "radius": [radius], "floor": [floor]})
+
+    return blocks.groupBy("valid_from", "block").applyInPandas(summary, "valid_from date, block bigint, size int, centre binary, radius double, floor double")
+
+
+SLACK = 1e-7  # above the rounding of an angle near 0
+
+
+def block_pairs(summaries: DataFrame, sel: Selection) -> DataFrame:
+    """(valid_from, a, b, bound, needed): pairs of blocks with the largest score an edge between them can have.
+
+    Two caps whose centres are ``w`` apart hold no two points nearer than w less both radii. Pairs whose bound is below
+    what block a needs hold no edge from it. A snapshot's summaries meet in one task: one vector in BLOCK. With a
+    threshold a pair is named once (a <= b).
+    """
+
+    def bounds(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        centres, radius = _unpack(pdf["centre"]), pdf["radius"].to_numpy()
+        angle, spare = np.arccos(np.clip(centres @ centres.T, -1, 1)), radius[:, None] + radius[None, :]
+        bound = np.cos(np.maximum(0, angle - spare))
+        if sel.metric == "abs_corr" and sel.top_k:
+            bound = np.maximum(bound, np.cos(np.maximum(0, np.pi - angle - spare)))
+        np.fill_diagonal(bound, 2.0)  # a block meets itself first
+        needed = bound >= pdf["floor"].to_numpy()[:, None] - SLACK
+        i, j = np.nonzero(np.ones_like(needed) if sel.top_k else np.triu(np.ones_like(needed)))
+        name = pdf["block"].to_numpy()
+        return pd.DataFrame({"valid_from": key[0], "a": name[i], "b": name[j], "bound": bound[i, j], "needed": needed[i, j]})
+
+    return summaries.groupBy("valid_from").applyInPandas(bounds, "valid_from date, a bigint, b bigint, bound double, needed boolean")
+
+
+def _meet(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of each block b beside every a it is wanted by: a's own rows first, then by falling bound."""
+    wanted = pairs.groupBy("valid_from", F.col("b").alias("block")).agg(F.collect_list(F.struct("a", "bound")).alias("by"))
+    rows = blocks.join(wanted, ["valid_from", "block"]).select("valid_from", "block", "kdcode", "vec", F.explode("by").alias("p"))
+    rows = rows.select("valid_from", "p.a", F.col("block").alias("b"), "p.bound", "kdcode", "vec")
+    return rows.repartition("valid_from", "a").sortWithinPartitions("valid_from", "a", F.desc("bound"), "b", "kdcode")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(day, a, b, bound, ids and vectors of a, ids and vectors of b) of sorted rows; holds two blocks."""
+    for (day, a, b), rows in _runs(batches, 3):
+        ids, vectors = rows["kdcode"].combine_chunks(), _unpack(rows["vec"].to_pylist())
+        if a == b:
+            own, units = ids, vectors
+        yield day, a, b, rows["bound"][0].as_py(), own, units, ids, vectors
+
+
+class _Best:
+    """The ``k`` best edges of each source of a block so far; equal scores go to the smaller destination."""
+
+    def __init__(self, units: np.ndarray, sel: Selection) -> None:
+        self.units, self.sel, self.k = units, sel, sel.top_k
+        self.src, self.corr, self.dst = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.least = np.full(len(units), -2.0)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, same: bool) -> None:
+        score = _score(self.units @ vectors.T, self.sel)
+        if same:
+            np.fill_diagonal(score, -2.0)
+        least = np.partition(score, -self.k, axis=1)[:, -self.k] if score.shape[1] > self.k else self.least
+        i, j = np.nonzero((score >= np.maximum(least, self.least)[:, None] - 1e-9) & (score > -2.0))
+        # Summed in one order whatever the product did, so that equal series tie.
+        corr = np.concatenate([self.corr, (self.units[i] * vectors[j]).sum(axis=1)])
+        src, dst = np.concatenate([self.src, i]), np.concatenate([self.dst, ids[j]])
+        score = _score(corr, self.sel)
+        order = np.lexsort((np.unique(dst, return_inverse=True)[1], -score, src))
+        first = np.searchsorted(src[order], np.arange(len(self.units)))
+        place = np.arange(len(order)) - first[src[order]]
+        keep = order[place < self.k]
+        self.src, self.corr, self.dst = src[keep], corr[keep], dst[keep]
+        full = order[place == self.k - 1]
+        self.least[src[full]] = score[full]
+
+
+def _top_edges(sel: Selection):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, row = None, None
+        for day, a, b, bound, own, units, ids, vectors in _meetings(batches):
+            if row is None or row[:2] != (day, a):
+                if best is not None:
+                    yield _edges(row[0], row[2].take(pa.array(best.src)), pa.array(best.dst, row[2].type), best.corr)
+                best, row = _Best(units, sel), (day, a, own)
+            if bound >= best.least.min() - SLACK:
+                best.add(np.array(ids.to_pylist(), object), vectors, a == b)
+        if best is not None:
+            yield _edges(row[0], row[2].take(pa.array(best.src)), pa.array(best.dst, row[2].type), best.corr)
+
+    return run
+
+
+def _threshold_edges(sel: Selection):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for day, a, b, _, own, units, ids, vectors in _meetings(batches):
+            corr = units @ vectors.T
+            ok = corr > sel.threshold
+            if a == b:
+                np.fill_diagonal(ok, False)
+            i, j = np.nonzero(ok)
+            src, dst = own.take(pa.array(i)), ids.take(pa.array(j))
+            yield _edges(day, src, dst, corr[i, j])
+            if a != b:
+                yield _edges(day, dst, src, corr[i, j])
+
+    return run
+
+
+def _edges(day, src: pa.Array, dst: pa.Array, corr: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([day] * len(src), pa.date32()), src, dst, pa.array(corr)]
+    return pa.RecordBatch.from_arrays(columns, names=["valid_from", "src", "dst", "corr"])
+
+
+def _blocks(rows: DataFrame, fill: str, block: int, near: bool) -> DataFrame:
+    units = unit_vectors(rows, fill)
+    n_entities = rows.select("kdcode").distinct().count()
+    return place(units, n_entities, block, near)
+
+
+def correlation_matrix(rows: DataFrame, fill: str = "zero", block: int = BLOCK) -> DataFrame:
+    """E2, E13. (valid_from, a, b, src, dst, corr): the upper half of the matrix in packed blocks, one row for two blocks
+    of about ``block`` entities. ``corr`` holds the cells row by row; ``cells`` and the functions after it read them."""
+    blocks = stable(_blocks(rows, fill, block, near=False))
+    names = blocks.select("valid_from", "block").distinct()
+    pairs = names.withColumnRenamed("block", "a").join(names.withColumnRenamed("block", "b"), "valid_from").where("a <= b")
+    pairs = pairs.withColumn("bound", F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for day, a, b, _, own, units, ids, vectors in _meetings(batches):
+            cell = pa.array([(units @ vectors.T).ravel()], pa.list_(pa.float64()))
+            columns = [pa.array([day], pa.date32()), pa.array([a]), pa.array([b]), _listed(own), _listed(ids), cell]
+            yield pa.RecordBatch.from_arrays(columns, names=["valid_from", "a", "b", "src", "dst", "corr"])
+
+    kind = _kind(rows)
+    return _meet(blocks, pairs).mapInArrow(run, f"valid_from date, a bigint, b bigint, src array<{kind}>, dst array<{kind}>, corr array<double>")
+
+
+def _listed(ids: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+
+
+def cells(matrix: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(valid_from, src, dst, corr) of all pairs of different entities, both directions, or of those for which ``keep``,
+    an expression over src, dst and corr, holds; it sees each direction."""
+    flat = matrix.select("valid_from", "a", "b", "src", "dst", F.posexplode("corr").alias("_at", "corr"))
+    width = F.size("dst")
+    one = flat.select("valid_from", "a", "b", F.get("src", F.floor(F.col("_at") / width).cast("int")).alias("src"), F.get("dst", F.col("_at") % width).alias("dst"), "corr")
+    there = one.where(F.col("src") != F.col("dst"))
+    back = there.where("a < b").select("valid_from", F.col("dst").alias("src"), F.col("src").alias("dst"), "corr")
+    both = there.select("valid_from", "src", "dst", "corr").unionByName(back)
+    return both if keep is None else both.where(keep)
+
+
+def matrix_row(matrix: DataFrame, entity: object) -> DataFrame:
+    """Correlations of one entity with all others: only its blocks are opened, and only its cells leave them."""
+    e = F.lit(entity)
+    i, j = F.array_position("src", e), F.array_position("dst", e)
+    width = F.size("dst")
+    along = F.when(i > 0, F.transform(F.col("dst"), lambda d, k: F.struct(d.alias("dst"), F.get("corr", ((i - 1) * width + k).cast("int")).alias("corr"))))
+    down = F.when((j > 0) & (F.col("a") < F.col("b")), F.transform(F.col("src"), lambda s, k: F.struct(s.alias("dst"), F.get("corr", (k * width + j - 1).cast("int")).alias("corr"))))
+    found = matrix.where((i > 0) | (j > 0)).select("valid_from", F.explode(F.coalesce(along, down)).alias("c"))
+    return found.select("valid_from", e.alias("src"), "c.dst", "c.corr").where(F.col("dst") != e)
+
+
+def matrix_cell(matrix: DataFrame, src: object, dst: object) -> DataFrame:
+    """(valid_from, corr) of one pair."""
+    return matrix_row(matrix, src).where(F.col("dst") == F.lit(dst)).select("valid_from", "corr")
+
+
+def correlate(rows: DataFrame, sel: Selection | None, fill: str = "zero", block: int = BLOCK) -> DataFrame:
+    """E2-E4, E13. (valid_from, src, dst, corr) of the kept pairs, both directions; all cells for ``sel=None``.
+
+    Alike entities share blocks of about ``block``. A task takes one block as sources and multiplies it with the blocks
+    whose bound (``block_pairs``) can hold an edge of it, best bounds first, until none is left that could improve a
+    source's k best: N x K rows leave the tasks. Memory per task is two blocks.
+    """
+    if sel is None:
+        return cells(correlation_matrix(rows, fill, block))
+    blocks = stable(_blocks(rows, fill, block, near=True))
+    pairs = block_pairs(block_summaries(blocks, sel), sel).where("needed")
+    kind = _kind(rows)
+    edges = _top_edges(sel) if sel.top_k else _threshold_edges(sel)
+    return _meet(blocks, pairs).mapInArrow(edges, f"valid_from date, src {kind}, dst {kind}, corr double")
 
 
 def rank_edges(edges: DataFrame, sel: Selection) -> DataFrame:
-    """E4, E5. Final selection over the blocks with attributes.
+    """E4, E5. Final selection with attributes.
 
     Top-K: the best per source, destination ascending on ties; ``rank_pct`` uses the kept count.
     """

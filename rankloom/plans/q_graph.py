@@ -56,7 +56,7 @@ def e1(spark, sf):
 
 @query("e2_correlation", check_sql("corr_one", f"SELECT valid_from, src, dst, {r('corr')} AS corr FROM corr_one WHERE corr IS NOT NULL"))
 def e2(spark, sf):
-    return rounded(gr.correlate(gr.return_rows(td.bars_d(spark, sf), snaps(spark), LOOK), None), "corr")
+    return rounded(gr.cells(gr.correlation_matrix(gr.return_rows(td.bars_d(spark, sf), snaps(spark), LOOK))), "corr")
 
 
 def _attrs(rank: str) -> str:
@@ -195,4 +195,4 @@ share("snap_incl", "SELECT DATE '2000-12-29' AS valid_from")
 )
 def e13(spark, sf):
     rows = gr.return_rows(td.bars_d(spark, sf), gr.snapshot_list(spark, ["2000-12-29"]), 250, inclusive=True)
-    return rounded(gr.correlate(rows, None, fill="mean").select("src", "dst", "corr"), "corr")
+    return rounded(gr.cells(gr.correlation_matrix(rows, fill="mean")).select("src", "dst", "corr"), "corr")

@@ -108,6 +108,70 @@ def test_top_k_edges_over_blocks(spark, metric):
         np.testing.assert_allclose(g["corr"], s[best].to_numpy())
 
 
+def groups_of_prices(spark, groups=6, size=12, days=60):
+    """Names that follow one of a few drivers closely; two of them are equal, one does not move."""
+    rng = np.random.default_rng(8)
+    drivers = rng.normal(0, 0.02, (days, groups))
+    r = np.repeat(drivers, size, axis=1) + rng.normal(0, 0.001, (days, groups * size))
+    r[:, 3], r[:, 7] = r[:, 2], 0
+    x = 100 * np.exp(np.cumsum(r, axis=0))
+    rows = [(f"n{k:03d}", D[i], float(x[i, k])) for i in range(days) for k in range(groups * size)]
+    return spark.createDataFrame(rows, "kdcode string, dt date, close double")
+
+
+@pytest.mark.parametrize("metric", ["corr", "abs_corr"])
+def test_pruned_block_pairs_hold_no_edge(spark, metric):
+    rows = gr.return_rows(groups_of_prices(spark), gr.snapshot_list(spark, [str(D[40]), str(D[55])]), 30)
+    whole = gr.cells(gr.correlation_matrix(rows, block=512)).toPandas()
+    for sel in (gr.Selection(top_k=4, metric=metric), gr.Selection(threshold=0.9)):
+        blocks = gr._blocks(rows, "zero", 8, near=True)
+        pairs = gr.block_pairs(gr.block_summaries(blocks, sel), sel).toPandas()
+        assert 0 < pairs["needed"].mean() < 0.7
+        got = gr.rank_edges(gr.correlate(rows, sel, block=8), sel).toPandas()
+        want = whole.copy()
+        want["score"] = want["corr"].abs() if sel.top_k and metric == "abs_corr" else want["corr"]
+        if sel.top_k:
+            want["score"] = want["score"].round(12)
+            want = want.sort_values(["score", "dst"], ascending=[False, True]).groupby(["valid_from", "src"]).head(4)
+            assert len(want) == 2 * 71 * 4
+        else:
+            want = want[want["corr"] > 0.9]
+        keys = ["valid_from", "src", "dst"]
+        assert sorted(map(tuple, got[keys].values)) == sorted(map(tuple, want[keys].values))
+
+
+def test_top_k_task_gives_k_edges_a_source(spark):
+    rows = gr.return_rows(prices(spark), gr.snapshot_list(spark, [str(D[60])]), 40)
+    assert gr.correlate(rows, gr.Selection(top_k=3), block=5).count() == 23 * 3
+
+
+@pytest.mark.parametrize("fill", ["zero", "mean"])
+def test_packed_matrix_and_its_readers(spark, fill):
+    rows = gr.return_rows(prices(spark), gr.snapshot_list(spark, [str(D[60]), str(D[70])]), 40)
+    matrix = gr.correlation_matrix(rows, fill, block=6)
+    packed = matrix.toPandas()
+    n_blocks = packed.groupby("valid_from")["a"].nunique()
+    assert list(packed.groupby("valid_from").size()) == [n * (n + 1) / 2 for n in n_blocks]
+    cells = {(r.valid_from, r.src, r.dst): r.corr for r in gr.cells(matrix).collect()}
+    assert len(cells) == 2 * 23 * 22
+    for entity in (0, 9, 22):
+        row = {(r.valid_from, r.src, r.dst): r.corr for r in gr.matrix_row(matrix, entity).collect()}
+        assert row == {k: v for k, v in cells.items() if k[1] == entity}
+    one = {r.valid_from: r.corr for r in gr.matrix_cell(matrix, 4, 17).collect()}
+    assert one == {d: cells[d, 4, 17] for d in (D[60], D[70])}
+    above = gr.cells(matrix, F.col("corr") > 0.5).count()
+    assert above == sum(v > 0.5 for v in cells.values())
+    if fill == "zero":
+        want = corr_by_pandas(prices(spark), D[60], 40)
+        assert all(v == pytest.approx(want.loc[a, b], abs=1e-12) for (d, a, b), v in cells.items() if d == D[60])
+
+
+def test_graph_of_nothing(spark):
+    rows = gr.return_rows(prices(spark), gr.snapshot_list(spark, ["1990-01-01"]), 40)
+    for sel in (None, gr.Selection(top_k=2), gr.Selection(threshold=0.1)):
+        assert gr.correlate(rows, sel).count() == 0
+
+
 def test_snapshots_use_only_earlier_rows(spark):
     df = prices(spark)
     changed = df.withColumn("close", F.when(F.col("dt") >= F.lit(D[50]), F.col("close") * (2 + F.rand(1))).otherwise(F.col("close")))
