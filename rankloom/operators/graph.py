@@ -23,6 +23,7 @@ from rankloom.schema import safe_div
 from rankloom.session import stable
 
 BLOCK = 512  # entities per block: a task multiplies two BLOCK x lookback matrices
+PRUNED = 8  # blocks from which placing and pruning them costs less than multiplying all
 
 
 @dataclass(frozen=True)
@@ -193,41 +194,39 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield name, pa.Table.from_batches(held)
 
 
-def place(units: DataFrame, n_entities: int, block: int, near: bool) -> DataFrame:
-    """(valid_from, kdcode, vec, block): blocks of about ``block`` entities.
+def place(units: DataFrame, n_blocks: int, block: int) -> DataFrame:
+    """(valid_from, kdcode, vec, block): alike entities in blocks of about ``block``.
 
-    With ``near`` alike entities share blocks: those whose hash is divisible by ``block`` are pivots, an entity goes to the cell
-    of the pivot it correlates best with, and a cell above the size is split by a hash. Pivots are sent to each part of
-    the entities and stream past before them, so a task holds one part of the entities and
-    one in ``block`` of all.
+    Those whose hash is divisible by ``block`` are pivots, an entity goes to the cell of the pivot it correlates best with,
+    and a cell above the size is split by a hash. Pivots are sent to each part of the entities and stream past before
+    them, so a task holds one part of the entities and one in ``block`` of all.
     """
-    n_blocks = max(1, math.ceil(n_entities / block))
-    celled = units.withColumn("cell", F.lit(0).cast("bigint"))
-    if near and n_blocks > 1:
-        at = F.xxhash64("kdcode")
-        copies = F.array(F.struct(F.pmod(at, F.lit(n_blocks)).alias("part"), F.lit(1).alias("kind")))
-        to_all = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")), lambda p: F.struct(p.alias("part"), F.lit(0).alias("kind")))
-        every = F.when(F.pmod(F.xxhash64(F.lit("pivot"), "kdcode"), F.lit(block)) == 0, F.concat(copies, to_all)).otherwise(copies)
-        sent = units.select("valid_from", F.explode(every).alias("p"), "kdcode", "vec").select("valid_from", "p.part", "p.kind", "kdcode", "vec")
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots, of = None, None
-            for (day, part, kind), rows in _runs(batches, 3):
-                vectors = _unpack(rows["vec"].to_pylist())
-                if kind == 0:
-                    pivots, of = vectors, (day, part)
-                    continue
-                cell = np.argmax(vectors @ pivots.T, axis=1) if of == (day, part) else np.zeros(len(rows), np.int64)
-                out = rows.select(["valid_from", "kdcode", "vec"]).append_column("cell", pa.array(cell, pa.int64()))
-                yield from out.combine_chunks().to_batches()
-
-        order = ["valid_from", "part", "kind", "kdcode"]
-        celled = sent.repartition("valid_from", "part").sortWithinPartitions(*order).mapInArrow(assign, f"valid_from date, kdcode {_kind(units)}, vec binary, cell bigint")
-    celled = stable(celled)
-    size = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(block))).cast("int")) if near else F.lit(n_blocks)
-    split = F.pmod(F.xxhash64(F.lit("block"), "kdcode"), size)
-    sizes = attach(celled, ["valid_from", "cell"], _n=F.count("*")) if near else celled
-    return sizes.select("valid_from", "kdcode", "vec", (F.col("cell") * (1 << 24) + split).alias("block"))
+    own = F.array(F.struct(F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks)).alias("part"), F.lit(1).alias("kind")))
+    to_all = F.transform(_numbers(n_blocks), lambda p: F.struct(p.alias("part"), F.lit(0).alias("kind")))
+    pivot = F.pmod(F.xxhash64(F.lit("pivot"), "kdcode"), F.lit(block)) == 0
+    sent = units.select("valid_from", F.explode(F.when(pivot, F.concat(own, to_all)).otherwise(own)).alias("p"), "kdcode", "vec")
+    sent = sent.select("valid_from", "p.part", "p.kind", "kdcode", "vec")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, of = None, None
+        for (day, part, kind), rows in _runs(batches, 3):
+            vectors = _unpack(rows["vec"].to_pylist())
+            if kind == 0:
+                pivots, of = vectors, (day, part)
+                continue
+            cell = np.argmax(vectors @ pivots.T, axis=1) if of == (day, part) else np.zeros(len(rows), np.int64)
+            out = rows.select(["valid_from", "kdcode", "vec"]).append_column("cell", pa.array(cell, pa.int64()))
+            yield from out.combine_chunks().to_batches()
+
+    order = ["valid_from", "part", "kind", "kdcode"]
+    celled = sent.repartition("valid_from", "part").sortWithinPartitions(*order).mapInArrow(assign, f"valid_from date, kdcode {_kind(units)}, vec binary, cell bigint")
+    celled = attach(stable(celled), ["valid_from", "cell"], _n=F.count("*"))
+    split = F.pmod(F.xxhash64(F.lit("block"), "kdcode"), F.ceil(F.col("_n") / F.lit(float(block))).cast("int"))
+    return celled.select("valid_from", "kdcode", "vec", (F.col("cell") * (1 << 24) + split).alias("block"))
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
 
 def _score(corr: np.ndarray, sel: Selection) -> np.ndarray:
@@ -286,17 +285,31 @@ def block_pairs(summaries: DataFrame, sel: Selection) -> DataFrame:
 def _meet(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of each block b beside every a it is wanted by: a's own rows first, then by falling bound."""
     wanted = pairs.groupBy("valid_from", F.col("b").alias("block")).agg(F.collect_list(F.struct("a", "bound")).alias("by"))
-    rows = blocks.join(wanted, ["valid_from", "block"]).select("valid_from", "block", "kdcode", "vec", F.explode("by").alias("p"))
-    rows = rows.select("valid_from", "p.a", F.col("block").alias("b"), "p.bound", "kdcode", "vec")
+    rows = blocks.join(wanted, ["valid_from", "block"]).select("valid_from", F.col("block").alias("b"), "kdcode", "vec", F.explode("by").alias("p"))
+    return _sorted(rows.select("valid_from", "p.a", "b", "p.bound", "kdcode", "vec"))
+
+
+def _meet_all(units: DataFrame, n_blocks: int, half: bool) -> DataFrame:
+    """As ``_meet`` for blocks by hash and all pairs of them, or those with a <= b: one shuffle, nothing written."""
+    b = F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks).cast("bigint"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("b")) if half else _numbers(n_blocks)
+    rows = units.withColumn("b", b).select("valid_from", F.explode(every).alias("a"), "b", "kdcode", "vec")
+    return _sorted(rows.withColumn("bound", F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0)).select("valid_from", "a", "b", "bound", "kdcode", "vec"))
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("valid_from", "a").sortWithinPartitions("valid_from", "a", F.desc("bound"), "b", "kdcode")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(day, a, b, bound, ids and vectors of a, ids and vectors of b) of sorted rows; holds two blocks."""
+    of = None
     for (day, a, b), rows in _runs(batches, 3):
         ids, vectors = rows["kdcode"].combine_chunks(), _unpack(rows["vec"].to_pylist())
         if a == b:
-            own, units = ids, vectors
+            of, own, units = (day, a), ids, vectors
+        elif of != (day, a):
+            continue  # no entity of block a that day
         yield day, a, b, rows["bound"][0].as_py(), own, units, ids, vectors
 
 
@@ -364,19 +377,13 @@ def _edges(day, src: pa.Array, dst: pa.Array, corr: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, names=["valid_from", "src", "dst", "corr"])
 
 
-def _blocks(rows: DataFrame, fill: str, block: int, near: bool) -> DataFrame:
-    units = unit_vectors(rows, fill)
-    n_entities = rows.select("kdcode").distinct().count()
-    return place(units, n_entities, block, near)
+def _n_blocks(rows: DataFrame, block: int) -> int:
+    return max(1, math.ceil(rows.select("kdcode").distinct().count() / block))
 
 
 def correlation_matrix(rows: DataFrame, fill: str = "zero", block: int = BLOCK) -> DataFrame:
     """E2, E13. (valid_from, a, b, src, dst, corr): the upper half of the matrix in packed blocks, one row for two blocks
     of about ``block`` entities. ``corr`` holds the cells row by row; ``cells`` and the functions after it read them."""
-    blocks = stable(_blocks(rows, fill, block, near=False))
-    names = blocks.select("valid_from", "block").distinct()
-    pairs = names.withColumnRenamed("block", "a").join(names.withColumnRenamed("block", "b"), "valid_from").where("a <= b")
-    pairs = pairs.withColumn("bound", F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for day, a, b, _, own, units, ids, vectors in _meetings(batches):
@@ -385,7 +392,8 @@ def correlation_matrix(rows: DataFrame, fill: str = "zero", block: int = BLOCK)
             yield pa.RecordBatch.from_arrays(columns, names=["valid_from", "a", "b", "src", "dst", "corr"])
 
     kind = _kind(rows)
-    return _meet(blocks, pairs).mapInArrow(run, f"valid_from date, a bigint, b bigint, src array<{kind}>, dst array<{kind}>, corr array<double>")
+    met = _meet_all(unit_vectors(rows, fill), _n_blocks(rows, block), half=True)
+    return met.mapInArrow(run, f"valid_from date, a bigint, b bigint, src array<{kind}>, dst array<{kind}>, corr array<double>")
 
 
 def _listed(ids: pa.Array) -> pa.Array:
@@ -423,17 +431,22 @@ def matrix_cell(matrix: DataFrame, src: object, dst: object) -> DataFrame:
 def correlate(rows: DataFrame, sel: Selection | None, fill: str = "zero", block: int = BLOCK) -> DataFrame:
     """E2-E4, E13. (valid_from, src, dst, corr) of the kept pairs, both directions; all cells for ``sel=None``.
 
-    Alike entities share blocks of about ``block``. A task takes one block as sources and multiplies it with the blocks
-    whose bound (``block_pairs``) can hold an edge of it, best bounds first, until none is left that could improve a
-    source's k best: N x K rows leave the tasks. Memory per task is two blocks.
+    A task takes one block of about ``block`` entities as sources and multiplies it with other blocks, keeping each
+    source's k best: N x K rows leave the tasks, and its memory is two blocks. From ``PRUNED`` blocks on alike entities
+    share blocks, and only the pairs whose bound (``block_pairs``) can hold an edge meet, best bounds first, until none is
+    left that could improve a source's k best. Fewer blocks meet each other all at once.
     """
     if sel is None:
         return cells(correlation_matrix(rows, fill, block))
-    blocks = stable(_blocks(rows, fill, block, near=True))
-    pairs = block_pairs(block_summaries(blocks, sel), sel).where("needed")
+    units, n_blocks = unit_vectors(rows, fill), _n_blocks(rows, block)
+    if n_blocks < PRUNED:
+        met = _meet_all(units, n_blocks, half=sel.top_k == 0)
+    else:
+        blocks = place(units, n_blocks, block)
+        met = _meet(blocks, block_pairs(block_summaries(blocks, sel), sel).where("needed"))
     kind = _kind(rows)
     edges = _top_edges(sel) if sel.top_k else _threshold_edges(sel)
-    return _meet(blocks, pairs).mapInArrow(edges, f"valid_from date, src {kind}, dst {kind}, corr double")
+    return met.mapInArrow(edges, f"valid_from date, src {kind}, dst {kind}, corr double")
 
 
 def rank_edges(edges: DataFrame, sel: Selection) -> DataFrame:

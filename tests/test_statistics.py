@@ -124,7 +124,7 @@ def test_pruned_block_pairs_hold_no_edge(spark, metric):
     rows = gr.return_rows(groups_of_prices(spark), gr.snapshot_list(spark, [str(D[40]), str(D[55])]), 30)
     whole = gr.cells(gr.correlation_matrix(rows, block=512)).toPandas()
     for sel in (gr.Selection(top_k=4, metric=metric), gr.Selection(threshold=0.9)):
-        blocks = gr._blocks(rows, "zero", 8, near=True)
+        blocks = gr.place(gr.unit_vectors(rows), gr._n_blocks(rows, 8), 8)
         pairs = gr.block_pairs(gr.block_summaries(blocks, sel), sel).toPandas()
         assert 0 < pairs["needed"].mean() < 0.7
         got = gr.rank_edges(gr.correlate(rows, sel, block=8), sel).toPandas()
