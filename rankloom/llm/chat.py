@@ -90,14 +90,16 @@ def with_context(formatted: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """One row per conversation: what can be read back from its rendering and its examples."""
+    """One row per conversation: what can be read back from its rendering and its examples; ``n_examples`` and the total
+    length of their contexts, ``context_chars``, come from the expansion."""
     turn = F.struct("position", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"))
     reply = F.when(F.col("trainable"), F.struct("example", unescape(F.col("target")).alias("text")))
     joined = lambda c, field: F.array_join(F.transform(F.sort_array(c), lambda x: x[field]), "")
     return (
         expand(formatted)
         .groupBy("conv_id")
-        .agg(F.count("*").alias("n_turns"), F.max("formatted_chars").alias("formatted_chars"), F.collect_list(turn).alias("turns"), F.collect_list(reply).alias("replies"))
-        .select("conv_id", "n_turns", F.sha2(joined("turns", "turn"), 256).alias("turns_sha256"), joined("replies", "text").alias("loss"), "formatted_chars")
-        .select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+        .agg(F.count("*").alias("n_turns"), F.max("formatted_chars").alias("formatted_chars"), F.collect_list(turn).alias("turns"), F.collect_list(reply).alias("replies"),
+            F.count("example").alias("n_examples"), F.coalesce(F.sum("context_chars"), F.lit(0)).cast("long").alias("context_chars"))
+        .select("conv_id", "n_turns", F.sha2(joined("turns", "turn"), 256).alias("turns_sha256"), joined("replies", "text").alias("loss"), "formatted_chars", "n_examples", "context_chars")
+        .select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "context_chars")
     )

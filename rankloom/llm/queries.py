@@ -127,9 +127,12 @@ WITH t AS (
 s AS (
   SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|ANS\]|ROLE:|/ROLE\])', '\1\\\2\3', 'g'))
     + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 ELSE 16 + 2 * strlen(role) END AS chars FROM t),
+e AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - chars + 6 AS context FROM s),
 c AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars
-  FROM s GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+    count(*) FILTER (role = 'assistant') AS n_examples, coalesce(CAST(sum(context) FILTER (role = 'assistant') AS BIGINT), 0) AS context_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_examples, context_chars FROM c
 """

@@ -197,6 +197,10 @@ def test_chat(spark):
         assert (got[c].loss_chars, got[c].loss_sha256, got[c].formatted_chars) == (len(loss), digest(loss), lengths[c])
     one = sorted(chat.with_context(formatted).filter("conv_id = 1").collect(), key=lambda r: r.example)
     whole = formatted.filter("conv_id = 1").first().formatted
+    contexts = defaultdict(list)
+    for r in chat.with_context(formatted).collect():
+        contexts[r.conv_id].append(len(r.context))
+    assert {c: (r.n_examples, r.context_chars) for c, r in got.items()} == {c: (len(contexts[c]), sum(contexts[c])) for c in got}
     assert [whole.startswith(r.context + r.target + " </s>") for r in one] == [True] * 3 and one[0].context.endswith("[/INST][ANS] ")
     assert chat.digests(chat.format_conversations(turns.limit(0))).count() == 0
 
