@@ -267,13 +267,12 @@ def ic_losses(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
     )
 
 
-def compare_scores(new: DataFrame, old: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """V14. Largest and mean score difference per date of two prediction sets."""
-    both = new.select("dt", "kdcode", F.col("score").alias("a")).join(
-        old.select("dt", "kdcode", F.col("score").alias("b")), ["dt", "kdcode"]
-    )
+def compare_scores(new: DataFrame, old: DataFrame, tolerance: float = 1e-4, by: Sequence[str] = ()) -> DataFrame:
+    """V14. Largest and mean score difference per date of two prediction sets, for each value of ``by`` in both."""
+    keys = [*by, "dt", "kdcode"]
+    both = new.select(*keys, F.col("score").alias("a")).join(old.select(*keys, F.col("score").alias("b")), keys)
     d = F.abs(F.col("a") - F.col("b"))
-    return both.groupBy("dt").agg(
+    return both.groupBy(*by, "dt").agg(
         F.count("*").alias("n_compared"), F.max(d).alias("max_diff"), F.avg(d).alias("avg_diff")
     ).withColumn("matched", F.col("max_diff") < tolerance)
 

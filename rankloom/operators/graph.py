@@ -23,7 +23,7 @@ from rankloom.schema import safe_div
 from rankloom.session import stable
 
 BLOCK = 512  # entities per block: a task multiplies two BLOCK x lookback matrices
-PRUNED = 8  # blocks from which placing and pruning them costs less than multiplying all
+PRUNED = 8  # blocks from which they are placed and pruned; chosen, not measured
 
 
 @dataclass(frozen=True)

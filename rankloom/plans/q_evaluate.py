@@ -214,13 +214,15 @@ def v13(spark, sf):
     "v14_compare_scores",
     check_sql(
         "scores",
-        f"""WITH j AS (SELECT a.dt, abs(a.score - b.score) AS d FROM scores a JOIN scores b ON a.dt = b.dt AND a.kdcode = b.kdcode WHERE a.model_id = 1 AND b.model_id = 2)
-    SELECT dt, count(*) AS n_compared, {r('max(d)')} AS max_diff, {r('avg(d)')} AS avg_diff, max(d) < 2.0 AS matched FROM j GROUP BY 1""",
+        f"""WITH j AS (SELECT a.model_id, a.dt, abs(a.score - b.score) AS d FROM scores a JOIN scores b ON b.model_id = a.model_id + 1 AND a.dt = b.dt AND a.kdcode = b.kdcode)
+    SELECT model_id, dt, count(*) AS n_compared, {r('max(d)')} AS max_diff, {r('avg(d)')} AS avg_diff, max(d) < 2.0 AS matched FROM j GROUP BY 1, 2""",
     ),
 )
 def v14(spark, sf):
+    """Each model against the next one."""
     s = td.scores(spark, sf)
-    return rounded(ev.compare_scores(s.where("model_id = 1"), s.where("model_id = 2"), 2.0), "max_diff", "avg_diff")
+    following = s.withColumn("model_id", F.col("model_id") - 1)
+    return rounded(ev.compare_scores(s, following, 2.0, ["model_id"]), "max_diff", "avg_diff")
 
 
 @query(
