@@ -290,7 +290,7 @@ def _meet(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _meet_all(units: DataFrame, n_blocks: int, half: bool) -> DataFrame:
-    """As ``_meet`` for blocks by hash and all pairs of them, or those with a <= b: one shuffle, nothing written."""
+    """As ``_meet`` for blocks by hash and all pairs of them, or those with a <= b, in one shuffle."""
     b = F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks).cast("bigint"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("b")) if half else _numbers(n_blocks)
     rows = units.withColumn("b", b).select("valid_from", F.explode(every).alias("a"), "b", "kdcode", "vec")
@@ -377,8 +377,8 @@ def _edges(day, src: pa.Array, dst: pa.Array, corr: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, names=["valid_from", "src", "dst", "corr"])
 
 
-def _n_blocks(rows: DataFrame, block: int) -> int:
-    return max(1, math.ceil(rows.select("kdcode").distinct().count() / block))
+def _n_blocks(units: DataFrame, block: int) -> int:
+    return max(1, math.ceil(units.select("kdcode").distinct().count() / block))
 
 
 def correlation_matrix(rows: DataFrame, fill: str = "zero", block: int = BLOCK) -> DataFrame:
@@ -392,7 +392,8 @@ def correlation_matrix(rows: DataFrame, fill: str = "zero", block: int = BLOCK)
             yield pa.RecordBatch.from_arrays(columns, names=["valid_from", "a", "b", "src", "dst", "corr"])
 
     kind = _kind(rows)
-    met = _meet_all(unit_vectors(rows, fill), _n_blocks(rows, block), half=True)
+    units = stable(unit_vectors(rows, fill))
+    met = _meet_all(units, _n_blocks(units, block), half=True)
     return met.mapInArrow(run, f"valid_from date, a bigint, b bigint, src array<{kind}>, dst array<{kind}>, corr array<double>")
 
 
@@ -438,7 +439,8 @@ def correlate(rows: DataFrame, sel: Selection | None, fill: str = "zero", block:
     """
     if sel is None:
         return cells(correlation_matrix(rows, fill, block))
-    units, n_blocks = unit_vectors(rows, fill), _n_blocks(rows, block)
+    units = stable(unit_vectors(rows, fill))  # counted and sent on
+    n_blocks = _n_blocks(units, block)
     if n_blocks < PRUNED:
         met = _meet_all(units, n_blocks, half=sel.top_k == 0)
     else:
