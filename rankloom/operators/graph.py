@@ -22,8 +22,10 @@ from rankloom.operators.clean import asof_dates
 from rankloom.schema import safe_div
 from rankloom.session import stable
 
-BLOCK = 512  # entities per block: a task multiplies two BLOCK x lookback matrices
+BLOCK = 512  # entities per block: a task multiplies two BLOCK x lookback matrices at a time
 PRUNED = 8  # blocks from which they are placed and pruned; chosen, not measured
+GROUPS = 8  # groups of blocks that meet in pairs, so a vector is shuffled as often
+GROUP = 1 << 16  # entities of a group at most, about: a task holds one group; more entities make more groups
 
 
 @dataclass(frozen=True)
@@ -198,11 +200,12 @@ def place(units: DataFrame, n_blocks: int, block: int) -> DataFrame:
     """(valid_from, kdcode, vec, block): alike entities in blocks of about ``block``.
 
     Those whose hash is divisible by ``block`` are pivots, an entity goes to the cell of the pivot it correlates best with,
-    and a cell above the size is split by a hash. Pivots are sent to each part of the entities and stream past before
-    them, so a task holds one part of the entities and one in ``block`` of all.
+    and a cell above the size is split by a hash. Pivots are sent to each part of the entities, of which there are as many
+    as groups, and stream past before them, so a task holds one part of the entities and one in ``block`` of all.
     """
-    own = F.array(F.struct(F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks)).alias("part"), F.lit(1).alias("kind")))
-    to_all = F.transform(_numbers(n_blocks), lambda p: F.struct(p.alias("part"), F.lit(0).alias("kind")))
+    parts = _n_groups(n_blocks, block)
+    own = F.array(F.struct(F.pmod(F.xxhash64("kdcode"), F.lit(parts)).alias("part"), F.lit(1).alias("kind")))
+    to_all = F.transform(_numbers(parts), lambda p: F.struct(p.alias("part"), F.lit(0).alias("kind")))
     pivot = F.pmod(F.xxhash64(F.lit("pivot"), "kdcode"), F.lit(block)) == 0
     sent = units.select("valid_from", F.explode(F.when(pivot, F.concat(own, to_all)).otherwise(own)).alias("p"), "kdcode", "vec")
     sent = sent.select("valid_from", "p.part", "p.kind", "kdcode", "vec")
@@ -233,33 +236,54 @@ def _score(corr: np.ndarray, sel: Selection) -> np.ndarray:
     return np.abs(corr) if sel.metric == "abs_corr" and sel.top_k else corr
 
 
+def _cap(units: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre and radius of a cap of the unit sphere that holds the vectors."""
+    mean = units.mean(axis=0)
+    length = np.sqrt(mean @ mean)
+    centre = mean / length if length > 1e-12 else units[0]
+    return centre, float(np.arccos(np.clip(units @ centre, -1, 1)).max())
+
+
+def _floors(units: np.ndarray, sel: Selection) -> np.ndarray:
+    """The score that an edge of each entity must reach: the threshold, or its k-th score inside its block."""
+    if sel.top_k == 0:
+        return np.full(len(units), sel.threshold)
+    if len(units) <= sel.top_k:
+        return np.full(len(units), -2.0)
+    score = _score(units @ units.T, sel)
+    np.fill_diagonal(score, -2.0)
+    return np.partition(score, -sel.top_k, axis=1)[:, -sel.top_k]
+
+
+def _bound(angle: np.ndarray, spare: np.ndarray, sel: Selection) -> np.ndarray:
+    """The largest score between caps whose centres are ``angle`` apart and whose radii sum to ``spare``."""
+    bound = np.cos(np.maximum(0, angle - spare))
+    if sel.metric == "abs_corr" and sel.top_k:
+        bound = np.maximum(bound, np.cos(np.maximum(0, np.pi - angle - spare)))
+    return bound
+
+
 def block_summaries(blocks: DataFrame, sel: Selection) -> DataFrame:
     """(valid_from, block, size, centre, radius, floor): the cap of the unit sphere that holds a block, and the score which
     an edge from it must reach: the threshold, or the weakest of its sources' k-th scores inside the block."""
 
     def summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         units = _unpack(pdf["vec"])
-        mean = units.mean(axis=0)
-        length = np.sqrt(mean @ mean)
-        centre = mean / length if length > 1e-12 else units[0]
-        radius = float(np.arccos(np.clip(units @ centre, -1, 1)).max())
-        floor = -2.0
-        if sel.top_k == 0:
-            floor = sel.threshold
-        elif len(units) > sel.top_k:
-            score = _score(units @ units.T, sel)
-            np.fill_diagonal(score, -2.0)
-            floor = float(np.partition(score, -sel.top_k, axis=1)[:, -sel.top_k].min())
+        centre, radius = _cap(units)
+        floor = float(_floors(units, sel).min())
         return pd.DataFrame({"valid_from": [key[0]], "block": [key[1]], "size": [len(units)], "centre": [centre.tobytes()], "radius": [radius], "floor": [floor]})
 
     return blocks.groupBy("valid_from", "block").applyInPandas(summary, "valid_from date, block bigint, size int, centre binary, radius double, floor double")
 
 
 SLACK = 1e-7  # above the rounding of an angle near 0
+NEAR = 1e-4  # above the rounding of a product of unit vectors in single precision
+GATHER = 1 << 14  # pairs whose products are summed at a time
 
 
 def block_pairs(summaries: DataFrame, sel: Selection) -> DataFrame:
-    """(valid_from, a, b, bound, needed): pairs of blocks with the largest score an edge between them can have.
+    """(valid_from, a, b, bound, needed): pairs of blocks with the largest score an edge between them can have, to see what
+    can be pruned; ``correlate`` finds the same bounds inside its tasks.
 
     Two caps whose centres are ``w`` apart hold no two points nearer than w less both radii. Pairs whose bound is below
     what block a needs hold no edge from it. A snapshot's summaries meet in one task: one vector in BLOCK. With a
@@ -269,10 +293,7 @@ def block_pairs(summaries: DataFrame, sel: Selection) -> DataFrame:
     def bounds(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         centres, radius = _unpack(pdf["centre"]), pdf["radius"].to_numpy()
-        angle, spare = np.arccos(np.clip(centres @ centres.T, -1, 1)), radius[:, None] + radius[None, :]
-        bound = np.cos(np.maximum(0, angle - spare))
-        if sel.metric == "abs_corr" and sel.top_k:
-            bound = np.maximum(bound, np.cos(np.maximum(0, np.pi - angle - spare)))
+        bound = _bound(np.arccos(np.clip(centres @ centres.T, -1, 1)), radius[:, None] + radius[None, :], sel)
         np.fill_diagonal(bound, 2.0)  # a block meets itself first
         needed = bound >= pdf["floor"].to_numpy()[:, None] - SLACK
         i, j = np.nonzero(np.ones_like(needed) if sel.top_k else np.triu(np.ones_like(needed)))
@@ -282,92 +303,147 @@ def block_pairs(summaries: DataFrame, sel: Selection) -> DataFrame:
     return summaries.groupBy("valid_from").applyInPandas(bounds, "valid_from date, a bigint, b bigint, bound double, needed boolean")
 
 
-def _meet(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of each block b beside every a it is wanted by: a's own rows first, then by falling bound."""
-    wanted = pairs.groupBy("valid_from", F.col("b").alias("block")).agg(F.collect_list(F.struct("a", "bound")).alias("by"))
-    rows = blocks.join(wanted, ["valid_from", "block"]).select("valid_from", F.col("block").alias("b"), "kdcode", "vec", F.explode("by").alias("p"))
-    return _sorted(rows.select("valid_from", "p.a", "b", "p.bound", "kdcode", "vec"))
+def _n_groups(n_blocks: int, block: int) -> int:
+    return min(n_blocks, max(GROUPS, math.ceil(n_blocks * block / GROUP)))
 
 
-def _meet_all(units: DataFrame, n_blocks: int, half: bool) -> DataFrame:
-    """As ``_meet`` for blocks by hash and all pairs of them, or those with a <= b, in one shuffle."""
-    b = F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks).cast("bigint"))
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("b")) if half else _numbers(n_blocks)
-    rows = units.withColumn("b", b).select("valid_from", F.explode(every).alias("a"), "b", "kdcode", "vec")
-    return _sorted(rows.withColumn("bound", F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0)).select("valid_from", "a", "b", "bound", "kdcode", "vec"))
+def _by_hash(units: DataFrame, n_blocks: int) -> DataFrame:
+    return units.withColumn("block", F.pmod(F.xxhash64("kdcode"), F.lit(n_blocks).cast("bigint")))
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("valid_from", "a").sortWithinPartitions("valid_from", "a", F.desc("bound"), "b", "kdcode")
+def _tiles(blocks: DataFrame, groups: int) -> DataFrame:
+    """Rows for all pairs of groups of blocks (a <= b), those of group a (side 0) before those of b, block by block.
 
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(day, a, b, bound, ids and vectors of a, ids and vectors of b) of sorted rows; holds two blocks."""
-    of = None
-    for (day, a, b), rows in _runs(batches, 3):
-        ids, vectors = rows["kdcode"].combine_chunks(), _unpack(rows["vec"].to_pylist())
-        if a == b:
-            of, own, units = (day, a), ids, vectors
-        elif of != (day, a):
-            continue  # no entity of block a that day
-        yield day, a, b, rows["bound"][0].as_py(), own, units, ids, vectors
-
-
-class _Best:
-    """The ``k`` best edges of each source of a block so far; equal scores go to the smaller destination."""
-
-    def __init__(self, units: np.ndarray, sel: Selection) -> None:
-        self.units, self.sel, self.k = units, sel, sel.top_k
-        self.src, self.corr, self.dst = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-        self.least = np.full(len(units), -2.0)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray, same: bool) -> None:
-        score = _score(self.units @ vectors.T, self.sel)
-        if same:
-            np.fill_diagonal(score, -2.0)
-        least = np.partition(score, -self.k, axis=1)[:, -self.k] if score.shape[1] > self.k else self.least
-        i, j = np.nonzero((score >= np.maximum(least, self.least)[:, None] - 1e-9) & (score > -2.0))
-        # Summed in one order whatever the product did, so that equal series tie.
-        corr = np.concatenate([self.corr, (self.units[i] * vectors[j]).sum(axis=1)])
-        src, dst = np.concatenate([self.src, i]), np.concatenate([self.dst, ids[j]])
+    The number of groups does not grow with the entities until a group would exceed ``GROUP``, and neither does the number
+    of copies of a vector.
+    """
+    group = F.pmod(F.xxhash64("block"), F.lit(groups).cast("bigint"))
+    rows = blocks.withColumn("g", group).select("valid_from", F.explode(_numbers(groups)).alias("o"), "g", "block", "kdcode", "vec")
+    side = F.when(F.col("g") <= F.col("o"), 0).otherwise(1)
+    rows = rows.select("valid_from", F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), side.alias("side"), "block", "kdcode", "vec")
+    tiles = groups * (groups + 1) // 2
+    return rows.repartition(2 * tiles, "valid_from", "a", "b").sortWithinPartitions("valid_from", "a", "b", "side", "block", "kdcode")
+
+
+class _Block:
+    """Entities of a block and, with a selection, what is known of their edges."""
+
+    def __init__(self, name: int, ids: pa.Array, units: np.ndarray, sel: Selection | None) -> None:
+        self.name, self.ids, self.units, self.sel = name, ids, units, sel
+        if sel is not None:
+            self.near = units.astype(np.float32)
+            self.centre, self.radius = _cap(units)
+            self.least = _floors(units, sel)
+            self.numbers = ids.to_numpy(zero_copy_only=False)
+            self.found: list[tuple] = []  # source, corr, destination
+            self.waiting = 0
+
+    def add(self, src: np.ndarray, corr: np.ndarray, dst: np.ndarray) -> None:
+        """Edges of the block; its k best are sorted out when enough have come. Equal scores go to the smaller name."""
+        self.found.append((src, corr, dst))
+        self.waiting += len(src)
+        if self.waiting > 2 * self.sel.top_k * len(self.units):
+            self.settle()
+
+    def settle(self) -> None:
+        k = self.sel.top_k
+        src, corr, dst = (np.concatenate(c) for c in zip(*self.found, strict=True))
         score = _score(corr, self.sel)
         order = np.lexsort((np.unique(dst, return_inverse=True)[1], -score, src))
         first = np.searchsorted(src[order], np.arange(len(self.units)))
         place = np.arange(len(order)) - first[src[order]]
-        keep = order[place < self.k]
-        self.src, self.corr, self.dst = src[keep], corr[keep], dst[keep]
-        full = order[place == self.k - 1]
-        self.least[src[full]] = score[full]
+        keep = order[place < k]
+        self.found, self.waiting = [(src[keep], corr[keep], dst[keep])], 0
+        full = order[place == k - 1]
+        self.least[src[full]] = np.maximum(self.least[src[full]], score[full])
+
+    def edges(self, day) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            self.settle()
+            src, corr, dst = self.found[0]
+            yield _edges(day, self.ids.take(pa.array(src)), pa.array(dst, self.ids.type), corr)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], sel: Selection | None = None) -> Iterator[tuple]:
+    """(day, block, blocks it meets) of sorted rows, each pair of blocks of a tile once, a block of a diagonal tile with
+    itself last; at the end of a tile (day, None, the blocks of its first group). Holds a group and a block."""
+    held: list[_Block] = []
+    of = None
+    for (day, a, b, side, name), rows in _runs(batches, 5):
+        if of != (day, a, b):
+            if held:
+                yield of[0], None, held
+            held, of = [], (day, a, b)
+        block = _Block(name, rows["kdcode"].combine_chunks(), _unpack(rows["vec"].to_pylist()), sel)
+        if a == b:
+            yield day, block, [*held, block]
+        elif side == 1:
+            yield day, block, held
+        if side == 0:
+            held.append(block)
+    if held:
+        yield of[0], None, held
+
+
+def _promising(block: _Block, others: list[_Block]) -> Iterator[_Block]:
+    """Those that can hold an edge with the block: itself first, then by falling bounds."""
+    if others and others[-1] is block:
+        others = others[:-1]
+        yield block
+    if others:
+        angle = np.arccos(np.clip(np.array([o.centre for o in others]) @ block.centre, -1, 1))
+        bound = _bound(angle, np.array([o.radius for o in others]) + block.radius, block.sel)
+        for k in np.argsort(-bound):
+            if bound[k] >= min(block.least.min(), others[k].least.min()) - SLACK:
+                yield others[k]
+
+
+def _exact(a: _Block, i: np.ndarray, b: _Block, j: np.ndarray) -> np.ndarray:
+    """Correlations of pairs, summed in one order, so that equal series tie."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), GATHER):
+        out[k : k + GATHER] = (a.units[i[k : k + GATHER]] * b.units[j[k : k + GATHER]]).sum(axis=1)
+    return out
 
 
 def _top_edges(sel: Selection):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, row = None, None
-        for day, a, b, bound, own, units, ids, vectors in _meetings(batches):
-            if row is None or row[:2] != (day, a):
-                if best is not None:
-                    yield _edges(row[0], row[2].take(pa.array(best.src)), pa.array(best.dst, row[2].type), best.corr)
-                best, row = _Best(units, sel), (day, a, own)
-            if bound >= best.least.min() - SLACK:
-                best.add(np.array(ids.to_pylist(), object), vectors, a == b)
-        if best is not None:
-            yield _edges(row[0], row[2].take(pa.array(best.src)), pa.array(best.dst, row[2].type), best.corr)
+        for day, block, others in _meetings(batches, sel):
+            if block is None:
+                for o in others:
+                    yield from o.edges(day)
+                continue
+            for o in _promising(block, others):
+                score = _score(block.near @ o.near.T, sel)
+                if o is block:
+                    np.fill_diagonal(score, -4.0)
+                i, j = np.nonzero((score >= block.least[:, None].astype(np.float32) - NEAR) | (score >= o.least[None, :].astype(np.float32) - NEAR))
+                on = score[i, j] > -3.0
+                i, j = i[on], j[on]
+                corr = _exact(block, i, o, j)
+                exact = _score(corr, sel)
+                ours = exact >= block.least[i] - 1e-9
+                block.add(i[ours], corr[ours], o.numbers[j[ours]])
+                if o is not block:
+                    theirs = exact >= o.least[j] - 1e-9
+                    o.add(j[theirs], corr[theirs], block.numbers[i[theirs]])
+            if not others or others[-1] is not block:
+                yield from block.edges(day)
 
     return run
 
 
 def _threshold_edges(sel: Selection):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for day, a, b, _, own, units, ids, vectors in _meetings(batches):
-            corr = units @ vectors.T
-            ok = corr > sel.threshold
-            if a == b:
-                np.fill_diagonal(ok, False)
-            i, j = np.nonzero(ok)
-            src, dst = own.take(pa.array(i)), ids.take(pa.array(j))
-            yield _edges(day, src, dst, corr[i, j])
-            if a != b:
-                yield _edges(day, dst, src, corr[i, j])
+        for day, block, others in _meetings(batches, sel):
+            for o in _promising(block, others) if block is not None else ():
+                i, j = np.nonzero(block.near @ o.near.T > np.float32(sel.threshold - NEAR))
+                corr = _exact(block, i, o, j)
+                ok = (corr > sel.threshold) & ((i != j) if o is block else True)
+                src, dst = block.ids.take(pa.array(i[ok])), o.ids.take(pa.array(j[ok]))
+                yield _edges(day, src, dst, corr[ok])
+                if o is not block:
+                    yield _edges(day, dst, src, corr[ok])
 
     return run
 
@@ -386,14 +462,17 @@ def correlation_matrix(rows: DataFrame, fill: str = "zero", block: int = BLOCK)
     of about ``block`` entities. ``corr`` holds the cells row by row; ``cells`` and the functions after it read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for day, a, b, _, own, units, ids, vectors in _meetings(batches):
-            cell = pa.array([(units @ vectors.T).ravel()], pa.list_(pa.float64()))
-            columns = [pa.array([day], pa.date32()), pa.array([a]), pa.array([b]), _listed(own), _listed(ids), cell]
-            yield pa.RecordBatch.from_arrays(columns, names=["valid_from", "a", "b", "src", "dst", "corr"])
+        for day, block, others in _meetings(batches):
+            for o in others if block is not None else ():
+                a, b = sorted((block, o), key=lambda x: x.name)
+                cell = pa.array([(a.units @ b.units.T).ravel()], pa.list_(pa.float64()))
+                columns = [pa.array([day], pa.date32()), pa.array([a.name]), pa.array([b.name]), _listed(a.ids), _listed(b.ids), cell]
+                yield pa.RecordBatch.from_arrays(columns, names=["valid_from", "a", "b", "src", "dst", "corr"])
 
     kind = _kind(rows)
     units = stable(unit_vectors(rows, fill))
-    met = _meet_all(units, _n_blocks(units, block), half=True)
+    n_blocks = _n_blocks(units, block)
+    met = _tiles(_by_hash(units, n_blocks), _n_groups(n_blocks, block))
     return met.mapInArrow(run, f"valid_from date, a bigint, b bigint, src array<{kind}>, dst array<{kind}>, corr array<double>")
 
 
@@ -407,9 +486,10 @@ def cells(matrix: DataFrame, keep: Column | None = None) -> DataFrame:
     flat = matrix.select("valid_from", "a", "b", "src", "dst", F.posexplode("corr").alias("_at", "corr"))
     width = F.size("dst")
     one = flat.select("valid_from", "a", "b", F.get("src", F.floor(F.col("_at") / width).cast("int")).alias("src"), F.get("dst", F.col("_at") % width).alias("dst"), "corr")
-    there = one.where(F.col("src") != F.col("dst"))
-    back = there.where("a < b").select("valid_from", F.col("dst").alias("src"), F.col("src").alias("dst"), "corr")
-    both = there.select("valid_from", "src", "dst", "corr").unionByName(back)
+    there, back = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("src", "dst"), ("dst", "src")))
+    ways = F.when(F.col("a") < F.col("b"), F.array(there, back)).otherwise(F.array(there))
+    both = one.where(F.col("src") != F.col("dst")).select("valid_from", F.explode(ways).alias("way"), "corr")
+    both = both.select("valid_from", "way.src", "way.dst", "corr")
     return both if keep is None else both.where(keep)
 
 
@@ -432,23 +512,25 @@ def matrix_cell(matrix: DataFrame, src: object, dst: object) -> DataFrame:
 def correlate(rows: DataFrame, sel: Selection | None, fill: str = "zero", block: int = BLOCK) -> DataFrame:
     """E2-E4, E13. (valid_from, src, dst, corr) of the kept pairs, both directions; all cells for ``sel=None``.
 
-    A task takes one block of about ``block`` entities as sources and multiplies it with other blocks, keeping each
-    source's k best: N x K rows leave the tasks, and its memory is two blocks. From ``PRUNED`` blocks on alike entities
-    share blocks, and only the pairs whose bound (``block_pairs``) can hold an edge meet, best bounds first, until none is
-    left that could improve a source's k best. Fewer blocks meet each other all at once.
+    A task takes two groups of blocks of about ``block`` entities, holds the first and streams the other past it, and keeps
+    the k best of each source of both; the k best of all tasks are merged after them. Each pair is multiplied once, in single
+    precision; what may be an edge then in double precision. From ``PRUNED`` blocks on alike entities share blocks, and
+    pairs of blocks whose bound (``block_pairs``) holds no edge are left out.
     """
     if sel is None:
         return cells(correlation_matrix(rows, fill, block))
     units = stable(unit_vectors(rows, fill))  # counted and sent on
     n_blocks = _n_blocks(units, block)
-    if n_blocks < PRUNED:
-        met = _meet_all(units, n_blocks, half=sel.top_k == 0)
-    else:
-        blocks = place(units, n_blocks, block)
-        met = _meet(blocks, block_pairs(block_summaries(blocks, sel), sel).where("needed"))
+    blocks = _by_hash(units, n_blocks) if n_blocks < PRUNED else place(units, n_blocks, block)
     kind = _kind(rows)
-    edges = _top_edges(sel) if sel.top_k else _threshold_edges(sel)
-    return met.mapInArrow(edges, f"valid_from date, src {kind}, dst {kind}, corr double")
+    found = _top_edges(sel) if sel.top_k else _threshold_edges(sel)
+    edges = _tiles(blocks, _n_groups(n_blocks, block)).mapInArrow(found, f"valid_from date, src {kind}, dst {kind}, corr double")
+    return _best_edges(edges, sel).drop("pos") if sel.top_k else edges
+
+
+def _best_edges(edges: DataFrame, sel: Selection) -> DataFrame:
+    score = F.abs("corr") if sel.metric == "abs_corr" else F.col("corr")
+    return top_k(edges, ["valid_from", "src"], [score.desc(), F.col("dst").asc()], sel.top_k, "pos")
 
 
 def rank_edges(edges: DataFrame, sel: Selection) -> DataFrame:
@@ -458,8 +540,7 @@ def rank_edges(edges: DataFrame, sel: Selection) -> DataFrame:
     """
     c = F.col("corr")
     if sel.top_k > 0:
-        score = F.abs(c) if sel.metric == "abs_corr" else c
-        edges = top_k(edges, ["valid_from", "src"], [score.desc(), F.col("dst").asc()], sel.top_k, "pos")
+        edges = _best_edges(edges, sel)
         kept = F.max("pos").over(Window.partitionBy("valid_from", "src"))  # at most top_k rows
         edges = edges.withColumn("rank_pct", (kept - F.col("pos") + 1) / kept).drop("pos")
     else:

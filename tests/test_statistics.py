@@ -166,6 +166,19 @@ def test_packed_matrix_and_its_readers(spark, fill):
         assert all(v == pytest.approx(want.loc[a, b], abs=1e-12) for (d, a, b), v in cells.items() if d == D[60])
 
 
+def test_copies_of_a_vector_do_not_grow_with_the_blocks(spark):
+    rows = gr.return_rows(prices(spark), gr.snapshot_list(spark, [str(D[60])]), 40)
+    units = gr.unit_vectors(rows).cache()
+    for block in (2, 1):
+        blocks = gr._n_blocks(units, block)
+        groups = gr._n_groups(blocks, block)
+        assert groups == gr.GROUPS < blocks
+        assert gr._tiles(gr._by_hash(units, blocks), groups).count() == 23 * gr.GROUPS
+    assert gr._n_groups(10_000, 512) == 10_000 * 512 // gr.GROUP + 1
+    # both directions of a cell come from one product
+    assert gr.cells(gr.correlation_matrix(rows, block=4))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_graph_of_nothing(spark):
     rows = gr.return_rows(prices(spark), gr.snapshot_list(spark, ["1990-01-01"]), 40)
     for sel in (None, gr.Selection(top_k=2), gr.Selection(threshold=0.1)):
