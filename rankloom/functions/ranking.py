@@ -1,14 +1,14 @@
 """Exact ranks, running totals and quantiles over groups of any size.
 
-A window over ``partitionBy(dt)`` puts a whole cross-section in one task. Here a group is cut into slices by value: the
-keys whose hash is divisible by ``SLICE`` are its bounds, so a slice holds about ``SLICE`` rows however large the group
-is. Each slice counts locally, and the small table of slice totals gives every slice its offset. Which slice a row is in
-depends on the values alone, not on the order of rows or on a sample, so nothing has to be written to be the same in a
-task that runs again.
+A window over ``partitionBy(dt)`` puts a whole cross-section in one task. Here the rows are dealt by ranges of group and
+value, so a slice holds about ``SLICE`` rows however large a group is. Each slice counts locally, and the small table of
+slice totals gives every slice its offset. The slices are written with their numbers, as ranges come from a sample, and so
+that the rows are computed once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add, or_
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rankloom.session import stable
 
-SLICE = 1 << 17  # rows of a slice on average
+SLICE = 1 << 20  # rows of a slice on average
 # Spark limits rows before the shuffle for rank filters up to this many rows
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
@@ -29,32 +29,6 @@ def in_order(order: Sequence[str]) -> list[Column]:
     return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_first(c) for c in order]
 
 
-def _key(order: Sequence[str]) -> Column:
-    """One value that grows in the given order; what sorts downwards must be a number."""
-    fields = []
-    for k, c in enumerate(order):
-        v = F.col(c.removeprefix("-"))
-        if c.startswith("-"):
-            v = F.struct(v.isNull().alias("missing"), (~F.isnan(v)).alias("number"), (-v).alias("value"))
-        fields.append(v.alias(f"k{k}"))
-    return F.struct(*fields)
-
-
-def _bounds_upto(bounds: Column, key: Column) -> Column:
-    """How many of the sorted bounds are at or below the key, by halving; 0 without bounds."""
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        done, below = s["lo"] >= s["hi"], F.get(bounds, mid) <= key
-        return F.struct(
-            F.when(~done & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(~done & ~below, mid).otherwise(s["hi"]).alias("hi")
-        )
-
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + 1)).cast("int"))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi")), halve, lambda s: s["lo"])
-    return F.when(bounds.isNull(), 0).otherwise(found)
-
-
 def running_total(
     df: DataFrame, by: Sequence[str], order: Sequence[str], measure: Column, out: str, total: str | None = None
 ) -> DataFrame:
@@ -63,13 +37,12 @@ def running_total(
     (by, order) must identify a row; see ``in_order``. ``total`` names a column for the sum of the whole group, which
     the slice totals give for free.
     """
-    key = _key(order)
-    df = df.withColumn("_m", measure)
-    names = [c.removeprefix("-") for c in order]
-    # the measure is asked for too, so that the bounds are taken from what the other branches read, and that is made once
-    picked = df.where(F.when(F.col("_m").isNotNull(), F.pmod(F.xxhash64(*by, *names), F.lit(SLICE))) == 0)
-    bounds = picked.groupBy(*by).agg(F.sort_array(F.collect_set(key)).alias("_bounds"))
-    sliced = df.join(bounds, list(by), "left").withColumn("_slice", _bounds_upto(F.col("_bounds"), key)).drop("_bounds")
+    held = stable(df.withColumn("_m", measure))
+    slices = math.ceil(held.count() / SLICE)
+    if slices > 1:
+        sliced = stable(held.repartitionByRange(slices, *by, *in_order(order)).withColumn("_slice", F.spark_partition_id()))
+    else:
+        sliced = held.withColumn("_slice", F.lit(0))
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*by, "_slice")

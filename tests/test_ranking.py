@@ -78,3 +78,19 @@ def test_running_total_reports_group_total(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 5)], "g string, o int, m int")
     got = sorted(tuple(r) for r in rk.running_total(df, ["g"], ["o"], F.col("m"), "t", total="n").collect())
     assert got == [("a", 1, 2, 5, 2), ("a", 2, 3, 5, 5), ("b", 1, 5, 5, 5)]
+
+
+def test_rows_of_a_slice_carry_no_bounds(spark):
+    """One group of 20,000 values: no row is joined to a list that grows with the group, and the rows are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(20000).selectExpr("0 AS g", "(id * 7919) % 20000 AS o").mapInArrow(noted, "g int, o bigint")
+    got = rk.row_numbers(df, ["g"], ["o"], "k")
+    assert got.where("k != o + 1").count() == 0 and got.count() == 20000
+    assert made.value == 20000
+    assert "_bounds" not in got._jdf.queryExecution().analyzed().toString()
