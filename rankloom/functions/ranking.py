@@ -168,7 +168,8 @@ def exact_quantiles(values: DataFrame, by: Sequence[str], value: str, probs: Seq
     """
     by, probs, v = list(by), sorted(probs), F.col(value)
     values = values.where(v.isNotNull())
-    joined = values.join(quantile_brackets(values, by, value, probs, accuracy), by)
+    brackets = stable(quantile_brackets(values, by, value, probs, accuracy))  # its size is known, so the values stay where they are
+    joined = values.join(brackets, by)
     ends = [(F.col(f"_lo{k}"), F.col(f"_hi{k}")) for k in range(len(probs))]
     inside = reduce(or_, [(v >= lo) & (v <= hi) for lo, hi in ends])
     gap = reduce(add, [(v >= lo).cast("int") for lo, _ in ends])

@@ -94,3 +94,16 @@ def test_rows_of_a_slice_carry_no_bounds(spark):
     assert got.where("k != o + 1").count() == 0 and got.count() == 20000
     assert made.value == 20000
     assert "_bounds" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_quantile_values_are_not_shuffled_to_their_brackets(spark, skewed, monkeypatch):
+    """The brackets are few: their size must be known, so that no task sorts the values of a feature for a join."""
+    plans = []
+    monkeypatch.setattr(rk, "stable", lambda df, write=rk.stable: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        assert rk.exact_quantiles(skewed[1], ["dt"], "v", [0.5]).count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("BroadcastHashJoin" in p for p in plans) and not any("SortMergeJoin" in p for p in plans)
