@@ -10,7 +10,7 @@ from rankloom.plans import testdata as td
 from rankloom.plans.q_portfolio import gate_fold_sql
 from rankloom.plans.q_ledger import ledger_input
 from rankloom.plans.registry import check_sql, query, r, rounded, share, sig, significant
-from rankloom.session import new_path
+from rankloom.session import new_path, stable
 from rankloom.streaming import jobs
 
 END = "2024-01-11"
@@ -122,16 +122,18 @@ _gate_days = """gate_days AS (SELECT s.strategy_id AS key, d.day_no AS seq, d.da
 )
 def t5(spark, sf):
     """Dates are split over files and arrive late: odd names of 1999 after 2000, model 1 after the others, in two halves."""
-    src = new_path(spark, "scores")
     s = td.scores(spark, sf)
     odd, one = F.col("kdcode") % 2 == 1, F.col("model_id") == 1
     year = F.year("dt")
     arrival = F.when(one, F.when(odd, 4).otherwise(3)).when(year >= 2000, 1).when((year == 1999) & odd, 2).otherwise(0)
+    s = stable(s.withColumn("arrival", arrival))
+    src, gate = new_path(spark, "scores"), new_path(spark, "gate")
+    followed = td.strategies(spark).where("min_rank_drop > 0")
     for k in range(5):
-        # One file per arrival: files are read in the order they were written.
-        s.where(arrival == k).repartition(1).write.mode("append").parquet(src)
-    stream = jobs.read_files(spark, src, spark.read.parquet(src), files_per_batch=1)
-    return jobs.run_gate(stream, td.strategies(spark).where("min_rank_drop > 0"), new_path(spark, "gate"))
+        # An arrival is written by as many tasks as it needs and is one batch of the stream, which goes on from its checkpoint.
+        s.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(src)
+        decisions = jobs.run_gate(jobs.read_files(spark, src, s.drop("arrival")), followed, gate)
+    return decisions
 
 
 _small = ("portfolio_return", "net_return", "benchmark_return", "excess_return", "cum_return", "cum_benchmark", "drawdown", "est_cost")

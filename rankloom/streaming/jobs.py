@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, LongType, StringType, StructField, StructType
 
 from rankloom.functions.groups import keep_last
 from rankloom.operators.clean import point_in_time
@@ -129,14 +129,23 @@ def drift_by_day(counts: DataFrame, reference: DataFrame) -> DataFrame:
 def gate_batch(ranked: DataFrame, strategies: DataFrame, holdings: DataFrame | None, last_ranks: DataFrame | None) -> DataFrame:
     """T5. Decisions (strategy_id, dt, kdcode, status, rank) of the ranked days that follow known holdings and ranks.
 
-    The cross-section is ranked by range partitioning. A name reaches the fold only from a day it is
-    held or among the K best until it has left, so a strategy's group stays small.
+    Only names that are held or once among the K best are kept, before they meet the strategies; give a written table, as
+    it is read for the names and for their ranks. A name reaches the fold only from a day it is held or among the K best
+    until it has left, so a strategy's group stays small.
     """
+    limit = strategies.groupBy("model_id").agg(F.max("top_k").alias("max_k"))
+    names = ranked.join(limit, "model_id").where("rank <= max_k").select("model_id", "kdcode")
+    if holdings is not None:
+        names = names.unionByName(holdings.join(strategies, "strategy_id").select("model_id", "kdcode"))
+    names = stable(names.distinct())
+    # Every date has a best name, so that no date is lost.
+    today = stable(ranked.select("model_id", "dt", "kdcode", "rank").join(names, ["model_id", "kdcode"], "left_semi"))
     w = Window.partitionBy("model_id").orderBy("dt")
-    days = ranked.select("model_id", "dt").distinct().withColumn("day_no", F.row_number().over(w))
-    today = ranked.join(days, ["model_id", "dt"]).select("model_id", "dt", "kdcode", "rank", "day_no")
+    days = today.select("model_id", "dt").distinct().withColumn("day_no", F.row_number().over(w))
+    today = today.join(days, ["model_id", "dt"]).select("model_id", "dt", "kdcode", "rank", "day_no")
     if last_ranks is not None:
-        today = today.unionByName(last_ranks.select("model_id", "dt", "kdcode", "rank", F.lit(0).alias("day_no")))
+        before = last_ranks.join(names, ["model_id", "kdcode"], "left_semi")
+        today = today.unionByName(before.select("model_id", "dt", "kdcode", "rank", F.lit(0).alias("day_no")))
     rows = today.join(strategies.select("strategy_id", "model_id", "top_k", "min_rank_drop"), "model_id")
     if holdings is not None:
         mark = holdings.select("strategy_id", "kdcode", F.lit(0).alias("day_no"), F.lit(True).alias("held"))
@@ -173,50 +182,68 @@ def _decision_schema(strategies: DataFrame, scores: StructType) -> StructType:
     return StructType([StructField(name, kind) for name, kind in fields.items()])
 
 
+def merged_scores(old: DataFrame, new: DataFrame, batch_id: int) -> DataFrame:
+    """T5. (model_id, dt, kdcode, score, batch_no, fresh): stored scores and those of a batch, the latest batch wins; fresh
+    where this batch gives or changes the score. One aggregate of plain numbers, so a row is shuffled once."""
+    keys = ["model_id", "dt", "kdcode"]
+    known = old.select(*keys, F.col("score").alias("was"), F.col("batch_no").alias("was_no"))
+    both = known.unionByName(new, allowMissingColumns=True).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("was", "was_no", "score")])
+    taken = F.col("score").isNotNull() & (F.col("was_no").isNull() | (F.col("was_no") <= batch_id))
+    return both.select(
+        *keys,
+        F.when(taken, F.col("score")).otherwise(F.col("was")).alias("score"),
+        F.when(taken, F.lit(batch_id)).otherwise(F.col("was_no")).cast("long").alias("batch_no"),
+        (taken & ~F.col("score").eqNullSafe(F.col("was"))).alias("fresh"),
+    )
+
+
 def update_gate(batch: DataFrame, strategies: DataFrame, path: str, batch_id: int) -> bool:
     """T5. Take in the scores of one batch and decide again from the earliest date of each model that they change.
 
     Dates may be split over batches, late, or given again: the score of the latest batch counts. A model is decided anew
     from its earliest date with a score that is new or differs; its holdings and ranks of the date before are the state
-    to start from. Later decisions are replaced, earlier ones are not read. Scores, dates and decisions become visible in
-    one version, so a batch that dies half-way is repeated from the state before it. Rows without model, date, name or
-    score are left out. Gives whether anything changed.
+    to start from. Later decisions are replaced, earlier ones are not read. Scores of models that no strategy follows are
+    stored, but need no ranks. Scores, dates and decisions become visible in one version, so a batch that dies half-way
+    is repeated from the state before it. Rows without model, date, name or score are left out. Gives whether anything
+    changed.
     """
     spark, store = batch.sparkSession, Store(batch.sparkSession, f"{path}/gate")
-    keys = ["model_id", "dt", "kdcode"]
-    new = batch.dropna(subset=[*keys, "score"]).withColumn("batch_no", F.lit(batch_id).cast("long"))
-    new = stable(keep_last(new, keys, "score"))
+    new = stable(batch.select("model_id", "dt", "kdcode", "score").dropna())
     months = months_in(new)
-    old = store.read("scores", new.schema, months)
-    known = old.select(*keys, "score")
-    same = [new[k] == known[k] for k in keys] + [new["score"].eqNullSafe(known["score"])]
-    first = new.join(known, same, "left_anti").groupBy("model_id").agg(F.min("dt").alias("first"))
-    first = stable(first)  # a row for each model
-    start = first.agg(F.min("first")).first()[0]
-    if start is None:
+    if not months:
+        return False
+    stored = StructType([*new.schema.fields, StructField("batch_no", LongType()), StructField("fresh", BooleanType())])
+    store.stage("scores", merged_scores(store.read("scores", stored, months), new, batch_id), months)
+    first = stable(store.read("scores", stored, months).where("fresh").groupBy("model_id").agg(F.min("dt").alias("first")))
+    if first.isEmpty():
         return False
-    store.stage("scores", keep_last(old.unionByName(new), keys, "batch_no"), months)
     dates = new.select("model_id", "dt")
     store.stage("dates", store.read("dates", dates.schema, months).unionByName(dates).distinct(), months)
+    first = first.join(strategies, "model_id", "left_semi")
     before = store.read("dates", dates.schema).join(first, "model_id").where(F.col("dt") < F.col("first"))
     span = first.join(before.groupBy("model_id").agg(F.max("dt").alias("prior")), "model_id", "left")
-    span = stable(span)  # model_id, first, prior
-    lowest = span.agg(F.min(F.coalesce("prior", "first"))).first()[0]
-    scores = store.read("scores", new.schema, since=f"{lowest:%Y-%m}").join(span, "model_id")
-    ranked = rank_scores(scores.where((F.col("dt") >= F.col("first")) | (F.col("dt") == F.col("prior"))).select(*batch.columns))
-    ranked = ranked.join(span, "model_id")
-    shape = _decision_schema(strategies, batch.schema)
-    since = f"{start:%Y-%m}"
+    span = stable(span)  # model_id, first, prior: a row for each model that is followed
+    start, lowest = span.agg(F.min("first"), F.min(F.coalesce("prior", "first"))).first()
+    if start is not None:
+        _decide(store, strategies, span, stored, f"{start:%Y-%m}", f"{lowest:%Y-%m}")
+    store.commit()
+    return True
+
+
+def _decide(store: Store, strategies: DataFrame, span: DataFrame, stored: StructType, since: str, lowest: str) -> None:
+    """Stage the decisions of the models of ``span`` (model_id, first, prior) from their first date on."""
+    strategies = stable(strategies)  # its size is known, so that ranks are not shuffled by model
+    scores = store.read("scores", stored, since=lowest).drop("batch_no", "fresh").join(span, "model_id")
+    ranked = stable(rank_scores(scores.where((F.col("dt") >= F.col("first")) | (F.col("dt") == F.col("prior")))))
+    shape = _decision_schema(strategies, stored)
     affected = strategies.join(span, "model_id").select("strategy_id", "first", "prior")
-    at_prior = store.read("decisions", shape, since=f"{lowest:%Y-%m}").join(affected, "strategy_id").where("dt = prior AND status <> 'exit'")
+    at_prior = store.read("decisions", shape, since=lowest).join(affected, "strategy_id").where("dt = prior AND status <> 'exit'")
     last = ranked.where(F.col("dt") == F.col("prior")).select("model_id", "dt", "kdcode", "rank")
     decisions = gate_batch(ranked.where(F.col("dt") >= F.col("first")), strategies, at_prior.select("strategy_id", "kdcode"), last)
     gone = affected.select("strategy_id", "first")
     kept = store.read("decisions", shape, since=since).join(gone, "strategy_id", "left").where("first IS NULL OR dt < first").select(*shape.names)
     touched = [m for m in store.months.get("dates", {}) if m >= since]
     store.stage("decisions", kept.unionByName(decisions), touched)
-    store.commit()
-    return True
 
 
 def gate_decisions(spark: SparkSession, path: str, strategies: DataFrame, scores: StructType) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import portfolio as po
 from rankloom.operators.ledger import performance_ledger
+from rankloom.plans import catalog, testdata
 from rankloom.session import new_path
 from rankloom.sources.bars import bars_from_ticks
 from rankloom.streaming import jobs
@@ -214,3 +215,40 @@ def test_gate_batch_that_dies_is_repeated_from_the_state_before(spark, monkeypat
     out = jobs.gate_decisions(spark, path, strategies, first.schema).where("status <> 'exit'").collect()
     want = loop_gate(rows, po.Strategy(1, 1, 3, 1, "daily", 0, 0, 4))
     assert {d: {r.kdcode for r in out if r.dt == d} for d in want} == want
+
+
+def test_gate_ranks_only_models_that_a_strategy_follows(spark, monkeypatch):
+    """Their scores are stored all the same, and the decisions of others stay."""
+    dates, rows = gate_scores(13, (1, 2), days=6)
+    seen = []
+    ranks = jobs.rank_scores
+    monkeypatch.setattr(jobs, "rank_scores", lambda s: seen.append({r.model_id for r in s.select("model_id").distinct().collect()}) or ranks(s))
+    schema = "model_id int, dt date, kdcode bigint, score double"
+    s = po.Strategy(1, 1, 3, 1, "daily", 0, 0, 4)
+    path, strategies = new_path(spark, "gate"), po.strategies_frame(spark, [s])
+    both, late = [r for r in rows if r[0] == 1 or r[1] > dates[2]], [r for r in rows if r[0] == 2 and r[1] <= dates[2]]
+    batches = [spark.createDataFrame(b, schema) for b in (both, late)]
+    assert [jobs.update_gate(b, strategies, path, n) for n, b in enumerate([*batches, batches[1]])] == [True, True, False]
+    assert seen == [{1}]
+    assert Store(spark, f"{path}/gate").read("scores", batches[0].schema).count() == len(rows)
+    out = jobs.gate_decisions(spark, path, strategies, batches[0].schema).where("status <> 'exit'").collect()
+    want = loop_gate(rows, s)
+    assert {d: {r.kdcode for r in out if r.dt == d} for d in want} == want
+
+
+def test_stream_gate_query_computes_the_scores_once(spark, monkeypatch):
+    """Each arrival is taken from the written scores, by any number of tasks, and is one batch."""
+    seen, batches = spark.sparkContext.accumulator(0), []
+    scores, update = testdata.scores, jobs.update_gate
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    monkeypatch.setattr(testdata, "scores", lambda *a: (lambda s: s.mapInPandas(counted, s.schema))(scores(*a)))
+    monkeypatch.setattr(jobs, "update_gate", lambda b, *a: batches.append(b.count()) or update(b, *a))
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["t5_stream_gate"](spark, sf).count() > 0
+    n = scores(spark, sf).count()
+    assert seen.value == n and len(batches) == 5 and sum(batches) == n
