@@ -355,10 +355,10 @@ def backtest(scores: DataFrame, bars: DataFrame, strategies: DataFrame, ranked:
     """
     returns = stable(open_to_open(bars))
     largest = strategies.agg(F.max("top_k").alias("k")).first().k or 1
-    best = stable(best_scores(scores, largest)) if ranked is None else ranked
+    best = stable(best_scores(scores, largest)) if ranked is None else ranked.where(F.col("rank") <= largest)
     days = stable(prediction_days(scores if ranked is None else ranked, strategies, entry_dates(returns)))
     rebal = rebalances(days)
-    return _book(days, rebal, top_targets(rebal, best), returns)
+    return _book(days, rebal, stable(top_targets(rebal, best)), returns)
 
 
 def gated_backtest(ranked: DataFrame, bars: DataFrame, strategies: DataFrame) -> Backtest:
@@ -396,7 +396,7 @@ def holdings_records(bt: Backtest, ranked: DataFrame) -> DataFrame:
         .join(tr, ["strategy_id", "tranche_id", "day_no"])
         .join(active, ["strategy_id", "day_no"])
     )
-    return lookup(held, r, ["model_id", "pred_date", "kdcode"]).select(
+    return lookup(stable(held), r, ["model_id", "pred_date", "kdcode"]).select(
         "strategy_id",
         "tranche_id",
         "pred_date",

@@ -356,11 +356,12 @@ _s15_source = {"daily_returns": "bt_daily", "daily_holdings": "holdings", "trade
 def s15(spark, sf):
     """All tables of a back-test written and read back: rows per table, and the cells of three of them."""
     bt, ranked = ranked_run(spark, sf)
-    holdings, trades = po.holdings_records(bt, ranked), po.trade_journal(bt, ranked)
+    # Several tables come from each of these: K names a day, looked up once in the panel and the ranks.
+    daily, holdings, trades = stable(bt.daily), stable(po.holdings_records(bt, ranked)), stable(po.trade_journal(bt, ranked))
     tables = {
-        "daily_returns": bt.daily,
-        "cumulative_performance": pf.cumulative_performance(bt.daily),
-        "monthly_performance": pf.period_performance(bt.daily),
+        "daily_returns": daily,
+        "cumulative_performance": pf.cumulative_performance(daily),
+        "monthly_performance": pf.period_performance(daily),
         "daily_holdings": holdings,
         "return_attribution": pf.attribution(holdings),
         "portfolio_composition": pf.composition(holdings, trades),

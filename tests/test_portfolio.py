@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import portfolio as po
+from rankloom.plans import catalog
 
 def stepped_bars(spark, n_names=7, n_days=12):
     """Prices of a seeded walk with its opens and closes by (name, day), some days without a bar."""
@@ -225,3 +226,30 @@ def test_calendar_fills_days_without_trades(spark):
     bm = spark.createDataFrame([(x, 0.01 if i else None) for i, x in enumerate(d)], "dt date, benchmark_return double")
     got = [(r.portfolio_return, r.benchmark_return) for r in po.calendar_returns(daily, bm).orderBy("dt").collect()]
     assert got == [(0.1, 0.0), (0.0, 0.01), (0.2, 0.01)]
+
+
+def test_backtest_outputs_compute_targets_and_holdings_once(spark, monkeypatch):
+    """Eight written tables share them; every row of either is made once."""
+    seen = {}
+
+    def once(name):
+        made, rows = getattr(po, name), spark.sparkContext.accumulator(0)
+        seen[name] = rows, []
+
+        def counted(frames):
+            for f in frames:
+                rows.add(len(f))
+                yield f
+
+        def wrapped(*a):
+            df = made(*a)
+            seen[name][1].append(df)
+            return df.mapInPandas(counted, df.schema)
+
+        monkeypatch.setattr(po, name, wrapped)
+
+    once("top_targets")
+    once("holdings_records")
+    assert catalog.QUERIES["s15_backtest_outputs"](spark, "/root/testdata/sf0.001").count() > 0
+    for rows, made in seen.values():
+        assert len(made) == 1 and rows.value == made[0].count() > 0
