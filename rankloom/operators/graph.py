@@ -25,6 +25,7 @@ from rankloom.session import stable
 BLOCK = 512  # entities per block: a task multiplies two BLOCK x lookback matrices at a time
 PRUNED = 8  # blocks from which they are placed and pruned; chosen, not measured
 GROUPS = 8  # groups of blocks that meet in pairs, so a vector is shuffled as often
+RUN = 32  # cells that follow each other in one direction; 8 to 32 gave the smallest files
 GROUP = 1 << 16  # entities of a group at most, about: a task holds one group; more entities make more groups
 
 
@@ -111,8 +112,8 @@ def return_rows(
     rets = entity_returns(df).where(F.col("ret").isNotNull())
     if members is not None:
         rets = rets.join(members.select("kdcode"), "kdcode", "left_semi")
-    # Read for the dates that occur and for the rows.
-    rows = stable(rets.join(window_days.select("valid_from", "dt"), "dt"))
+    # Read for the dates that occur and for the rows. The windows have ``lookback`` rows a snapshot, whatever the entities.
+    rows = stable(rets.join(F.broadcast(window_days.select("valid_from", "dt")), "dt"))
     w = Window.partitionBy("valid_from").orderBy("dt")  # one row per snapshot and date
     seen = rows.select("valid_from", "dt").distinct()
     seen = seen.withColumn("pos", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("valid_from")))
@@ -482,14 +483,23 @@ def _listed(ids: pa.Array) -> pa.Array:
 
 def cells(matrix: DataFrame, keep: Column | None = None) -> DataFrame:
     """(valid_from, src, dst, corr) of all pairs of different entities, both directions, or of those for which ``keep``,
-    an expression over src, dst and corr, holds; it sees each direction."""
-    flat = matrix.select("valid_from", "a", "b", "src", "dst", F.posexplode("corr").alias("_at", "corr"))
+    an expression over src, dst and corr, holds; it sees each direction.
+
+    One entity's cells with ``RUN`` others come in a row, then the same cells the other way, so that a file of them repeats
+    itself at short distances: about half the bytes of pairs of directions."""
     width = F.size("dst")
-    one = flat.select("valid_from", "a", "b", F.get("src", F.floor(F.col("_at") / width).cast("int")).alias("src"), F.get("dst", F.col("_at") % width).alias("dst"), "corr")
-    there, back = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("src", "dst"), ("dst", "src")))
-    ways = F.when(F.col("a") < F.col("b"), F.array(there, back)).otherwise(F.array(there))
-    both = one.where(F.col("src") != F.col("dst")).select("valid_from", F.explode(ways).alias("way"), "corr")
-    both = both.select("valid_from", "way.src", "way.dst", "corr")
+    pieces = F.ceil(width / F.lit(RUN)).cast("int")
+    numbered = F.explode(F.sequence(F.lit(0), F.size("src") * pieces - 1)).alias("_k")
+    at = matrix.where((F.size("src") > 0) & (width > 0)).select("valid_from", "a", "b", "src", "dst", "corr", numbered)
+    row, start = F.floor(F.col("_k") / pieces).cast("int"), F.col("_k") % pieces * RUN
+    piece = F.slice("corr", row * width + start + 1, F.least(F.lit(RUN), width - start))
+    run = at.select("valid_from", "a", "b", F.get("src", row).alias("_one"), "dst", start.alias("_start"), piece.alias("_c"))
+    ways = F.when(F.col("a") < F.col("b"), F.concat("_c", "_c")).otherwise(F.col("_c"))
+    flat = run.select("valid_from", "_one", "dst", "_start", F.size("_c").alias("_n"), F.posexplode(ways).alias("_at", "corr"))
+    back = F.col("_at") >= F.col("_n")
+    other = F.get("dst", F.col("_start") + F.col("_at") % F.col("_n"))
+    both = flat.select("valid_from", F.when(back, other).otherwise(F.col("_one")).alias("src"), F.when(back, F.col("_one")).otherwise(other).alias("dst"), "corr")
+    both = both.where(F.col("src") != F.col("dst"))
     return both if keep is None else both.where(keep)
 
 

@@ -179,6 +179,35 @@ def test_copies_of_a_vector_do_not_grow_with_the_blocks(spark):
     assert gr.cells(gr.correlation_matrix(rows, block=4))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_files_of_cells_hold_a_value_once_for_both_directions(spark, tmp_path):
+    """A cell and the same cell the other way stand close together, and names in runs: about half of the 8 bytes of a value."""
+    rng = np.random.default_rng(4)
+    values = rng.uniform(-1, 1, 512 * 512).tolist()
+    names = [list(range(k, k + 512)) for k in (0, 512)]
+    kind = "valid_from date, a bigint, b bigint, src array<bigint>, dst array<bigint>, corr array<double>"
+    matrix = spark.createDataFrame([(D[0], 0, 1, *names, values)], kind).coalesce(1)
+    gr.cells(matrix).select("src", "dst", "corr").write.parquet(str(tmp_path / "cells"))
+    assert sum(f.stat().st_size for f in (tmp_path / "cells").glob("*.parquet")) < 5 * 2 * 512 * 512
+    got = spark.read.parquet(str(tmp_path / "cells")).toPandas().set_index(["src", "dst"])["corr"].sort_index()
+    want = np.array(values).reshape(512, 512)
+    assert len(got) == 2 * 512 * 512 and got.index.is_unique
+    assert (got.iloc[: 512 * 512].to_numpy().reshape(512, 512) == want).all()
+    assert (got.iloc[512 * 512 :].to_numpy().reshape(512, 512) == want.T).all()
+
+
+def test_returns_are_not_shuffled_to_the_dates(spark, monkeypatch):
+    """The dates of the windows are few whatever the entities, so they go to the returns."""
+    plans = []
+    monkeypatch.setattr(gr, "stable", lambda df, write=gr.stable: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert gr.return_rows(prices(spark), gr.snapshot_list(spark, [str(D[60])]), 40).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("SortMergeJoin [dt#" in x and "Inner" in x for x in plans[0].splitlines()), plans[0]
+
+
 def test_graph_of_nothing(spark):
     rows = gr.return_rows(prices(spark), gr.snapshot_list(spark, ["1990-01-01"]), 40)
     for sel in (None, gr.Selection(top_k=2), gr.Selection(threshold=0.1)):
