@@ -120,6 +120,24 @@ def percent_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str], row:
     return out.drop(*[f"{c}_{s}" for c in columns for s in ("rank", "n")])
 
 
+def groups_fit(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether no group has more rows than a slice, so that a task may take whole groups."""
+    largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= SLICE
+
+
+def percent_ranks_of_groups(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """As ``percent_ranks``, for groups that ``groups_fit``: a task sorts whole groups, so one shuffle of the rows serves all
+    columns, and nothing is joined or written."""
+    group = Window.partitionBy(*by)
+    for c in columns:
+        v = F.col(c).cast("double")
+        order = group.orderBy(v.asc_nulls_last())
+        upto = F.count(c).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        df = df.withColumn(f"{c}_pct", F.when(v.isNotNull(), (F.rank().over(order) + upto) / 2.0))
+    return df.withColumns({f"{c}_pct": F.col(f"{c}_pct") / F.count(c).over(group) for c in columns})
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """The first ``k`` rows of every group with their position.
 

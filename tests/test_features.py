@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.functions import ranking as rk
 from rankloom.operators import features as fe
 from rankloom.operators import momentum as mo
 from rankloom.operators import regime as re
@@ -114,6 +115,28 @@ def test_later_rows_change_nothing_before(spark, chain):
     assert a.exceptAll(b).count() == 0 and b.count() == a.count()
 
 
+def test_buffered_momentum_reads_its_rows_once(spark, monkeypatch):
+    """Whole dates are sorted for all three ranks after one shuffle of the rows; dates beyond a slice give the same."""
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    flat = F.when(F.col("kdcode") < 2, 7.0).otherwise(F.col("close"))  # equal values, and a first date with zeros only
+    df = walk(spark, 12, 40).withColumn("close", flat)
+    m = mo.Momentum(3, 10, 2)
+    got = mo.add_momentum_buffered(df.mapInArrow(noted, BARS), m)
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(dt#") == 1
+    a = got.toPandas().sort_values(["kdcode", "dt"]).reset_index(drop=True)
+    assert len(a) == 480 and made.value == 2 * 480  # once to count the dates' rows
+    assert a["slow_signal"].nunique() > 5
+    monkeypatch.setattr(rk, "SLICE", 5)
+    b = mo.add_momentum_buffered(df, m).toPandas().sort_values(["kdcode", "dt"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b[a.columns])
+
+
 def test_row_order_does_not_matter(spark):
     df = walk(spark)
     a = fe.add_volatility_features(df)

@@ -46,6 +46,21 @@ def test_ranks_of_several_columns_by_one_join(skewed):
         np.testing.assert_allclose(rows[f"{c}_pct"].to_numpy(), pdf.groupby("dt")[c].rank(pct=True).to_numpy(), atol=1e-12)
 
 
+def test_percent_ranks_of_groups(spark, skewed):
+    """Ties, NULLs, NaN and both zeros rank as by the join of values."""
+    pdf, df = skewed
+    odd = F.when(F.col("kdcode") % 9 == 0, F.lit("NaN").cast("double")).when(F.col("kdcode") % 3 == 0, -0.0).when(F.col("kdcode") % 3 == 1, 0.0).otherwise(F.col("v"))
+    both = df.withColumn("w", odd)
+    assert rk.groups_fit(both, ["dt"]) == (rk.SLICE > 50)
+    got = rk.percent_ranks_of_groups(both, ["dt"], ["v", "w"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 1
+    got = got.toPandas().set_index("kdcode").sort_index()
+    want = rk.percent_ranks(both, ["dt"], ["v", "w"], ["kdcode"]).toPandas().set_index("kdcode").sort_index()
+    assert got["v_pct"].isna().sum() == 400
+    for c in ("v_pct", "w_pct"):
+        np.testing.assert_array_equal(got[c].to_numpy(), want[c].to_numpy())
+
+
 def test_percent_ranks_match_average_ties(skewed):
     pdf, df = skewed
     got = rk.percent_ranks(df, ["dt"], ["v"]).toPandas().set_index("kdcode")["v_pct"].sort_index()
